@@ -134,12 +134,15 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
     return df.agg(vl.iso_text(F.min(ts)).alias("min_date"), vl.iso_text(F.max(ts)).alias("max_date"))
 
 
-def preprocess_summary(raw: DataFrame, cleaned: DataFrame, label: str = "sentiment_label", ids: Sequence[str] = ()) -> DataFrame:
-    """Rows before and after cleaning, label counts, mean and median length, distinct ids."""
+def preprocess_summary(
+    raw: DataFrame, cleaned: DataFrame, label: str = "sentiment_label", rating: str | None = None, ids: Sequence[str] = ()
+) -> DataFrame:
+    """Rows before and after cleaning, label and rating counts, mean and median length, distinct ids."""
     before = raw.agg(F.count("*")).scalar()
     stats = cleaned.agg(
         F.count("*").alias("final_rows"),
         *[F.count_if(F.col(label) == s).alias(f"{s}_rows") for s in ("positive", "negative", "neutral")],
+        *[F.count_if(F.col(rating) == i).alias(f"rating_{i}") for i in (range(1, 6) if rating else ())],
         vl.rounded(F.avg("review_length"), 1).alias("average_length"),
         vl.rounded(F.median("review_length"), 1).alias("median_length"),
         *[F.count_distinct(c).alias(f"unique_{c}") for c in ids],

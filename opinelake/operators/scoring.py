@@ -39,18 +39,6 @@ def _constant(label: str, *scores: float) -> Column:
     return _scores(F.lit(label), *[F.lit(float(s)) for s in scores])
 
 
-def lexicon_sentiment(
-    text: Column | str,
-    positive: Sequence[str] = tuple(lx.POSITIVE_WORDS),
-    negative: Sequence[str] = tuple(lx.NEGATIVE_WORDS),
-) -> Column:
-    """Struct of label and scores from counts of whitespace tokens; punctuation stays on the tokens."""
-    words = tx.tokens(text)
-    pos = F.size(F.filter(words, lambda w: w.isin(*positive)))
-    neg = F.size(F.filter(words, lambda w: w.isin(*negative)))
-    return _from_counts(pos, neg)
-
-
 def _from_counts(pos: Column, neg: Column) -> Column:
     ratio = pos / (pos + neg)
     label = F.when(ratio > 0.6, "positive").when(ratio < 0.4, "negative").otherwise("neutral")
@@ -85,9 +73,35 @@ def blank_sentiment() -> Column:
     return _constant("neutral", 0, 0, 1, 1)
 
 
-def score_lexicon(df: DataFrame, text: str, **lexicon: Sequence[str]) -> DataFrame:
-    """Adds the score columns of the lexicon rule."""
-    return df.withColumn("_s", lexicon_sentiment(text, **lexicon)).select("*", "_s.*").drop("_s")
+def score_lexicon(
+    df: DataFrame,
+    text: str,
+    positive: Sequence[str] = tuple(lx.POSITIVE_WORDS),
+    negative: Sequence[str] = tuple(lx.NEGATIVE_WORDS),
+) -> DataFrame:
+    """Label and scores from counts of whitespace tokens; punctuation stays on the tokens.
+
+    Token list and hit counts are columns of their own, so that each is computed once per row
+    although the score formulas use them several times.
+    """
+    return _expand(_with_hits(df, text, positive, negative), _from_counts(F.col("_pos"), F.col("_neg"))).drop("_pos", "_neg")
+
+
+def _with_hits(df: DataFrame, text: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
+    return (
+        df.withColumn("_words", tx.tokens(text))
+        .withColumns(
+            {
+                "_pos": F.size(F.filter("_words", lambda w: w.isin(*positive))),
+                "_neg": F.size(F.filter("_words", lambda w: w.isin(*negative))),
+            }
+        )
+        .drop("_words")
+    )
+
+
+def _expand(df: DataFrame, scores: Column) -> DataFrame:
+    return df.withColumn("_s", scores).select("*", "_s.*").drop("_s")
 
 
 def score_model(
@@ -118,17 +132,14 @@ def score_model(
                     millis[i] = spent
             yield pdf.assign(probabilities=probabilities, inference_time_ms=millis)
 
-    predicted = df.mapInPandas(run, schema)
+    words = {"positive": lx.POSITIVE_WORDS, "negative": lx.NEGATIVE_WORDS, **lexicon}
     failed = F.col("probabilities").isNull() & ~tx.is_blank(text)
-    return (
-        predicted.withColumn(
-            "_s",
-            F.when(failed, lexicon_sentiment(text, **lexicon)).otherwise(two_class_sentiment("probabilities", text)),
-        )
-        .withColumn("model_loaded", ~failed)
-        .select("*", "_s.*")
-        .drop("_s")
-    )
+    predicted = df.mapInPandas(run, schema).withColumn("model_loaded", ~failed)
+    # Only failed rows pay for tokenising.
+    counted = _with_hits(predicted.withColumn("_t", F.when(~F.col("model_loaded"), F.col(text))), "_t", **words)
+    fallback = _from_counts(F.col("_pos"), F.col("_neg"))
+    model = two_class_sentiment("probabilities", text)
+    return _expand(counted, F.when(F.col("model_loaded"), model).otherwise(fallback)).drop("_t", "_pos", "_neg")
 
 
 def _predict_or_none(predict: Predictor, texts: list[str]) -> list:
@@ -143,34 +154,42 @@ def _predict_or_none(predict: Predictor, texts: list[str]) -> list:
 def score_pipeline(df: DataFrame, text: str, model: Transformer, probability: str = "probability") -> DataFrame:
     """Scores with a fitted ``pyspark.ml`` pipeline of two classes (no Python per row)."""
     scored = model.transform(df).withColumn("probabilities", vector_to_array(probability))
-    keep = [*df.columns, "probabilities"]
-    return scored.select(*keep).withColumn("_s", two_class_sentiment("probabilities", text)).select("*", "_s.*").drop("_s")
+    return _expand(scored.select(*df.columns, "probabilities"), two_class_sentiment("probabilities", text))
 
 
 # --- phrase-based aspects (flat shape) --------------------------------------------------
 
-def phrase_aspects(
-    text: Column | str,
-    phrases: Mapping[str, tuple[Sequence[str], Sequence[str]]] = lx.ASPECT_PHRASES,
-    candidates: Sequence[str] = tuple(lx.ASPECT_CANDIDATES),
-) -> Column:
-    """Flat ``{aspect: sentiment}``; with no hit at all the first three candidates are neutral."""
-    low = F.lower(tx.as_col(text))
-    entries = []
-    for aspect, (pos_phrases, neg_phrases) in phrases.items():
-        pos = tx.containment_count(low, pos_phrases)
-        neg = tx.containment_count(low, neg_phrases)
-        label = F.when(pos > neg, "positive").when(neg > pos, "negative").when(pos > 0, "neutral")
-        entries.append(F.when(label.isNotNull(), F.struct(F.lit(aspect), label)))
-    found = F.map_from_entries(F.array_compact(F.array(*entries)))
+Phrases = Mapping[str, tuple[Sequence[str], Sequence[str]]]
+
+
+def with_phrase_aspects(
+    df: DataFrame, text: str, phrases: Phrases = lx.ASPECT_PHRASES, candidates: Sequence[str] = tuple(lx.ASPECT_CANDIDATES), out: str = "aspects"
+) -> DataFrame:
+    """Adds flat ``{aspect: sentiment}``; with no hit at all the first three candidates are neutral."""
+    low, counts, labels = F.col("_low"), {}, {}
+    for aspect, (positive, negative) in phrases.items():
+        counts[f"_p_{aspect}"] = tx.containment_count(low, positive)
+        counts[f"_n_{aspect}"] = tx.containment_count(low, negative)
+        pos, neg = F.col(f"_p_{aspect}"), F.col(f"_n_{aspect}")
+        labels[f"_l_{aspect}"] = F.when(pos > neg, "positive").when(neg > pos, "negative").when(pos > 0, "neutral")
+    entries = [F.when(F.col(f"_l_{a}").isNotNull(), F.struct(F.lit(a).alias("key"), F.col(f"_l_{a}").alias("value"))) for a in phrases]
     slugs = [c.lower().replace(" ", "_") for c in candidates[:3]]
     fallback = F.create_map(*[F.lit(v) for slug in slugs for v in (slug, "neutral")])
-    return F.when(F.size(found) > 0, found).otherwise(fallback)
+    return (
+        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumns(counts)
+        .withColumns(labels)
+        .withColumn("_found", F.map_from_entries(F.array_compact(F.array(*entries))))
+        .withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(fallback))
+        .drop("_low", "_found", *counts, *labels)
+    )
 
 
-def score_phrase_aspects(df: DataFrame, text: str, candidates: Sequence[str] = tuple(lx.ASPECT_CANDIDATES), phrases=lx.ASPECT_PHRASES) -> DataFrame:
+def score_phrase_aspects(
+    df: DataFrame, text: str, candidates: Sequence[str] = tuple(lx.ASPECT_CANDIDATES), phrases: Phrases = lx.ASPECT_PHRASES
+) -> DataFrame:
     return (
-        df.withColumn("aspects", phrase_aspects(F.coalesce(F.col(text), F.lit("")), phrases, candidates))
+        with_phrase_aspects(df, text, phrases, candidates)
         .withColumn("aspect_scores", F.transform_values("aspects", lambda k, v: F.lit(0.5)))
         .withColumn("num_aspects_detected", F.size("aspects"))
         .withColumn("total_aspects", F.lit(len(candidates)))
@@ -183,7 +202,7 @@ def zero_shot_aspects(
     scores: str,
     aspects: Sequence[str] = tuple(lx.ASPECT_CANDIDATES),
     threshold: float = 0.3,
-    phrases=lx.ASPECT_PHRASES,
+    phrases: Phrases = lx.ASPECT_PHRASES,
 ) -> DataFrame:
     """Thresholded aspects from an injected scorer, with the phrase rule as fallback.
 
@@ -198,18 +217,15 @@ def zero_shot_aspects(
         slug = aspect.lower().replace(" ", "_")
         entries.append(F.when(best >= threshold, F.struct(F.lit(slug), F.struct(label.alias("l"), vl.rounded(best, 4).alias("s")))))
     found = F.map_from_entries(F.array_compact(F.array(*entries)))
+    labels_only = F.transform_values("_shot", lambda k, v: v["l"])
     return (
-        df.withColumn("_found", found)
-        .withColumn(
-            "aspects",
-            F.when(F.size("_found") > 0, F.transform_values("_found", lambda k, v: v["l"])).otherwise(
-                phrase_aspects(text, phrases, aspects)
-            ),
-        )
-        .withColumn("aspect_scores", F.transform_values("_found", lambda k, v: v["s"]))
-        .withColumn("num_aspects_detected", F.size("_found"))
+        with_phrase_aspects(df, text, phrases, aspects, "_rule")
+        .withColumn("_shot", found)
+        .withColumn("aspects", F.when(F.size("_shot") > 0, labels_only).otherwise(F.col("_rule")))
+        .withColumn("aspect_scores", F.transform_values("_shot", lambda k, v: v["s"]))
+        .withColumn("num_aspects_detected", F.size("_shot"))
         .withColumn("total_aspects", F.lit(len(aspects)))
-        .drop("_found")
+        .drop("_shot", "_rule")
     )
 
 
@@ -233,41 +249,52 @@ def aggregate_aspects(scored: DataFrame, candidates: Sequence[str] = tuple(lx.AS
 
 # --- taxonomy aspects (nested shape) -----------------------------------------------------
 
-def taxonomy_aspects(
-    text: Column | str,
+def with_taxonomy_aspects(
+    df: DataFrame,
+    text: str,
     taxonomy: Mapping[str, Sequence[str]] = lx.ASPECT_TAXONOMY,
     positive: Sequence[str] = tuple(lx.OPINION_WORDS_POSITIVE),
     negative: Sequence[str] = tuple(lx.OPINION_WORDS_NEGATIVE),
-) -> Column:
-    """Nested ``{aspect: {score, sentiment, keywords}}``.
+    out: str = "aspects",
+) -> DataFrame:
+    """Adds nested ``{aspect: {score, sentiment, keywords}}``.
 
-    Opinion words count only inside sentences that hold a keyword of the aspect.
+    Opinion words count only inside sentences that hold a keyword of the aspect. Each
+    intermediate value is a column of its own and is computed once per row.
     """
-    low = F.lower(tx.as_col(text))
-    parts = tx.sentences(low)
+    low = F.col("_low")
+    matched = {f"_m_{a}": tx.contained_phrases(low, kws) for a, kws in taxonomy.items()}
+    near, counts = {}, {}
+    for a, kws in taxonomy.items():
+        near[f"_t_{a}"] = F.array_join(F.filter("_parts", _holds(kws)), " ")
+        counts[f"_p_{a}"] = tx.containment_count(F.col(f"_t_{a}"), positive)
+        counts[f"_n_{a}"] = tx.containment_count(F.col(f"_t_{a}"), negative)
     entries = []
-    for aspect, keywords in taxonomy.items():
-        matched = tx.contained_phrases(low, keywords)
-        near = F.array_join(F.filter(parts, lambda s, kws=tuple(keywords): tx.contains_any(s, kws)), " ")
-        pos, neg = tx.containment_count(near, positive), tx.containment_count(near, negative)
+    for a in taxonomy:
+        hit, pos, neg = F.col(f"_m_{a}"), F.col(f"_p_{a}"), F.col(f"_n_{a}")
         label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
-        value = F.struct(F.size(matched).alias("score"), label.alias("sentiment"), matched.alias("keywords"))
-        entries.append(F.when(tx.contains_any(low, keywords), F.struct(F.lit(aspect).alias("key"), value.alias("value"))))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+        value = F.struct(F.size(hit).alias("score"), label.alias("sentiment"), hit.alias("keywords"))
+        entries.append(F.when(F.size(hit) > 0, F.struct(F.lit(a).alias("key"), value.alias("value"))))
+    return (
+        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumns({"_parts": tx.sentences(low), **matched})
+        .withColumns(near)
+        .withColumns(counts)
+        .withColumn(out, F.map_from_entries(F.array_compact(F.array(*entries))))
+        .drop("_low", "_parts", *matched, *near, *counts)
+    )
+
+
+def _holds(keywords: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda sentence: tx.contains_any(sentence, keywords)
 
 
 def analyse_texts(df: DataFrame, text: str, taxonomy=lx.ASPECT_TAXONOMY, opinions=None, **lexicon: Sequence[str]) -> DataFrame:
     """Lexicon sentiment and taxonomy aspects in one record; blank texts are neutral with no aspects."""
-    opinions = opinions or {}
-    blank = tx.is_blank(text)
-    aspects = taxonomy_aspects(text, taxonomy, **opinions)
-    nothing = F.from_json(F.lit("{}"), "map<string,struct<score:int,sentiment:string,keywords:array<string>>>")
-    return (
-        df.withColumn("_s", F.when(blank, blank_sentiment()).otherwise(lexicon_sentiment(text, **lexicon)))
-        .withColumn("aspects", F.when(blank, nothing).otherwise(aspects))
-        .select("*", "_s.*")
-        .drop("_s")
-    )
+    words = {"positive": lx.POSITIVE_WORDS, "negative": lx.NEGATIVE_WORDS, **lexicon}
+    scored = with_taxonomy_aspects(_with_hits(df, text, **words), text, taxonomy, **(opinions or {}))
+    scores = F.when(tx.is_blank(text), blank_sentiment()).otherwise(_from_counts(F.col("_pos"), F.col("_neg")))
+    return _expand(scored, scores).drop("_pos", "_neg")
 
 
 # --- rule topics ---------------------------------------------------------------------------
