@@ -78,15 +78,20 @@ def topic_distribution(assigned: DataFrame, topic: str = "topic_id") -> DataFram
 
 # --- n-grams and keywords --------------------------------------------------------------------
 
-def ngrams(text: Column | str, stop_words: Sequence[str]) -> Column:
-    """Words of two or more characters that are no stop words, and their bigrams."""
-    words = F.regexp_extract_all(F.lower(tx.as_col(text)), F.lit(WORD), 1)
+def with_ngrams(df: DataFrame, text: str, stop_words: Sequence[str], out: str = "_terms") -> DataFrame:
+    """Adds the words of two or more characters that are no stop words, followed by their bigrams."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 1)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    nexts = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    following = F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1)))
     # The last word has no successor: its pair is null.
-    pairs = F.array_compact(F.zip_with(words, nexts, lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(words, pairs)
+    pairs = F.zip_with("_w", "_next", lambda a, b: F.concat(a, F.lit(" "), b))
+    return (
+        df.withColumn("_w", words)
+        .withColumn("_next", following)
+        .withColumn(out, F.concat("_w", F.array_compact(pairs)))
+        .drop("_w", "_next")
+    )
 
 
 def ngram_vocabulary(
@@ -94,7 +99,7 @@ def ngram_vocabulary(
 ) -> DataFrame:
     """Unigrams and bigrams by document frequency, bounds inclusive."""
     total = texts.agg(F.count("*")).scalar()
-    terms = texts.select(F.explode(F.array_distinct(ngrams(text, stop_words))).alias("term"))
+    terms = with_ngrams(texts.select(text), text, stop_words).select(F.explode(F.array_distinct("_terms")).alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("doc_freq"))
     return counts.filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= total * max_df))
 
@@ -104,20 +109,27 @@ def class_tf_idf(
 ) -> DataFrame:
     """Keyword weight per topic: ``tf(t, c) * log(1 + A / f(t))``, A the mean number of terms per topic.
 
-    Terms are counted per (topic, term) first, with map-side partial counts; the frequency bounds, the
-    term totals and A are formed from these counts.
+    One pass over the texts counts occurrences and documents per (topic, term), with map-side partial
+    sums. Everything else is formed from these counts; the window per term holds one row per topic.
     """
     total_docs = texts.agg(F.count("*")).scalar()
-    doc_terms = texts.select(topic, F.explode(ngrams(text, stop_words)).alias("term"))
-    tf = doc_terms.groupBy(topic, "term").agg(F.count("*").alias("tf"))
-    vocabulary = texts.select(F.explode(F.array_distinct(ngrams(text, stop_words))).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    ).filter((F.col("df") >= min_df) & (F.col("df") <= total_docs * max_df))
-    kept = tf.join(vocabulary.select("term"), "term", "left_semi")
-    frequency = kept.groupBy("term").agg(F.sum("tf").alias("f"))
+    occurrences = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
+    documents = F.transform(
+        F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
+    )
+    counted = (
+        with_ngrams(texts.select(topic, text), text, stop_words)
+        .select(topic, F.explode(F.concat(occurrences, documents)).alias("_e"))
+        .groupBy(topic, F.col("_e.term").alias("term"))
+        .agg(F.sum("_e.n").alias("tf"), F.sum("_e.docs").alias("_docs"))
+    )
+    term = Window.partitionBy("term")
+    kept = (
+        counted.withColumns({"_df": F.sum("_docs").over(term), "_f": F.sum("tf").over(term)})
+        .filter((F.col("_df") >= min_df) & (F.col("_df") <= total_docs * max_df))
+    )
     mean_terms = kept.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.avg("n")).scalar()
-    weight = F.col("tf") * F.log(1 + mean_terms / F.col("f"))
-    return kept.join(frequency, "term").select(topic, "term", "tf", weight.alias("weight"))
+    return kept.select(topic, "term", "tf", (F.col("tf") * F.log(1 + mean_terms / F.col("_f"))).alias("weight"))
 
 
 def topic_keywords(weights: DataFrame, topic: str, n: int = 10, topic_id=None) -> DataFrame:

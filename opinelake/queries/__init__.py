@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["relational", "text"]
+MODULES = ["relational", "text", "learning", "live"]
 
 
 def load_all():

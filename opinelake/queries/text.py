@@ -49,7 +49,7 @@ STOP = ["the", "of", "and", "to", "in"]
 
 
 def _docs(spark, sf) -> DataFrame:
-    return star.table(spark, sf, "documents")
+    return star.documents(spark, sf)
 
 
 # --- A: scans and sinks -------------------------------------------------------------------------

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents. A file of few row groups is spread over all cores, because the text operators are
+    bound by CPU; an input with enough splits is left as it is."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    few = docs._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return docs.repartition(cores, "doc_id") if few else docs
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("product_id"),
@@ -90,7 +99,7 @@ def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews with cleaned text, one product per source, 40 days of dates."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("review_id"),
         F.col("source").alias("product_id"),
         "lang",
@@ -103,7 +112,7 @@ def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored label per document."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.alias("review_id"),
         F.when(d % 3 == 0, "positive").when(d % 3 == 1, "negative").otherwise("neutral").alias("predicted_sentiment"),
     )
@@ -112,7 +121,7 @@ def text_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-class truth, logits and text: one row per labelled document."""
     labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     d = F.col("doc_id")
     truth = (F.col("quality") + F.col("toxic")).cast("int")
     logits = F.array(*[((d * m % 23) / 10.0) for m in (7, 11, 13)])
@@ -128,7 +137,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of the review CSV."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.alias("Id"),
         F.col("source").alias("ProductId"),
         F.concat(F.lit("user"), (d % 97).cast("string")).alias("UserId"),
@@ -147,7 +156,7 @@ def raw_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     ts = F.timestamp_seconds(F.lit(1239056385) + d * 61)
     one_line = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\xFF]", ""), r"[\r\n]+", " ")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.element_at(F.array(F.lit(0), F.lit(2), F.lit(4), F.lit(3)), (d % 4 + 1).cast("int")).alias("sentiment"),
         d.alias("id"),
         F.date_format(ts, "EEE MMM dd HH:mm:ss 'UTC' yyyy").alias("date"),

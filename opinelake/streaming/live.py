@@ -24,7 +24,11 @@ REFRESH = "30 seconds"
 
 
 def read_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over a parquet folder, with the schema of the files that are there."""
+    """File stream over a parquet folder (or one file), with the schema of the files that are there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(target).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a glob
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -89,7 +93,9 @@ def spike_stream(
         state.update((flags.iloc[-(window - 1):].astype(int).tolist(),))
         ratio = flags.rolling(window).sum().iloc[len(kept):].to_numpy() / window
         out = pd.DataFrame({key: keys[0], "tie": rows["tie"].to_numpy(), "negative_ratio": ratio})
-        yield out[out["negative_ratio"] >= threshold]
+        out = out[out["negative_ratio"] >= threshold]
+        if len(out):
+            yield out
 
     return slim.groupBy(key).applyInPandasWithState(
         update,
