@@ -20,6 +20,8 @@ NON_ASCII = r"[^\x00-\x7F]"
 PUNCTUATION = r"[^\w\s']"
 DIGITS = r"\d+"
 SPACES = r"\s+"
+NO_WORD = r"[^\w']+"
+NO_LETTER = r"[^A-Za-z_']+"
 UNICODE_SPACES = r"(?U)\s+"
 SENTENCE_END = r"[.!?]+"
 TREND_WORD = r"\b([a-z]{3,})\b"
@@ -66,23 +68,23 @@ def squeeze_lower(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """Review cleaning; null becomes the empty string."""
+    """Review cleaning; null becomes the empty string.
+
+    Punctuation to space and squeezing are one pass: both only merge what is neither a word
+    character nor an apostrophe.
+    """
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    for step in (strip_html, strip_urls, strip_emails, ascii_only, punctuation_to_space, squeeze_lower):
+    for step in (strip_html, strip_urls, strip_emails, ascii_only):
         text = step(text)
-    return text
+    return F.lower(F.trim(F.regexp_replace(text, NO_WORD, " ")))
 
 
 def clean_tweet_text(c: Column | str) -> Column:
     """Tweet cleaning; mentions go before e-mails, so ``a@b.com`` leaves ``a com``."""
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    steps = (
-        strip_html, strip_urls, strip_mentions, unwrap_hashtags, strip_emails, ascii_only,
-        punctuation_to_space, digits_to_space, squeeze_lower,
-    )
-    for step in steps:
+    for step in (strip_html, strip_urls, strip_mentions, unwrap_hashtags, strip_emails, ascii_only):
         text = step(text)
-    return text
+    return F.lower(F.trim(F.regexp_replace(text, NO_LETTER, " ")))
 
 
 def is_blank(c: Column | str) -> Column:

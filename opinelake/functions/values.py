@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from itertools import chain
 
@@ -123,12 +124,20 @@ def summary_severity(confidence: Column | str) -> Column:
 
 # --- vectors --------------------------------------------------------------------------
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row. Written directly into a lambda, an
+    expression would be computed again for every array element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column | str) -> Column:
     """Softmax over an array column, shifted by the maximum so ``exp`` cannot overflow."""
     x = as_col(logits)
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    norm = F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / norm)
+
+    def normalise(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))), normalise)
 
 
 def argmax(vector: Column | str) -> Column:

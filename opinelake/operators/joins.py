@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinelake.functions.values import let
+
 
 def reviews_with_sentiment(reviews: DataFrame, sentiment: DataFrame, how: str = "inner") -> DataFrame:
     """1:1 join on the unique review id, so no key can be hot.
@@ -75,10 +77,8 @@ def keyword_matches(texts: DataFrame, text: str, keywords: DataFrame, keyword: s
     (scalar subquery), so there is neither a cross join nor a shuffle of the texts.
     """
     words = keywords.agg(F.collect_set(keyword)).scalar()
-    lowered = F.lower(F.col(text))
-    return texts.withColumn("_words", words).withColumn(
-        keyword, F.explode(F.filter("_words", lambda k: F.contains(lowered, k)))
-    ).drop("_words")
+    found = let(F.lower(F.col(text)), lambda low: F.filter("_words", lambda k: F.contains(low, k)))
+    return texts.withColumn("_words", words).withColumn(keyword, F.explode(found)).drop("_words")
 
 
 def missing_products(incoming: DataFrame, products: DataFrame) -> DataFrame:

@@ -16,6 +16,15 @@ def keep_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select([c for c in wanted if c in df.columns])
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for an expensive value that is filtered on afterwards.
+
+    A filter on a plain column is pushed below the projection, and with it a second copy of the
+    expression. A filter on a generated column stays where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Schema check when the plan is built; no job runs."""
     missing = [c for c in required if c not in df.columns]

@@ -23,7 +23,7 @@ def preprocess_reviews(
     df = pr.rating_in_range(pr.drop_null(df, ["Text", "Score"]))
     if remove_duplicates:
         df = keep_first(df, "Text", ["Id"])
-    df = df.withColumn("cleaned_text", tx.clean_text("Text")).withColumn("review_length", F.length("cleaned_text"))
+    df = pr.computed_once(df, "cleaned_text", tx.clean_text("Text")).withColumn("review_length", F.length("cleaned_text"))
     df = pr.length_in_range(df, "cleaned_text", min_length, max_length)
     df = df.withColumn("sentiment_label", vl.rating_label("Score"))
     if "Time" in df.columns:
@@ -40,7 +40,7 @@ def preprocess_tweets(
     df = pr.drop_null(raw.withColumn("sentiment_label", vl.polarity_label("sentiment")), ["sentiment_label"])
     if remove_duplicates:
         df = keep_first(df, "text", ["id"])
-    df = df.withColumn("cleaned_text", tx.clean_tweet_text("text")).withColumn("review_length", F.length("cleaned_text"))
+    df = pr.computed_once(df, "cleaned_text", tx.clean_tweet_text("text")).withColumn("review_length", F.length("cleaned_text"))
     df = pr.length_in_range(df, "cleaned_text", max(min_length, 1), max_length)
     return df.withColumn("review_date", vl.lenient_tweet_date("date")).withColumn("source", F.lit(source))
 

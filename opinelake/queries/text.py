@@ -605,7 +605,8 @@ def _step(name: str) -> None:
 
     @query(name, f"SELECT {key}, {sql(col)} AS value FROM {table}")
     def _(spark, sf):
-        return star.table(spark, sf, table).select(key, fn(col).alias("value"))
+        rows = star.documents(spark, sf) if table == "documents" else star.table(spark, sf, table)
+        return rows.select(key, fn(col).alias("value"))
 
 
 for _name in _TEXT_STEPS:
