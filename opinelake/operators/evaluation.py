@@ -131,9 +131,9 @@ def outcome_counts(df: DataFrame) -> DataFrame:
 
 def _score_groups(df: DataFrame) -> DataFrame:
     """Positives and negatives per (class, score): ties are one row from here on."""
-    long = df.select("true_id", F.posexplode("probabilities").alias("class_id", "score"))
+    long = df.select("true_id", F.posexplode_outer("probabilities").alias("class_id", "score"))
     mine = F.col("true_id") == F.col("class_id")
-    return long.groupBy("class_id", "score").agg(
+    return long.filter(F.col("score").isNotNull()).groupBy("class_id", "score").agg(
         F.count_if(mine).alias("pos"), F.count_if(~mine).alias("neg")
     )
 

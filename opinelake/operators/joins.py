@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinelake.functions.values import let
+from opinelake.operators.projections import one_row_each
 
 
 def reviews_with_sentiment(reviews: DataFrame, sentiment: DataFrame, how: str = "inner") -> DataFrame:
@@ -78,7 +79,7 @@ def keyword_matches(texts: DataFrame, text: str, keywords: DataFrame, keyword: s
     """
     words = keywords.agg(F.collect_set(keyword)).scalar()
     found = let(F.lower(F.col(text)), lambda low: F.filter("_words", lambda k: F.contains(low, k)))
-    return texts.withColumn("_words", words).withColumn(keyword, F.explode(found)).drop("_words")
+    return one_row_each(texts.withColumn("_words", words), found, keyword, *texts.columns)
 
 
 def missing_products(incoming: DataFrame, products: DataFrame) -> DataFrame:

@@ -25,6 +25,15 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def one_row_each(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per non-null array element, next to the ``keep`` columns.
+
+    Uses the outer form: for the plain ``explode`` the optimizer adds a filter on the array size
+    below it, which computes an expensive array a second time.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Schema check when the plan is built; no job runs."""
     missing = [c for c in required if c not in df.columns]

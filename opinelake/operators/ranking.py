@@ -122,9 +122,19 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42, hex_digits: i
     return df.withColumn("_cut", cut.select("_cut").scalar()).filter(here <= F.col("_cut")).drop("_cut")
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """All rows in a repeatable random order (range-partitioned sort)."""
-    return df.withColumn("shuffle_key", seeded_hash(key, seed)).orderBy("shuffle_key", key)
+def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """All rows in a repeatable random total order, independent of the number of partitions.
+
+    The order key is uniform, so equal ranges of it are balanced partitions. They are assigned
+    directly: a global sort would compute the input twice, once only to sample its range bounds.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)
+    return (
+        df.withColumn("shuffle_key", seeded_hash(key, seed))
+        .repartitionById(n, F.floor(share).cast("int"))
+        .sortWithinPartitions("shuffle_key", key)
+    )
 
 
 def running_totals(

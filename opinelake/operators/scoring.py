@@ -235,7 +235,7 @@ def aggregate_aspects(scored: DataFrame, candidates: Sequence[str] = tuple(lx.AS
     slugs = [c.lower().replace(" ", "_") for c in candidates]
     label = F.col("sentiment")
     return (
-        scored.select(F.explode("aspects").alias("aspect", "sentiment"))
+        scored.select(F.explode_outer("aspects").alias("aspect", "sentiment"))
         .filter(F.col("aspect").isin(*slugs))
         .groupBy("aspect")
         .agg(
@@ -299,7 +299,9 @@ def analyse_texts(df: DataFrame, text: str, taxonomy=lx.ASPECT_TAXONOMY, opinion
 
 # --- rule topics ---------------------------------------------------------------------------
 
-def rule_topics(text: Column | str, topics: Mapping[str, Sequence[str]] = lx.TOPIC_KEYWORDS) -> Column:
-    """All topics with at least one keyword in the text."""
-    low = F.lower(tx.as_col(text))
-    return F.array_compact(F.array(*[F.when(tx.contains_any(low, kws), F.lit(t)) for t, kws in topics.items()]))
+def with_rule_topics(
+    df: DataFrame, text: str, topics: Mapping[str, Sequence[str]] = lx.TOPIC_KEYWORDS, out: str = "topics"
+) -> DataFrame:
+    """Adds all topics with at least one keyword in the text."""
+    found = [F.when(tx.contains_any(F.col("_low"), kws), F.lit(t)) for t, kws in topics.items()]
+    return df.withColumn("_low", F.lower(F.col(text))).withColumn(out, F.array_compact(F.array(*found))).drop("_low")

@@ -14,7 +14,8 @@ from opinelake import lexicons as lx
 from opinelake.functions import text as tx
 from opinelake.functions import values as vl
 from opinelake.operators.ordering import top_k
-from opinelake.operators.scoring import rule_topics
+from opinelake.operators.projections import one_row_each
+from opinelake.operators.scoring import with_rule_topics
 from opinelake.operators.windows import first_n
 
 OUTLIER = -1
@@ -29,11 +30,13 @@ def rule_topic_report(
     A document counts for every topic it matches, so ``outlier_count`` (documents minus matches) can
     be negative; ``unmatched_docs`` is the number of documents without any topic.
     """
-    tagged = texts.select(key, tx.truncate(text, 200).alias("_doc"), rule_topics(text, topics).alias("_topics"))
+    tagged = with_rule_topics(texts.select(key, text), text, topics, "_topics").select(
+        key, tx.truncate(text, 200).alias("_doc"), "_topics"
+    )
     totals = tagged.agg(
         F.struct(F.count("*").alias("docs"), F.count_if(F.size("_topics") == 0).alias("unmatched"))
     ).scalar()
-    hits = tagged.select(key, "_doc", F.explode("_topics").alias("topic"))
+    hits = one_row_each(tagged, "_topics", "topic", key, "_doc")
     counts = top_k(hits.groupBy("topic").agg(F.count("*").alias("count")), "topic", "count", top_n)
     examples = (
         first_n(hits, "topic", [key], docs)
@@ -99,7 +102,7 @@ def ngram_vocabulary(
 ) -> DataFrame:
     """Unigrams and bigrams by document frequency, bounds inclusive."""
     total = texts.agg(F.count("*")).scalar()
-    terms = with_ngrams(texts.select(text), text, stop_words).select(F.explode(F.array_distinct("_terms")).alias("term"))
+    terms = one_row_each(with_ngrams(texts.select(text), text, stop_words), F.array_distinct("_terms"), "term")
     counts = terms.groupBy("term").agg(F.count("*").alias("doc_freq"))
     return counts.filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= total * max_df))
 
@@ -113,15 +116,13 @@ def class_tf_idf(
     sums. Everything else is formed from these counts; the window per term holds one row per topic.
     """
     total_docs = texts.agg(F.count("*")).scalar()
-    occurrences = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    documents = F.transform(
-        F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
+    lists = with_ngrams(texts.select(topic, text), text, stop_words).select(
+        topic, F.posexplode_outer(F.array("_terms", F.array_distinct("_terms"))).alias("_kind", "_list")
     )
     counted = (
-        with_ngrams(texts.select(topic, text), text, stop_words)
-        .select(topic, F.explode(F.concat(occurrences, documents)).alias("_e"))
-        .groupBy(topic, F.col("_e.term").alias("term"))
-        .agg(F.sum("_e.n").alias("tf"), F.sum("_e.docs").alias("_docs"))
+        one_row_each(lists, "_list", "term", topic, "_kind")
+        .groupBy(topic, "term")
+        .agg(F.count_if(F.col("_kind") == 0).alias("tf"), F.count_if(F.col("_kind") == 1).alias("_docs"))
     )
     term = Window.partitionBy("term")
     kept = (

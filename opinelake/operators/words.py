@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from opinelake.functions import text as tx
 from opinelake.operators.joins import keyword_matches
 from opinelake.operators.ordering import bottom_k, top_k
-from opinelake.operators.projections import for_product, look_back
+from opinelake.operators.projections import for_product, look_back, one_row_each
 from opinelake.operators.ranking import seeded_sample
 from opinelake.operators.windows import first_n, mode_by_count
 
 
 def word_counts(texts: DataFrame, text: str, longer_than: int) -> DataFrame:
     """Frequency of whitespace tokens with more than ``longer_than`` characters (map-side partial counts)."""
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), tx.UNICODE_SPACES)).alias("word"))
+    words = one_row_each(texts, F.split(F.lower(F.col(text)), tx.UNICODE_SPACES), "word")
     return words.filter(F.length("word") > longer_than).groupBy("word").agg(F.count("*").alias("frequency"))
 
 
@@ -68,7 +68,7 @@ def trending_topics(
 
 def trending_words(texts: DataFrame, text: str, stop_words: Sequence[str], top_n: int = 10) -> DataFrame:
     """Most frequent words of three or more letters that are no stop words."""
-    words = texts.select(F.explode(tx.trend_words(text)).alias("word"))
+    words = one_row_each(texts, tx.trend_words(text), "word")
     kept = words.filter(~F.col("word").isin(*stop_words)) if stop_words else words
     return top_k(kept.groupBy("word").agg(F.count("*").alias("frequency")), "word", "frequency", top_n)
 

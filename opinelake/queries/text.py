@@ -840,7 +840,8 @@ def _(spark, sf):
 FROM (SELECT doc_id, lower(text) AS t FROM documents)""",
 )
 def _(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.array_join(sc.rule_topics("text", TOPICS), ",").alias("topics"))
+    tagged = sc.with_rule_topics(_docs(spark, sf), "text", TOPICS)
+    return tagged.select("doc_id", F.array_join("topics", ",").alias("topics"))
 
 
 @query(
@@ -937,7 +938,7 @@ def _(spark, sf):
 
 @query("row_expansion_u3", TXT + f"SELECT review_id, word, count(*) AS n FROM (SELECT review_id, unnest({toks('cleaned_text')}) AS word FROM text_reviews) GROUP BY 1, 2")
 def _(spark, sf):
-    words = star.text_reviews(spark, sf).select("review_id", F.explode(tx.tokens("cleaned_text")).alias("word"))
+    words = pr.one_row_each(star.text_reviews(spark, sf), tx.tokens("cleaned_text"), "word", "review_id")
     return words.groupBy("review_id", "word").agg(F.count("*").alias("n"))
 
 
@@ -949,5 +950,5 @@ SELECT lang, review_id, unnest({toks('cleaned_text', 3)}) AS word FROM text_revi
 def _(spark, sf):
     from opinelake.operators.windows import mode_by_count
 
-    words = star.text_reviews(spark, sf).select("lang", "review_id", F.explode(tx.tokens("cleaned_text", 3)).alias("word"))
+    words = pr.one_row_each(star.text_reviews(spark, sf), tx.tokens("cleaned_text", 3), "word", "lang", "review_id")
     return mode_by_count(words, "lang", "word", "review_id", "most_common")
