@@ -137,6 +137,18 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, partitions: int | No
     )
 
 
+def quantile_slices(df: DataFrame, order: str, slices: int, out: str) -> DataFrame:
+    """Adds a slice number: about equal numbers of rows per slice, ascending with the numeric ``order``.
+
+    The bounds are approximate quantiles from one pass over the column, an array of ``slices - 1`` numbers.
+    """
+    probabilities = [i / slices for i in range(1, slices)]
+    bounds = sorted(set(df.approxQuantile(order, probabilities, 0.5 / slices))) if probabilities else []
+    if not bounds:  # one slice asked for, or no rows
+        return df.withColumn(out, F.lit(0.0))
+    return Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol=order, outputCol=out).transform(df)
+
+
 def running_totals(
     df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], slices: int = 256, descending: bool = False
 ) -> DataFrame:
@@ -146,10 +158,7 @@ def running_totals(
     approximate quantiles (a bounded array); totals of earlier slices are added to the sums inside a slice.
     """
     group = list(group)
-    probabilities = [i / slices for i in range(1, slices)]
-    bounds = sorted(set(df.approxQuantile(order, probabilities, 0.5 / slices)))
-    splits = [-float("inf"), *bounds, float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol=order, outputCol="_s").transform(df)
+    sliced = quantile_slices(df, order, slices, "_s")
     if descending:
         sliced = sliced.withColumn("_s", -F.col("_s"))
     by = F.desc(order) if descending else F.asc(order)

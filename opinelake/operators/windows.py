@@ -7,44 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinelake.operators.ranking import quantile_slices
+
 
 def negative_windows(
-    df: DataFrame, key: str, ts: str, tie: str, negative: Column, window: int = 10, slice_by: str = "day"
+    df: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    negative: Column,
+    window: int = 10,
+    hot_rows: int = 1_000_000,
+    slices: int = 256,
 ) -> DataFrame:
     """For every row with ``window - 1`` predecessors in its key: the negative share of the last ``window`` rows.
 
-    A key may hold a large part of all rows, so its time line is cut into ``slice_by`` slices that
-    are sorted in separate tasks. Each slice also receives the last ``window - 1`` flags from
-    before it (taken from at most ``window - 1`` earlier non-empty slices, since each holds a row).
-    Choose ``slice_by`` such that one slice of the hottest key fits one task.
+    A key with more than ``hot_rows`` rows is not sorted in one task: its time line is cut at
+    quantiles of all timestamps, so a slice holds about one of ``slices`` equal parts of the rows. Each
+    slice receives the last ``window - 1`` flags from before it, taken from at most ``window - 1``
+    earlier slices of the key, since each holds a row. Other keys stay in one piece.
     """
     back = window - 1
-    base = df.select(
-        F.col(key), F.col(ts), F.col(tie), negative.cast("int").alias("_neg"), F.date_trunc(slice_by, ts).alias("_slice")
+    slim = df.select(key, ts, tie, negative.cast("int").alias("_neg"), F.unix_micros(ts).cast("double").alias("_t"))
+    slim = quantile_slices(slim, "_t", slices, "_s")
+    # At most 10 000 keys can each hold a ten-thousandth of the rows: the hot list is safe to broadcast.
+    least = F.greatest(F.lit(hot_rows), F.col("_all") / 10_000)
+    hot = (
+        df.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_all", df.agg(F.count("*")).scalar())
+        .filter(F.col("_n") > least)
+        .select(key, F.lit(True).alias("_hot"))
+    )
+    base = (
+        slim.join(F.broadcast(hot), key, "left")
+        .withColumn("_slice", F.when(F.col("_hot"), F.col("_s")).otherwise(F.lit(-1.0)))
+        .select(key, ts, tie, "_neg", "_slice")
     )
     newest = Window.partitionBy(key, "_slice").orderBy(F.desc(ts), F.desc(tie))
     tails = (
-        base.withColumn("_rn", F.row_number().over(newest))
+        base.filter(F.col("_slice") >= 0)
+        .withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= back)
         .groupBy(key, "_slice")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_rn"), "_neg"))), lambda s: s["_neg"]).alias("_tail"))
     )
-    slices = Window.partitionBy(key).orderBy("_slice")
+    by_slice = Window.partitionBy(key).orderBy("_slice")
     empty = F.array().cast("array<int>")
-    before = F.concat(*[F.coalesce(F.lag("_tail", i).over(slices), empty) for i in range(back, 0, -1)])
+    before = F.concat(*[F.coalesce(F.lag("_tail", i).over(by_slice), empty) for i in range(back, 0, -1)])
     carries = tails.select(key, "_slice", before.alias("_carry"))
     inside = Window.partitionBy(key, "_slice").orderBy(ts, tie)
-    last = inside.rowsBetween(-back, Window.currentRow)
     carried = F.when(
         F.col("_missing") > 0,
         F.aggregate(F.expr("slice(_carry, -_missing, _missing)"), F.lit(0), lambda a, x: a + x),
     ).otherwise(F.lit(0))
     return (
         base.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_in", F.sum("_neg").over(last))
+        .withColumn("_in", F.sum("_neg").over(inside.rowsBetween(-back, Window.currentRow)))
         .withColumn("_missing", F.greatest(F.lit(window) - F.col("_rn"), F.lit(0)))
-        .join(carries, [key, "_slice"])
-        .filter(F.col("_missing") <= F.size("_carry"))
+        .join(carries, [key, "_slice"], "left")
+        .filter(F.col("_missing") <= F.coalesce(F.size("_carry"), F.lit(0)))
         .withColumn("_carried", carried)
         .withColumn("negative_ratio", (F.col("_in") + F.col("_carried")) / F.lit(float(window)))
         .select(key, ts, tie, "negative_ratio")
@@ -52,17 +74,10 @@ def negative_windows(
 
 
 def spikes(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    tie: str,
-    negative: Column,
-    window: int = 10,
-    threshold: float = 0.3,
-    slice_by: str = "day",
+    df: DataFrame, key: str, ts: str, tie: str, negative: Column, window: int = 10, threshold: float = 0.3, **slicing: int
 ) -> DataFrame:
     """Window positions whose negative share reaches the threshold."""
-    out = negative_windows(df, key, ts, tie, negative, window, slice_by)
+    out = negative_windows(df, key, ts, tie, negative, window, **slicing)
     return out.filter(F.col("negative_ratio") >= threshold)
 
 

@@ -21,8 +21,8 @@ LABELS = ("positive", "negative", "neutral")
 IDS = ["7", "3", "99999999", "12", "1"]
 
 
-def _rs(spark, sf):
-    return star.reviews(spark, sf), star.sentiment_results(spark, sf)
+def _rs(spark, sf, aspects=False):
+    return star.reviews(spark, sf), star.sentiment_results(spark, sf, aspects)
 
 
 def _prs(spark, sf):
@@ -100,7 +100,7 @@ def _(spark, sf):
   (SELECT count(*) FROM aspect_rows a WHERE a.review_id = s.review_id) AS n_aspects FROM sentiment_results s""",
 )
 def _(spark, sf):
-    se = star.sentiment_results(spark, sf).withColumns(
+    se = star.sentiment_results(spark, sf, aspects=True).withColumns(
         {
             "predicted_sentiment": F.nullif("predicted_sentiment", F.lit("neutral")),
             "confidence_score": F.when(F.col("confidence_score") > 0.1, F.col("confidence_score")),
@@ -322,7 +322,7 @@ FROM joined LEFT JOIN (SELECT * FROM aspect_rows WHERE aspect = 'value') a USING
 WHERE ingested_at >= TIMESTAMP '2001-08-01' - INTERVAL 400 DAY GROUP BY 1""",
 )
 def _(spark, sf):
-    return an.aspect_trend(*_rs(spark, sf), AS_OF, "value", days=400)
+    return an.aspect_trend(*_rs(spark, sf, aspects=True), AS_OF, "value", days=400)
 
 
 @query(
@@ -331,7 +331,7 @@ def _(spark, sf):
 FROM (SELECT unnest([{sql_list(star.ASPECTS)}]) AS aspect) LEFT JOIN (SELECT * FROM aspect_rows WHERE aspect <> 'usability') USING (aspect) GROUP BY 1""",
 )
 def _(spark, sf):
-    rv, se = _rs(spark, sf)
+    rv, se = _rs(spark, sf, aspects=True)
     return an.aspect_summary(rv, se.withColumn("aspects", F.map_filter("aspects", lambda k, _: k != "usability")))
 
 
@@ -424,7 +424,7 @@ FROM (SELECT count(*) AS t, {n_if('confidence_score < 0.7')} AS u, {n_if('confid
   {n_if('confidence_score >= 0.7')} AS i FROM sentiment_results WHERE analyzed_at >= TIMESTAMP '2001-08-01' - INTERVAL 24 HOUR)""",
 )
 def _(spark, sf):
-    return overview(*_rs(spark, sf), AS_OF)
+    return overview(*_rs(spark, sf, aspects=True), AS_OF)
 
 
 @query(

@@ -19,6 +19,8 @@ def build_session(app_name: str = "opinelake", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # No stack capture per column expression; plans are built about twice as fast.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # 128 MB scan splits; AQE merges small shuffle partitions afterwards.
         "spark.sql.files.maxPartitionBytes": "134217728",
     }

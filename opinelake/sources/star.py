@@ -6,7 +6,9 @@ live events = events. Each view has a SQL twin in ``opinelake.queries.base``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinelake.functions.text import clean_text
@@ -15,8 +17,15 @@ AS_OF = "2001-08-01 00:00:00"
 ASPECTS = ["quality", "shipping", "customer_service", "value", "usability"]
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str):
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is looked up once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +65,28 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sentiment_results(spark: SparkSession, sf_dir: str, aspects: bool = False) -> DataFrame:
+    """Stored predictions; the aspect map only on request."""
     key = F.col("o_orderkey")
     label = (
         F.when(F.col("o_orderstatus") == "F", "positive")
         .when(F.col("o_orderstatus") == "O", "negative")
         .otherwise("neutral")
     )
+    out = table(spark, sf_dir, "orders").select(
+        key.alias("result_id"),
+        key.alias("review_id"),
+        label.alias("predicted_sentiment"),
+        (key % 100 / 100.0).alias("positive_score"),
+        (key * 7 % 100 / 100.0).alias("negative_score"),
+        (key * 13 % 100 / 100.0).alias("neutral_score"),
+        (key * 37 % 100 / 100.0).alias("confidence_score"),
+        F.col("o_orderdate").cast("timestamp").alias("analyzed_at"),
+    )
+    return out.withColumn("aspects", _aspects(F.col("review_id"))) if aspects else out
+
+
+def _aspects(key: Column) -> Column:
     entries = F.array_compact(
         F.array(
             *[
@@ -84,17 +108,7 @@ def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]
         )
     )
-    return table(spark, sf_dir, "orders").select(
-        key.alias("result_id"),
-        key.alias("review_id"),
-        label.alias("predicted_sentiment"),
-        (key % 100 / 100.0).alias("positive_score"),
-        (key * 7 % 100 / 100.0).alias("negative_score"),
-        (key * 13 % 100 / 100.0).alias("neutral_score"),
-        (key * 37 % 100 / 100.0).alias("confidence_score"),
-        F.map_from_entries(entries).alias("aspects"),
-        F.col("o_orderdate").cast("timestamp").alias("analyzed_at"),
-    )
+    return F.map_from_entries(entries)
 
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
