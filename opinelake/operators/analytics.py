@@ -327,7 +327,12 @@ def alert_summary(
 def alert_history(
     reviews: DataFrame, sentiment: DataFrame, as_of, days: int = 30, product_id: str | None = None
 ) -> DataFrame:
-    """One row per result of the window."""
+    """One row per result of the window, newest first."""
+    return alert_rows(reviews, sentiment, as_of, days, product_id).orderBy(F.desc("date"), "review_id")
+
+
+def alert_rows(reviews: DataFrame, sentiment: DataFrame, as_of, days: int, product_id: str | None = None) -> DataFrame:
+    """The rows of the alert history in no order, for further aggregation."""
     recent = look_back(sentiment, "analyzed_at", as_of, days=days)
     slim = for_product(reviews, product_id).select("review_id", "product_id")
     df = recent.join(slim, "review_id", "left" if product_id in (None, "all") else "inner")
@@ -339,7 +344,7 @@ def alert_history(
         F.lit(1).alias("total"),
         negative.alias("negative_reviews"),
         negative.cast("double").alias("negative_ratio"),
-    ).orderBy(F.desc("date"), "review_id")
+    )
 
 
 def alert_history_daily(history: DataFrame) -> DataFrame:

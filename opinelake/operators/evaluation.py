@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from opinelake.functions import text as tx
 from opinelake.functions import values as vl
+from opinelake.operators.projections import top_rows
 from opinelake.operators.ranking import running_totals
 from opinelake.schema import CLASS_NAMES
 
@@ -176,7 +177,7 @@ def misclassified(df: DataFrame, text: str = "text", top_n: int = 20) -> DataFra
     named = F.map_from_arrays(
         F.array(*[F.lit(n) for n in CLASS_NAMES]), F.transform("probabilities", lambda p: vl.rounded(p, 4))
     )
-    top = wrong.withColumn("_c", confidence).orderBy(F.desc("_c"), "id").limit(top_n)
+    top = top_rows(wrong.withColumn("_c", confidence), [F.desc("_c"), "id"], top_n)
     return top.select(
         "id",
         tx.truncate(text, 200).alias("text"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinelake.functions import values as vl
-from opinelake.operators.projections import for_product, look_back
+from opinelake.operators.projections import for_product, look_back, top_rows
 
 
 def review_page(
@@ -26,7 +26,7 @@ def review_page(
         keys = sentiment.filter(F.col("predicted_sentiment") == label).select("review_id")
         df = df.join(keys, "review_id", "left_semi")
     total = df.agg(F.count("*")).scalar()
-    rows = df.orderBy(F.desc("ingested_at"), "review_id").offset((page - 1) * per_page).limit(per_page)
+    rows = top_rows(df, [F.desc("ingested_at"), "review_id"], per_page, (page - 1) * per_page)
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
 
 
@@ -58,7 +58,7 @@ def alert_list(
         df = df.join(marks, "result_id", "left").withColumn("acknowledged", F.coalesce("_ack", F.lit(False)))
     if acknowledged is not None:
         df = df.filter(F.col("acknowledged") == acknowledged)
-    page = df.orderBy(F.desc("analyzed_at"), "result_id").offset(offset).limit(limit)
+    page = top_rows(df, [F.desc("analyzed_at"), "result_id"], limit, offset)
     return page.select(
         F.col("result_id").alias("id"),
         "product_id",
@@ -73,14 +73,14 @@ def alert_list(
 
 
 def recent_reviews(reviews: DataFrame, n: int = 10) -> DataFrame:
-    return reviews.orderBy(F.desc("ingested_at"), "review_id").limit(n)
+    return top_rows(reviews, [F.desc("ingested_at"), "review_id"], n)
 
 
 def recent_alerts(
     reviews: DataFrame, sentiment: DataFrame, as_of, hours: int = 24, product_id: str | None = None, n: int = 10
 ) -> DataFrame:
     recent = look_back(sentiment, "analyzed_at", as_of, hours=hours)
-    df = _alert_base(reviews, recent, product_id).orderBy(F.desc("analyzed_at"), "result_id").limit(n)
+    df = top_rows(_alert_base(reviews, recent, product_id), [F.desc("analyzed_at"), "result_id"], n)
     return df.select(
         F.col("result_id").alias("id"),
         vl.list_severity("confidence_score").alias("severity"),
@@ -109,20 +109,20 @@ def alert_check(
     reviews: DataFrame, sentiment: DataFrame, product_id: str | None = None, newest: int = 50, below: float = 0.5
 ) -> DataFrame:
     """The newest results first, the confidence filter after that."""
-    df = _alert_base(reviews, sentiment, product_id).orderBy(F.desc("analyzed_at"), "result_id").limit(newest)
+    df = top_rows(_alert_base(reviews, sentiment, product_id), [F.desc("analyzed_at"), "result_id"], newest)
     return low_confidence_alerts(df, below)
 
 
 def training_history(versions: DataFrame, n: int = 5) -> DataFrame:
-    return versions.orderBy(F.desc("created_at"), F.desc("version_id")).limit(n)
+    return top_rows(versions, [F.desc("created_at"), F.desc("version_id")], n)
 
 
 def top_k(counts: DataFrame, value: str, count: str, k: int) -> DataFrame:
-    return counts.orderBy(F.desc(count), value).limit(k)
+    return top_rows(counts, [F.desc(count), value], k)
 
 
 def bottom_k(counts: DataFrame, value: str, count: str, k: int) -> DataFrame:
-    return counts.orderBy(count, value).limit(k)
+    return top_rows(counts, [count, value], k)
 
 
 def newest_first(df: DataFrame, ts: str, ties: Sequence[str]) -> DataFrame:
@@ -131,6 +131,6 @@ def newest_first(df: DataFrame, ts: str, ties: Sequence[str]) -> DataFrame:
 
 def alert_display(alerts: DataFrame, n: int = 20) -> DataFrame:
     """Newest first, alerts without a time last."""
-    return alerts.orderBy(F.desc_nulls_last("triggered_at"), "id").limit(n)
+    return top_rows(alerts, [F.desc_nulls_last("triggered_at"), "id"], n)
 
 

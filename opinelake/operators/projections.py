@@ -34,6 +34,16 @@ def one_row_each(df: DataFrame, array: Column | str, name: str, *keep: str) -> D
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def top_rows(df: DataFrame, order: Sequence[Column | str], n: int, offset: int = 0) -> DataFrame:
+    """First ``n`` rows by an order, always as a top-k: every task keeps its best rows only.
+
+    Several projections on top of a plain ``limit`` are pushed below it and turn the top-k into a sort
+    of all rows; they stop at the (otherwise idle) coalesce.
+    """
+    ordered = df.orderBy(*order)
+    return (ordered.offset(offset) if offset else ordered).limit(n).coalesce(1)
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Schema check when the plan is built; no job runs."""
     missing = [c for c in required if c not in df.columns]
@@ -164,7 +174,7 @@ def newest_reviews(
     df = for_product(reviews, product_id)
     if rating is not None:
         df = df.filter(F.col("raw_rating") == rating)
-    return df.orderBy(F.desc("review_date"), "review_id").limit(limit)
+    return top_rows(df, [F.desc("review_date"), "review_id"], limit)
 
 
 def score_maps(df: DataFrame) -> DataFrame:

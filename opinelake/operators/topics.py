@@ -196,8 +196,7 @@ def topic_report(
     )
     terms = F.transform("_k", lambda s: s["term"])
     return (
-        sizes.orderBy(F.desc("count"), "topic_id")
-        .limit(top_topics)
+        top_k(sizes, "topic_id", "count", top_topics)
         .join(named, "topic_id", "left")
         .join(examples, "topic_id", "left")
         .select(

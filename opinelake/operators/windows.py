@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinelake.operators.projections import top_rows
 from opinelake.operators.ranking import quantile_slices
 
 
@@ -100,7 +101,7 @@ def latest_spikes(
 
 def latest_by(df: DataFrame, ts: str, tie: str) -> DataFrame:
     """The newest record of the table."""
-    return df.orderBy(F.desc(ts), F.desc(tie)).limit(1)
+    return top_rows(df, [F.desc(ts), F.desc(tie)], 1)
 
 
 def first_n(df: DataFrame, by: str, order: Sequence, n: int, out: str = "position") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinelake.functions import text as tx
 from opinelake.operators.joins import keyword_matches
 from opinelake.operators.ordering import bottom_k, top_k
-from opinelake.operators.projections import for_product, look_back, one_row_each
+from opinelake.operators.projections import for_product, look_back, one_row_each, top_rows
 from opinelake.operators.ranking import seeded_sample
 from opinelake.operators.windows import first_n, mode_by_count
 
@@ -35,7 +35,7 @@ def trending_keywords(
         keys = sentiment.filter(F.col("predicted_sentiment") == label).select("review_id")
         df = df.join(keys, "review_id", "left_semi")
     if max_reviews is not None:
-        df = df.orderBy("review_id").limit(max_reviews)
+        df = top_rows(df, ["review_id"], max_reviews)
     analysed = df.agg(F.count("*")).scalar()
     top = top_k(word_counts(df, "cleaned_text", 3), "word", "frequency", top_n)
     return top.withColumn("total_reviews_analyzed", analysed)
@@ -83,13 +83,14 @@ def word_frequency_report(
     """
     df = texts if sample_size is None else seeded_sample(texts, key, sample_size, seed)
     counts = word_counts(df, text, 2)
-    totals = counts.agg(F.struct(F.count("*").alias("unique_words"), F.sum("frequency").alias("total_words"))).scalar()
-    top = top_k(counts, "word", "frequency", top_n).withColumn("list", F.lit("most_frequent"))
-    rare = bottom_k(counts, "word", "frequency", top_n).withColumn("list", F.lit("least_frequent"))
-    out = top.unionByName(rare).withColumn("_t", totals)
-    return out.select(
-        "list", "word", "frequency", F.col("_t.unique_words").alias("unique_words"), F.col("_t.total_words").alias("total_words")
-    ).filter((F.col("list") == "most_frequent") | (F.col("unique_words") >= top_n))
+    unique, total = counts.agg(F.count("*")).scalar(), counts.agg(F.sum("frequency")).scalar()
+    top = top_k(counts, "word", "frequency", top_n)
+    rare = bottom_k(counts, "word", "frequency", top_n).filter(unique >= top_n)
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.lit(name).alias("list"), "word", "frequency", unique.alias("unique_words"), total.alias("total_words"))
+
+    return rows(top, "most_frequent").unionByName(rows(rare, "least_frequent"))
 
 
 def default_stop_words(spark) -> list[str]:

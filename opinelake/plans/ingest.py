@@ -100,11 +100,9 @@ def seed_load(
     """
     if products.limit(1).count():
         return None
-    df = pr.drop_null(raw if sample_size is None else raw.orderBy("Id").limit(sample_size), ["Text"])
-    first = (
-        df.groupBy("ProductId").agg(F.min("Id").alias("_id"), F.min_by("Summary", "Id").alias("_summary"))
-        .orderBy("_id").limit(max_products)
-    )
+    df = pr.drop_null(raw if sample_size is None else pr.top_rows(raw, ["Id"], sample_size), ["Text"])
+    seen = df.groupBy("ProductId").agg(F.min("Id").alias("_id"), F.min_by("Summary", "Id").alias("_summary"))
+    first = pr.top_rows(seen, ["_id"], max_products)
     name = F.when(F.coalesce(F.length("_summary"), F.lit(0)) > 0, tx.truncate("_summary", 100)).otherwise(
         F.concat(F.lit("Product-"), F.substring("ProductId", 1, 8))
     )

@@ -394,7 +394,7 @@ def _(spark, sf):
 FROM ({_HIST}) GROUP BY 1""",
 )
 def _(spark, sf):
-    return an.alert_history_daily(an.alert_history(*_rs(spark, sf), AS_OF))
+    return an.alert_history_daily(an.alert_rows(*_rs(spark, sf), AS_OF, days=30))
 
 
 @query(

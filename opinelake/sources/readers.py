@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinelake.operators.projections import top_rows
 from opinelake.schema import REVIEW_CSV, TABLES, TWEET_CSV
 
 
@@ -124,4 +125,4 @@ def materialise(df: DataFrame, path: str, force_recreate: bool = False) -> DataF
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """First ``n`` rows by an explicit order, so that the result repeats."""
-    return df.orderBy(*order).limit(n)
+    return top_rows(df, order, n)

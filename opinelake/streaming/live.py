@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opinelake.operators.dedupe import keep_first
 from opinelake.operators.ordering import low_confidence_alerts
+from opinelake.operators.projections import top_rows
 from opinelake.operators.scoring import analyse_texts
 from opinelake.schema import SENTIMENT_LABELS
 
@@ -148,7 +149,7 @@ def run_latest(df: DataFrame, order: list[Column], out: str, checkpoint: str, n:
         if batch_id:
             before = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch={batch_id - 1:09d}")
             batch = batch.unionByName(before)
-        batch.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        top_rows(batch, order, n).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     return run_batches(df, write, checkpoint, **when)
 
