@@ -154,7 +154,23 @@ def _(spark, sf):
     return out.select("doc_id", *sc.SCORE_FIELDS, "model_loaded")
 
 
-@query("zero_shot_aspects_h7")
+def _zero_shot_sql() -> str:
+    from opinelake.queries.base import hits
+
+    rule = ", ".join(
+        f"CASE WHEN {hits('t', p)} > {hits('t', n)} THEN '{a}=positive' WHEN {hits('t', n)} > {hits('t', p)} THEN '{a}=negative' WHEN {hits('t', p)} > 0 THEN '{a}=neutral' END"
+        for a, (p, n) in PHRASES.items()
+    )
+    best = "CASE WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END"
+    shot = " || ',' || ".join(f"'{a}=' || {best}" for a in ("product_quality", "shipping", "battery"))
+    return f"""SELECT doc_id, CASE WHEN greatest(p, n, u) >= 0.3 THEN {shot} WHEN len(m) > 0 THEN array_to_string(m, ',')
+  ELSE 'product_quality=neutral,shipping=neutral,packaging=neutral' END AS aspects,
+  CAST(CASE WHEN greatest(p, n, u) >= 0.3 THEN 3 ELSE 0 END AS INTEGER) AS num_aspects_detected, 8 AS total_aspects FROM (
+SELECT doc_id, length(t) % 7 / 7::DOUBLE * 0.5 AS p, length(t) % 11 / 11::DOUBLE * 0.5 AS n, length(t) % 13 / 13::DOUBLE * 0.5 AS u,
+  list_filter([{rule}], lambda z: z IS NOT NULL) AS m FROM (SELECT doc_id, lower(text) AS t FROM documents))"""
+
+
+@query("zero_shot_aspects_h7", _zero_shot_sql())
 def _(spark, sf):
     docs = star.documents(spark, sf).select("doc_id", "text")
     n = F.length("text")
@@ -162,7 +178,8 @@ def _(spark, sf):
     names = ["Product Quality", "Shipping", "Battery"]
     scored = docs.withColumn("scores", F.create_map(*[c for a in names for c in (F.lit(a), vector)]))
     out = sc.zero_shot_aspects(scored, "text", "scores", phrases=PHRASES)
-    return out.select("doc_id", F.to_json("aspects").alias("aspects"), "num_aspects_detected", "total_aspects")
+    pairs = F.transform(F.map_entries("aspects"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("doc_id", F.array_join(pairs, ",").alias("aspects"), "num_aspects_detected", "total_aspects")
 
 
 @query(
