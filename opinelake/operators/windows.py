@@ -26,22 +26,25 @@ def negative_windows(
     A key with more than ``hot_rows`` rows is not sorted in one task: its time line is cut at
     quantiles of all timestamps, so a slice holds about one of ``slices`` equal parts of the rows. Each
     slice receives the last ``window - 1`` flags from before it, taken from at most ``window - 1``
-    earlier slices of the key, since each holds a row. Other keys stay in one piece.
+    earlier slices of the key, since each holds a row. Other keys stay in one piece, and without any
+    hot key (one counting pass over the key column tells) there is nothing to cut or to join.
     """
     back = window - 1
-    slim = df.select(key, ts, tie, negative.cast("int").alias("_neg"), F.unix_micros(ts).cast("double").alias("_t"))
-    slim = quantile_slices(slim, "_t", slices, "_s")
+    slim = df.select(key, ts, tie, negative.cast("int").alias("_neg"))
     # At most 10 000 keys can each hold a ten-thousandth of the rows: the hot list is safe to broadcast.
-    least = F.greatest(F.lit(hot_rows), F.col("_all") / 10_000)
-    hot = (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_all", df.agg(F.count("*")).scalar())
-        .filter(F.col("_n") > least)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    least = F.greatest(F.lit(hot_rows), df.agg(F.count("*")).scalar() / 10_000)
+    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key, F.lit(True).alias("_hot"))
+    if hot.limit(1).count() == 0:
+        whole = Window.partitionBy(key).orderBy(ts, tie)
+        return (
+            slim.withColumn("_rn", F.row_number().over(whole))
+            .withColumn("_in", F.sum("_neg").over(whole.rowsBetween(-back, Window.currentRow)))
+            .filter(F.col("_rn") >= window)
+            .select(key, ts, tie, (F.col("_in") / F.lit(float(window))).alias("negative_ratio"))
+        )
+    timed = quantile_slices(slim.withColumn("_t", F.unix_micros(ts).cast("double")), "_t", slices, "_s")
     base = (
-        slim.join(F.broadcast(hot), key, "left")
+        timed.join(F.broadcast(hot), key, "left")
         .withColumn("_slice", F.when(F.col("_hot"), F.col("_s")).otherwise(F.lit(-1.0)))
         .select(key, ts, tie, "_neg", "_slice")
     )

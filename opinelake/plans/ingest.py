@@ -13,6 +13,7 @@ from opinelake.operators import projections as pr
 from opinelake.operators.joins import get_or_create_products, with_parent
 from opinelake.operators.ranking import hash_rank
 from opinelake.operators.scoring import analyse_texts
+from opinelake.sources.readers import materialise
 
 # Names stored with each prediction.
 MODEL_NAME = "distilbert-sentiment"
@@ -54,7 +55,14 @@ def _with_columns(df: DataFrame, **defaults: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in defaults.items() if c not in df.columns})
 
 
-def ingest_reviews(incoming: DataFrame, key: str, products: DataFrame, reviews: DataFrame, now: Column, **scoring) -> Load:
+def _staged(scored: DataFrame, staging: str | None) -> DataFrame:
+    """The scored batch, written once to ``staging`` so that the two tables made of it do not score it twice."""
+    return scored if staging is None else materialise(scored, staging, force_recreate=True)
+
+
+def ingest_reviews(
+    incoming: DataFrame, key: str, products: DataFrame, reviews: DataFrame, now: Column, staging: str | None = None, **scoring
+) -> Load:
     """Incoming (key, text, product_id?, summary?, score?, user_id?, source?) rows to the three tables.
 
     Blank texts are rejected; a missing product id becomes 'unknown'; new products are named by their id.
@@ -69,11 +77,13 @@ def ingest_reviews(incoming: DataFrame, key: str, products: DataFrame, reviews:
             "review_date": now,
         }
     )
-    scored = analyse_texts(number_reviews(df, key, reviews), "text", **scoring)
+    scored = _staged(analyse_texts(number_reviews(df, key, reviews), "text", **scoring), staging)
     return _split(scored, get_or_create_products(df, products, F.col("product_id")), now)
 
 
-def store_predictions(predictions: DataFrame, key: str, products: DataFrame, reviews: DataFrame, now: Column, **scoring) -> Load:
+def store_predictions(
+    predictions: DataFrame, key: str, products: DataFrame, reviews: DataFrame, now: Column, staging: str | None = None, **scoring
+) -> Load:
     """Standalone predictions: product 'default' unless given, source 'api_prediction'."""
     df = _with_columns(predictions, product_id="string", summary="string", score="int").withColumns(
         {
@@ -86,12 +96,13 @@ def store_predictions(predictions: DataFrame, key: str, products: DataFrame, rev
     name = F.when(F.col("product_id") == "default", "Standalone Prediction").otherwise(
         F.concat(F.lit("Product-"), F.substring("product_id", 1, 8))
     )
-    scored = analyse_texts(number_reviews(df, key, reviews), "text", **scoring)
+    scored = _staged(analyse_texts(number_reviews(df, key, reviews), "text", **scoring), staging)
     return _split(scored, get_or_create_products(df, products, name), now)
 
 
 def seed_load(
-    raw: DataFrame, products: DataFrame, now: Column, sample_size: int | None = 500, max_products: int = 20, **scoring
+    raw: DataFrame, products: DataFrame, now: Column, sample_size: int | None = 500, max_products: int = 20,
+    staging: str | None = None, **scoring
 ) -> Load | None:
     """First load of an empty database from raw review rows; None when products exist already.
 
@@ -116,6 +127,6 @@ def seed_load(
         F.lit("amazon").alias("source"), vl.epoch_timestamp("Time", now).alias("review_date"),
     )
     kept = with_parent(pr.non_blank(rows, "text"), created, "product_id", "review_id")
-    return _split(analyse_texts(kept, "text", **scoring), created, now)
+    return _split(_staged(analyse_texts(kept, "text", **scoring), staging), created, now)
 
 

@@ -891,7 +891,7 @@ def _(spark, sf):
         "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("product_id"),
         F.when(F.col("doc_id") % 20 != 0, F.col("text")).otherwise("  ").alias("text"),
     )
-    return _load_out(ingest.ingest_reviews(docs, "doc_id", star.products(spark, sf), star.reviews(spark, sf), vl.as_of_literal(AS_OF), **_SCORING))
+    return _load_out(ingest.ingest_reviews(docs, "doc_id", star.products(spark, sf), star.reviews(spark, sf), vl.as_of_literal(AS_OF), staging=shared_dir(spark, "scored"), **_SCORING))
 
 
 @query(
@@ -904,7 +904,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("product_id"))
-    return _load_out(ingest.store_predictions(docs, "doc_id", star.products(spark, sf), star.reviews(spark, sf), vl.as_of_literal(AS_OF), **_SCORING))
+    return _load_out(ingest.store_predictions(docs, "doc_id", star.products(spark, sf), star.reviews(spark, sf), vl.as_of_literal(AS_OF), staging=shared_dir(spark, "scored"), **_SCORING))
 
 
 @query(
@@ -919,7 +919,7 @@ first AS (SELECT pid FROM src GROUP BY 1 ORDER BY min("Id") LIMIT 20)""" + _load
 def _(spark, sf):
     raw = star.raw_reviews(spark, sf).withColumn("ProductId", F.concat(F.lit("P"), (F.col("Id") % 30).cast("string")))
     empty = star.products(spark, sf).filter("false")
-    return _load_out(ingest.seed_load(raw, empty, vl.as_of_literal(AS_OF), sample_size=None, **_SCORING))
+    return _load_out(ingest.seed_load(raw, empty, vl.as_of_literal(AS_OF), sample_size=None, staging=shared_dir(spark, "scored"), **_SCORING))
 
 
 # --- U: callables as native functions ---------------------------------------------------------------
