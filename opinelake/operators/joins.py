@@ -82,18 +82,23 @@ def keyword_matches(texts: DataFrame, text: str, keywords: DataFrame, keyword: s
     return one_row_each(texts.withColumn("_words", words), found, keyword, *texts.columns)
 
 
-def missing_products(incoming: DataFrame, products: DataFrame) -> DataFrame:
-    """Product ids of incoming rows that do not exist yet, each once."""
-    wanted = incoming.select("product_id").distinct()
-    return wanted.join(products.select("product_id"), "product_id", "left_anti")
-
+def get_or_create_products(
+    incoming: DataFrame, products: DataFrame, name: Column, category: str = "general", order: str | None = None
+) -> DataFrame:
+    """Existing products plus one record per new product id.
 
-def get_or_create_products(incoming: DataFrame, products: DataFrame, name: Column, category: str = "general") -> DataFrame:
-    """Existing products plus one default record per new id; ``name`` is computed from ``product_id``."""
-    created = missing_products(incoming, products).select(
+    The first incoming row of a new product by ``order`` may bring ``product_name`` and ``category``; else
+    ``name`` (computed from ``product_id``) and the default category are used.
+    """
+    given = [c for c in ("product_name", "category") if order and c in incoming.columns]
+    if given:
+        wanted = incoming.groupBy("product_id").agg(*[F.min_by(c, order).alias(f"_{c}") for c in given])
+    else:
+        wanted = incoming.select("product_id").distinct()
+    defaults = {"product_name": name, "category": F.lit(category)}
+    created = wanted.join(products.select("product_id"), "product_id", "left_anti").select(
         "product_id",
-        name.alias("product_name"),
-        F.lit(category).alias("category"),
+        *[(F.coalesce(f"_{c}", default) if c in given else default).alias(c) for c, default in defaults.items()],
         F.lit(False).alias("is_competitor"),
     )
     return products.unionByName(created, allowMissingColumns=True)

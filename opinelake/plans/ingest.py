@@ -63,9 +63,10 @@ def _staged(scored: DataFrame, staging: str | None) -> DataFrame:
 def ingest_reviews(
     incoming: DataFrame, key: str, products: DataFrame, reviews: DataFrame, now: Column, staging: str | None = None, **scoring
 ) -> Load:
-    """Incoming (key, text, product_id?, summary?, score?, user_id?, source?) rows to the three tables.
+    """Incoming (key, text, product_id?, product_name?, category?, summary?, score?, user_id?, source?) rows to
+    the three tables.
 
-    Blank texts are rejected; a missing product id becomes 'unknown'; new products are named by their id.
+    Blank texts are rejected; a missing product id becomes 'unknown'; a new product without a name is named by its id.
     """
     df = _with_columns(incoming, product_id="string", summary="string", score="int", user_id="string", source="string")
     df = pr.non_blank(df, "text").withColumns(
@@ -78,7 +79,7 @@ def ingest_reviews(
         }
     )
     scored = _staged(analyse_texts(number_reviews(df, key, reviews), "text", **scoring), staging)
-    return _split(scored, get_or_create_products(df, products, F.col("product_id")), now)
+    return _split(scored, get_or_create_products(df, products, F.col("product_id"), order=key), now)
 
 
 def store_predictions(

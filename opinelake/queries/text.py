@@ -373,7 +373,7 @@ SELECT role, {', '.join(f"{pct(n_if('label = ' + chr(39) + x + chr(39)), 'count(
 )
 def _(spark, sf):
     texts = star.table(spark, sf, "conversations").filter("role <> 'system'")
-    return an.cohort_comparison(sc.score_lexicon(texts, "text", **LEXICON), "role")
+    return an.cohort_comparison(sc.analyse_texts(texts, "text", TAXONOMY, OPINIONS, **LEXICON), "role")
 
 
 @query(

@@ -99,6 +99,16 @@ def test_ingest_numbers_and_creates(spark):
     assert labels == {"positive", "negative"} and load.sentiment_results.count() == 3
 
 
+def test_ingest_takes_names_of_new_products_from_the_first_row(spark):
+    incoming = spark.createDataFrame(
+        [(2, "b", "new", "Second", "x"), (1, "a", "new", "First", None), (3, "c", "p", "Ignored", "y"), (4, "d", None, None, None)],
+        "k long, text string, product_id string, product_name string, category string",
+    )
+    load = ingest.ingest_reviews(incoming, "k", products(spark, "p"), reviews(spark), now())
+    got = {r["product_id"]: (r["product_name"], r["category"]) for r in load.products.collect()}
+    assert got == {"p": ("p", "c"), "new": ("First", "general"), "unknown": ("unknown", "general")}
+
+
 def test_ingest_into_empty_tables_repeats(spark):
     incoming = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "k long, text string")
     ids = []
