@@ -174,6 +174,8 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
         reached = stored(reached.unionByName(more).distinct(), "warc-reached")
         onward = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("then"))
         jumps = stored(jumps.join(onward, ["file", "to"]).select("file", "offset", F.col("then").alias("to")), "warc-jumps")
+    # A chain's end, or a place without a record, is reached too but is no entry.
+    reached = reached.join(seen.select("file", "offset"), ["file", "offset"], "left_semi")
     entry = reached.select("file", F.floor(F.col("offset") / block).alias("block"), F.col("offset").alias("entry"))
     kept = [f for f in seen.schema.fieldNames() if f not in ("next", "leaves")]
     schema = ", ".join(f"{n} {t}" for n, t in (f.split() for f in _EDGE.split(", ")) if n in kept)
