@@ -8,7 +8,7 @@ which documents may be similar; what they connect is then confirmed on the full
 No step emits the pairs of a group: documents with equal sets are one representative, a bucket returns a star per connected
 part, and the confirmation returns a star per confirmed part. Large buckets and large parts are cut into blocks; each pair of
 blocks is a task of its own, so that no group has to fit one task. A pair of similarity 0.85 has no common band with
-probability 7e-8, and misses the sketch bound of 0.70 with about 1e-6.
+probability 7e-8, and the sketches' bound lies ``MARGIN`` below the similarity asked for, about four standard deviations.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from opinelake.llm.common import components, scan_tasks, stored, whole_groups
 WORDS, BANDS, ROWS, BITS = 5, 28, 5, 512
 SAMPLES = BANDS * ROWS
 BLOCK = 1024
+MARGIN = 0.15
 _RNG = np.random.default_rng(20240501)
 _ODD = lambda n: _RNG.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _PLACE, _SAMPLE, _BAND = _ODD(256), _ODD(WORDS), _ODD(SAMPLES), _ODD(ROWS)
@@ -236,7 +237,7 @@ def _blocks(df: DataFrame, count: str, block: int) -> DataFrame:
     )
 
 
-def likely_links(people: DataFrame, sketch_similarity: float = 0.70, block: int = BLOCK) -> DataFrame:
+def likely_links(people: DataFrame, sketch_similarity: float = 0.85 - MARGIN, block: int = BLOCK) -> DataFrame:
     """(a, b) stars of representatives (id, bands, sketch) that meet in a bucket with near sketches."""
     rows = people.select("id", F.explode("bands").alias("bucket"))
     # The second key keeps this sum's partitioning apart from the join's, so that a hot bucket's rows can be split.
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100, block: in
         .select("digest", F.col("x.doc_id").alias("id"), "x.bands", "x.sketch"),
         "sets",
     )
-    parts = components(likely_links(sets, block=block))
+    parts = components(likely_links(sets, part / whole - MARGIN, block))
     sizes = parts.groupBy("label", F.col("label").bitwiseAND(7).alias("side")).count().select("label", "count")
     members = _blocks(parts.join(sizes, "label"), "count", block)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
