@@ -45,10 +45,16 @@ def _seeds(words: Column, at: Column, masks: tuple[str, ...] = MASKS) -> Column:
     ])
 
 
-def _agree(words: Column, item: Column, shift: Column, place: Column, span: int) -> Column:
-    """Largest share of equal words in a stretch over the hit; the item begins ``shift`` words into the document."""
+def _around(words: Column, at: Column) -> tuple[Column, Column]:
+    """The words that stretches over a hit at a place can reach, and the place within them."""
+    low = F.greatest(F.lit(0), at - STRETCH)
+    return F.slice(words, low + 1, F.lit(2 * STRETCH + max(map(len, MASKS)))), at - low
+
+
+def _agree(words: Column, n_words: Column, item: Column, n_item: Column, shift: Column, place: Column, span: Column) -> Column:
+    """Largest share of equal words in a stretch over the hit; ``item`` begins ``shift`` words into ``words``."""
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(words) - shift)
-    length = F.least(F.lit(STRETCH), F.size(item), F.size(words))
+    length = F.least(F.lit(STRETCH), n_item, n_words)
     first, last = F.greatest(low, place + span - length), F.least(high - length, place)  # of the stretches over the hit
     equal = lambda at: F.when(F.get(item, at) == F.get(words, at + shift), 1).otherwise(0)
     flags = F.when(last >= first, F.transform(F.sequence(first, last + length - 1), equal))
@@ -79,8 +85,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     bitmap = bytearray(bits)
     for r in marked.collect():
         bitmap[r["b"]] = 1
+    part, place = _around(F.col("item"), F.col("item_at"))
     seeds = places.select(
-        "item_id", "item", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "seed")
+        "item_id", part.alias("part"), place.alias("place"), F.size("item").alias("n_item"), F.posexplode(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "seed")
     ).filter("seed IS NOT NULL")
     words = hashed(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).filter(F.size("words") >= LEAST_WORDS)
@@ -88,12 +95,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     hot = F.filter(
         F.sequence(F.lit(0), F.size("words") - LEAST_WORDS), lambda at: F.substring(F.lit(bytes(bitmap)), pair(at), F.lit(1)) == F.lit(b"\x01")
     )
-    found = rows.select("doc_id", "words", F.explode(hot).alias("at"))
-    found = found.select("doc_id", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed")).filter("seed IS NOT NULL")
+    found = rows.select("doc_id", "words", F.size("words").alias("n_words"), F.explode(hot).alias("at"))
+    found = found.withColumn("seed", F.explode(_seeds(F.col("words"), F.col("at")))).withColumn("here", F.col("at")).filter("seed IS NOT NULL")
+    if n > BROADCAST_SEEDS:  # what is shuffled holds the words around a place only
+        near, here = _around(F.col("words"), F.col("at"))
+        found = found.select("doc_id", "n_words", "at", "seed", near.alias("words"), here.alias("here"))
     # Small benchmarks are broadcast (at most BROADCAST_SEEDS places); larger ones are joined by shuffling on the seed.
     hits = found.join(F.broadcast(seeds) if n <= BROADCAST_SEEDS else seeds, "seed")
     spans = F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1)
-    scored = hits.withColumn("matched_share", _agree(F.col("words"), F.col("item"), F.col("at") - F.col("item_at"), F.col("item_at"), spans))
+    share_ = _agree(
+        F.col("words"), F.col("n_words"), F.col("part"), F.col("n_item"), F.col("here") - F.col("place"), F.col("place"), spans
+    )
+    scored = hits.select("doc_id", "item_id", "at", share_.alias("matched_share"))
     return scored.filter(F.col("matched_share") >= share).groupBy("doc_id", "item_id").agg(
         F.max("matched_share").alias("matched_share"), F.max_by(F.col("at"), F.struct("matched_share", -F.col("at"))).alias("doc_word")
     )

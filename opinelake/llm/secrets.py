@@ -24,7 +24,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer characters is dropped, so t
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(
-    r"(?ai:password|passwd|passphrase|secret|token|credential|auth|bearer|private[_ -]?key|api[_-]?key|access[_-]?key|client[_-]?id|session[_-]?id)"
+    r"(?ai:password|passwd|passphrase|secret|token|credential|auth|bearer|private[_ -]?key|api[_ -]?key|access[_ -]?key|client[_-]?id|session[_-]?id)"
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 REACH, NOVELTY = 80, 0.6
