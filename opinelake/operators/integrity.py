@@ -67,7 +67,12 @@ def review_defaults(now: Column) -> dict[str, Column]:
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, now: Column) -> DataFrame:
-    """Rows of ``changes`` replace those with the same key and get a fresh ``updated_at``."""
+    """Rows of ``changes`` replace those with the same key and get a fresh ``updated_at``.
+
+    Of several changes of one key the greatest by its columns, left to right, is taken, so the key stays unique.
+    """
+    whole = F.struct(*[F.col(c) for c in changes.columns])
+    changes = changes.groupBy(key).agg(F.max(whole).alias("_change")).select("_change.*")
     kept = table.join(changes.select(key), key, "left_anti")
     existing = table.select(key, "created_at")
     changed = (

@@ -19,8 +19,9 @@ def review_page(
     page: int = 1,
     per_page: int = 20,
 ) -> DataFrame:
-    """One page of reviews, newest first, with ``total`` and ``pages``; beyond the end it is empty."""
-    per_page = min(per_page, 100)
+    """One page of reviews, newest first, with ``total`` and ``pages``; beyond the end it is empty. A page has at most 100 rows."""
+    if not 1 <= per_page <= 100:
+        raise ValueError("per_page must be from 1 to 100")
     df = for_product(reviews, product_id)
     if label:
         keys = sentiment.filter(F.col("predicted_sentiment") == label).select("review_id")

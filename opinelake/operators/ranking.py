@@ -31,6 +31,13 @@ def _bucket_offsets(df: DataFrame, group: list[str], bucket: str) -> DataFrame:
     )
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns of the same names that takes nulls as equal; the left ones are kept."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(named, same).drop(*[f"_r_{c}" for c in on])
+
+
 def hash_rank(
     df: DataFrame, key: str, seed: int, group: Sequence[str] = (), hex_digits: int = 3, out: str = "rank"
 ) -> DataFrame:
@@ -44,7 +51,7 @@ def hash_rank(
     inside = Window.partitionBy(*group, "_b").orderBy("_h", key)
     return (
         tagged.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*group, "_b"])
+        .transform(lambda ranked: _join_null_safe(ranked, offsets, [*group, "_b"]))
         .withColumn(out, F.col("_rn") + F.col("_before"))
         .drop("_h", "_b", "_rn", "_before")
     )
@@ -168,7 +175,7 @@ def running_totals(
     totals = totals.select(
         *group, "_s", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values]
     )
-    out = sliced.join(totals, [*group, "_s"])
+    out = _join_null_safe(sliced, totals, [*group, "_s"])
     for v in values:
         out = out.withColumn(f"cum_{v}", F.sum(v).over(inside) + F.col(f"_b_{v}"))
     return out.drop("_s", *[f"_b_{v}" for v in values])

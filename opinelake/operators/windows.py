@@ -18,40 +18,23 @@ def negative_windows(
     tie: str,
     negative: Column,
     window: int = 10,
-    hot_rows: int = 1_000_000,
-    slices: int = 256,
+    slice_rows: int = 10_000_000,
 ) -> DataFrame:
     """For every row with ``window - 1`` predecessors in its key: the negative share of the last ``window`` rows.
 
-    A key with more than ``hot_rows`` rows is not sorted in one task: its time line is cut at
-    quantiles of all timestamps, so a slice holds about one of ``slices`` equal parts of the rows. Each
-    slice receives the last ``window - 1`` flags from before it, taken from at most ``window - 1``
-    earlier slices of the key, since each holds a row. Other keys stay in one piece, and without any
-    hot key (one counting pass over the key column tells) there is nothing to cut or to join.
+    The time line is cut into slices of about ``slice_rows`` rows, as many as the counted rows need, so no key has to be sorted in
+    one task; each (key, slice) receives the last ``window - 1`` flags from before it, taken from at most ``window - 1`` earlier
+    slices of the key, since each holds a row. The result does not depend on the slices. Null times come first; a
+    null key is a key.
     """
     back = window - 1
     slim = df.select(key, ts, tie, negative.cast("int").alias("_neg"))
-    # At most 10 000 keys can each hold a ten-thousandth of the rows: the hot list is safe to broadcast.
-    least = F.greatest(F.lit(hot_rows), df.agg(F.count("*")).scalar() / 10_000)
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key, F.lit(True).alias("_hot"))
-    if hot.limit(1).count() == 0:
-        whole = Window.partitionBy(key).orderBy(ts, tie)
-        return (
-            slim.withColumn("_rn", F.row_number().over(whole))
-            .withColumn("_in", F.sum("_neg").over(whole.rowsBetween(-back, Window.currentRow)))
-            .filter(F.col("_rn") >= window)
-            .select(key, ts, tie, (F.col("_in") / F.lit(float(window))).alias("negative_ratio"))
-        )
+    slices = max(1, -(-df.count() // slice_rows))
     timed = quantile_slices(slim.withColumn("_t", F.unix_micros(ts).cast("double")), "_t", slices, "_s")
-    base = (
-        timed.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", F.when(F.col("_hot"), F.col("_s")).otherwise(F.lit(-1.0)))
-        .select(key, ts, tie, "_neg", "_slice")
-    )
+    base = timed.withColumn("_slice", F.coalesce(F.when(F.col("_t").isNotNull(), F.col("_s")), F.lit(-1.0))).select(key, ts, tie, "_neg", "_slice")
     newest = Window.partitionBy(key, "_slice").orderBy(F.desc(ts), F.desc(tie))
     tails = (
-        base.filter(F.col("_slice") >= 0)
-        .withColumn("_rn", F.row_number().over(newest))
+        base.withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= back)
         .groupBy(key, "_slice")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("_rn"), "_neg"))), lambda s: s["_neg"]).alias("_tail"))
@@ -59,7 +42,7 @@ def negative_windows(
     by_slice = Window.partitionBy(key).orderBy("_slice")
     empty = F.array().cast("array<int>")
     before = F.concat(*[F.coalesce(F.lag("_tail", i).over(by_slice), empty) for i in range(back, 0, -1)])
-    carries = tails.select(key, "_slice", before.alias("_carry"))
+    carries = tails.select(F.col(key).alias("_k"), F.col("_slice").alias("_at"), before.alias("_carry"))
     inside = Window.partitionBy(key, "_slice").orderBy(ts, tie)
     carried = F.when(
         F.col("_missing") > 0,
@@ -69,7 +52,7 @@ def negative_windows(
         base.withColumn("_rn", F.row_number().over(inside))
         .withColumn("_in", F.sum("_neg").over(inside.rowsBetween(-back, Window.currentRow)))
         .withColumn("_missing", F.greatest(F.lit(window) - F.col("_rn"), F.lit(0)))
-        .join(carries, [key, "_slice"], "left")
+        .join(carries, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_at")), "left")
         .filter(F.col("_missing") <= F.coalesce(F.size("_carry"), F.lit(0)))
         .withColumn("_carried", carried)
         .withColumn("negative_ratio", (F.col("_in") + F.col("_carried")) / F.lit(float(window)))

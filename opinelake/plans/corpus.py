@@ -90,7 +90,7 @@ def run_corpus(
             stored[name] = spark.read.parquet(path)
             reports.append(source_report(name, stored[name]))
         except Exception as error:  # the run goes on and reports the failure
-            reports.append(failed_report(spark, name, str(error)[:500]))
+            reports.append(failed_report(spark, name, str(error)))
     merged = None
     if len(stored) == len(sources):
         merge(list(stored.values()), seed=seed).write.mode("overwrite").partitionBy("source").parquet(f"{output}/merged")

@@ -102,20 +102,20 @@ def store_predictions(
 
 
 def seed_load(
-    raw: DataFrame, products: DataFrame, now: Column, sample_size: int | None = 500, max_products: int = 20,
+    raw: DataFrame, products: DataFrame, now: Column, sample_size: int | None = None, max_products: int | None = None,
     staging: str | None = None, **scoring
 ) -> Load | None:
     """First load of an empty database from raw review rows; None when products exist already.
 
-    The first ``max_products`` products by ``Id`` order are created; reviews of other products have
-    no parent and are left out. ``sample_size`` None loads all rows.
+    Everything is loaded, texts whole. ``sample_size`` keeps the first rows by ``Id`` only; ``max_products`` creates the
+    first products by ``Id`` only, and reviews of other products have no parent and are left out.
     """
     if products.limit(1).count():
         return None
     df = pr.drop_null(raw if sample_size is None else pr.top_rows(raw, ["Id"], sample_size), ["Text"])
     seen = df.groupBy("ProductId").agg(F.min("Id").alias("_id"), F.min_by("Summary", "Id").alias("_summary"))
-    first = pr.top_rows(seen, ["_id"], max_products)
-    name = F.when(F.coalesce(F.length("_summary"), F.lit(0)) > 0, tx.truncate("_summary", 100)).otherwise(
+    first = seen if max_products is None else pr.top_rows(seen, ["_id"], max_products)
+    name = F.when(F.coalesce(F.length("_summary"), F.lit(0)) > 0, F.col("_summary")).otherwise(
         F.concat(F.lit("Product-"), F.substring("ProductId", 1, 8))
     )
     created = first.select(
@@ -124,7 +124,7 @@ def seed_load(
     )
     rows = df.select(
         F.col("Id").alias("review_id"), F.col("ProductId").alias("product_id"), F.col("UserId").alias("reviewer_name"),
-        F.col("Score").alias("score"), tx.truncate("Summary", 200).alias("summary"), tx.truncate("Text", 2000).alias("text"),
+        F.col("Score").alias("score"), F.col("Summary").alias("summary"), F.col("Text").alias("text"),
         F.lit("amazon").alias("source"), vl.epoch_timestamp("Time", now).alias("review_date"),
     )
     kept = with_parent(pr.non_blank(rows, "text"), created, "product_id", "review_id")

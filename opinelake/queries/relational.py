@@ -17,6 +17,19 @@ from opinelake.sources import star
 
 AS_OF = star.AS_OF
 SINCE30 = "ingested_at >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY"
+
+# Whole tables with rows that find no partner: unsure results get an id, older reviews a product, that does not exist.
+UNSURE = "(SELECT * REPLACE (CASE WHEN confidence_score > 0.2 THEN review_id ELSE -1 - review_id END AS review_id) FROM sentiment_results)"
+MOVED = f"(SELECT * REPLACE (CASE WHEN {SINCE30} THEN product_id ELSE 'old-' || product_id END AS product_id) FROM reviews)"
+
+
+def _unsure(sentiment):
+    return sentiment.withColumn("review_id", F.when(F.col("confidence_score") > 0.2, F.col("review_id")).otherwise(-1 - F.col("review_id")))
+
+
+def _moved(reviews):
+    old = F.concat(F.lit("old-"), F.col("product_id"))
+    return reviews.withColumn("product_id", F.when(F.col("ingested_at") >= vl.since(AS_OF, 30, 0), F.col("product_id")).otherwise(old))
 LABELS = ("positive", "negative", "neutral")
 IDS = ["7", "3", "99999999", "12", "1"]
 
@@ -70,11 +83,11 @@ def _(spark, sf):
     "review_records_b14",
     REL + f"""SELECT review_id, review_text, {iso('review_date')} AS review_date, result_id IS NOT NULL AS has_sentiment,
   predicted_sentiment AS label, confidence_score AS confidence
-FROM reviews LEFT JOIN (SELECT * FROM sentiment_results WHERE confidence_score > 0.2) USING (review_id)""",
+FROM reviews LEFT JOIN {UNSURE} USING (review_id)""",
 )
 def _(spark, sf):
     rv, se = _rs(spark, sf)
-    out = pr.review_records(rv, se.filter("confidence_score > 0.2"))
+    out = pr.review_records(rv, _unsure(se))
     return out.select(
         "review_id", "review_text", "review_date", F.col("sentiment").isNotNull().alias("has_sentiment"),
         F.col("sentiment.predicted_sentiment").alias("label"), F.col("sentiment.confidence_score").alias("confidence"),
@@ -85,11 +98,10 @@ def _(spark, sf):
     "product_records_b15",
     REL + f"""SELECT product_id, asin, CASE WHEN price <> 0 THEN CAST(price AS DOUBLE) END AS price, is_competitor,
   CAST(coalesce(n, 0) AS BIGINT) AS total_reviews
-FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM reviews WHERE {SINCE30} GROUP BY 1) USING (product_id)""",
+FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM {MOVED} GROUP BY 1) USING (product_id)""",
 )
 def _(spark, sf):
-    recent = pr.look_back(star.reviews(spark, sf), "ingested_at", AS_OF, days=30)
-    out = pr.product_records(star.products(spark, sf), recent)
+    out = pr.product_records(star.products(spark, sf), _moved(star.reviews(spark, sf)))
     return out.select("product_id", "asin", "price", "is_competitor", "total_reviews")
 
 
@@ -156,13 +168,12 @@ def _(spark, sf):
 @query(
     "all_products_records_c3",
     REL + f"""SELECT product_id, review_id, result_id, category FROM products
-LEFT JOIN (SELECT * FROM reviews WHERE {SINCE30}) USING (product_id)
-LEFT JOIN (SELECT * FROM sentiment_results WHERE confidence_score > 0.2) USING (review_id)""",
+LEFT JOIN {MOVED} USING (product_id)
+LEFT JOIN {UNSURE} USING (review_id)""",
 )
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
-    recent = pr.look_back(rv, "ingested_at", AS_OF, days=30)
-    out = jn.all_products_records(p, recent, se.filter("confidence_score > 0.2"))
+    out = jn.all_products_records(p, _moved(rv), _unsure(se))
     return out.select("product_id", "review_id", "result_id", "category")
 
 
@@ -178,12 +189,11 @@ def _(spark, sf):
 @query(
     "get_or_create_c6",
     REL + f"""SELECT product_id, category, 'Product-' || substr(product_id, 1, 8) AS product_name FROM (
-  SELECT DISTINCT 'P' || product_id AS product_id, 'general' AS category FROM reviews WHERE {SINCE30})
+  SELECT DISTINCT 'P' || product_id AS product_id, 'general' AS category FROM reviews)
 UNION ALL SELECT product_id, category, product_name FROM products""",
 )
 def _(spark, sf):
-    recent = pr.look_back(star.reviews(spark, sf), "ingested_at", AS_OF, days=30)
-    incoming = recent.select(F.concat(F.lit("P"), "product_id").alias("product_id"))
+    incoming = star.reviews(spark, sf).select(F.concat(F.lit("P"), "product_id").alias("product_id"))
     name = F.concat(F.lit("Product-"), F.substring("product_id", 1, 8))
     out = jn.get_or_create_products(incoming, star.products(spark, sf), name)
     return out.select("product_id", "category", "product_name")
@@ -248,20 +258,20 @@ def _(spark, sf):
 @query(
     "overall_stats_e3",
     REL + f"""SELECT count(*) AS total_reviews, {labels()}, {r('coalesce(avg(nullif(raw_rating, 0)), 0)', 2)} AS avg_rating
-FROM reviews LEFT JOIN (SELECT * FROM sentiment_results WHERE confidence_score > 0.2) USING (review_id)""",
+FROM reviews LEFT JOIN {UNSURE} USING (review_id)""",
 )
 def _(spark, sf):
     rv, se = _rs(spark, sf)
-    return an.overall_stats(rv, se.filter("confidence_score > 0.2"))
+    return an.overall_stats(rv, _unsure(se))
 
 
 @query(
     "rating_distribution_e4",
     REL + """SELECT CAST(i AS INTEGER) AS rating, count(review_id) AS count FROM range(1, 6) t(i)
-LEFT JOIN (SELECT * FROM reviews WHERE raw_rating <> 3) ON raw_rating = i GROUP BY 1""",
+LEFT JOIN (SELECT review_id, nullif(raw_rating, 3) AS raw_rating FROM reviews) ON raw_rating = i GROUP BY 1""",
 )
 def _(spark, sf):
-    return an.rating_distribution(star.reviews(spark, sf).filter("raw_rating <> 3"))
+    return an.rating_distribution(star.reviews(spark, sf).withColumn("raw_rating", F.expr("nullif(raw_rating, 3)")))
 
 
 @query(
@@ -270,13 +280,13 @@ def _(spark, sf):
   {n_if('raw_rating >= 4')} AS positive_reviews, {n_if('raw_rating = 3')} AS neutral_reviews, {n_if('raw_rating <= 2')} AS negative_reviews,
   {r('avg(raw_rating)', 4)} AS avg_rating, {labels()}, {r('avg(positive_score)', 4)} AS avg_positive_score,
   {r('avg(negative_score)', 4)} AS avg_negative_score, {r('avg(confidence_score)', 4)} AS avg_confidence
-FROM products LEFT JOIN (SELECT * FROM reviews WHERE ingested_at >= TIMESTAMP '2001-01-01') USING (product_id)
+FROM products LEFT JOIN reviews USING (product_id)
 LEFT JOIN sentiment_results USING (review_id) GROUP BY 1, 2, 3""".replace("AS positive,", "AS predicted_positive,").replace(
         "AS negative,", "AS predicted_negative,").replace("AS neutral,", "AS predicted_neutral,"),
 )
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
-    return an.product_summary(p, rv.filter(F.col("ingested_at") >= F.lit("2001-01-01").cast("timestamp")), se)
+    return an.product_summary(p, rv, se)
 
 
 @query(
@@ -328,11 +338,11 @@ def _(spark, sf):
 @query(
     "aspect_summary_e10",
     REL + f"""SELECT aspect, count(sentiment) AS mentions, {', '.join(f"{pct(n_if(chr(115) + 'entiment = ' + chr(39) + s + chr(39)), 'count(sentiment)', 1)} AS {s}_pct" for s in LABELS)}
-FROM (SELECT unnest([{sql_list(star.ASPECTS)}]) AS aspect) LEFT JOIN (SELECT * FROM aspect_rows WHERE aspect <> 'usability') USING (aspect) GROUP BY 1""",
+FROM (SELECT unnest([{sql_list(star.ASPECTS)}]) AS aspect) LEFT JOIN aspect_rows USING (aspect) GROUP BY 1""",
 )
 def _(spark, sf):
     rv, se = _rs(spark, sf, aspects=True)
-    return an.aspect_summary(rv, se.withColumn("aspects", F.map_filter("aspects", lambda k, _: k != "usability")))
+    return an.aspect_summary(rv, se)
 
 
 @query(

@@ -218,9 +218,10 @@ def _(spark, sf):
     )
 
 
-@query("min_trimmed_length_b6", TXT + "SELECT review_id FROM text_reviews WHERE length(trim(cleaned_text[1:4])) >= 3")
+@query("min_trimmed_length_b6", TXT + "SELECT review_id FROM text_reviews WHERE review_id % 9 <> 0 AND length(trim(cleaned_text)) >= 3")
 def _(spark, sf):
-    t = star.text_reviews(spark, sf).withColumn("cleaned_text", F.substring("cleaned_text", 1, 4))
+    short = F.when(F.col("review_id") % 9 == 0, F.lit("  a ")).otherwise(F.col("cleaned_text"))  # whole texts, some replaced by one too short
+    t = star.text_reviews(spark, sf).withColumn("cleaned_text", short)
     return pr.min_trimmed_length(t).select("review_id")
 
 
@@ -460,7 +461,7 @@ def _(spark, sf):
     return pf.length_statistics(_docs(spark, sf), "text")
 
 
-_MISS = ["Id", "ProductId", "Score", "Text"]
+_MISS = ["Id", "ProductId", "UserId", "ProfileName", "HelpfulnessNumerator", "HelpfulnessDenominator", "Score", "Time", "Summary", "Text"]
 
 
 @query(
@@ -910,8 +911,8 @@ def _(spark, sf):
 @query(
     "seed_load_m3",
     RAW + """, src AS (SELECT "Id", "Text", "Score", 'P' || ("Id" % 30) AS pid FROM raw_reviews WHERE "Text" IS NOT NULL),
-first AS (SELECT pid FROM src GROUP BY 1 ORDER BY min("Id") LIMIT 20)""" + _load_sql(
-        """SELECT "Id" AS review_id, pid AS product_id, 'amazon' AS source, CAST("Score" AS SMALLINT) AS raw_rating, "Text"[1:2000] AS review_text
+first AS (SELECT DISTINCT pid FROM src)""" + _load_sql(
+        """SELECT "Id" AS review_id, pid AS product_id, 'amazon' AS source, CAST("Score" AS SMALLINT) AS raw_rating, "Text" AS review_text
   FROM src JOIN first USING (pid)""",
         "SELECT count(*) FROM first",
     ),
@@ -919,7 +920,7 @@ first AS (SELECT pid FROM src GROUP BY 1 ORDER BY min("Id") LIMIT 20)""" + _load
 def _(spark, sf):
     raw = star.raw_reviews(spark, sf).withColumn("ProductId", F.concat(F.lit("P"), (F.col("Id") % 30).cast("string")))
     empty = star.products(spark, sf).filter("false")
-    return _load_out(ingest.seed_load(raw, empty, vl.as_of_literal(AS_OF), sample_size=None, staging=shared_dir(spark, "scored"), **_SCORING))
+    return _load_out(ingest.seed_load(raw, empty, vl.as_of_literal(AS_OF), staging=shared_dir(spark, "scored"), **_SCORING))
 
 
 # --- U: callables as native functions ---------------------------------------------------------------

@@ -122,6 +122,8 @@ def test_ingest_into_empty_tables_repeats(spark):
 def test_seed_load(spark):
     raw = raw_reviews(spark, [(i, f"p{i % 25}", 5, f"text {i}") for i in range(50)])
     load = ingest.seed_load(raw, products(spark), now())
+    assert load.products.count() == 25 and load.reviews.count() == 50
+    load = ingest.seed_load(raw, products(spark), now(), max_products=20)
     assert load.products.count() == 20 and load.reviews.count() == 40
     assert ingest.seed_load(raw, products(spark, "x"), now()) is None
 
@@ -189,3 +191,12 @@ def test_profiles(spark):
     wide = spark.range(50).select(F.col("id").cast("double").alias("rating"))
     stats = {r["statistic"]: r["value"] for r in pf.target_profile(wide).collect()}
     assert stats["count"] == 50 and stats["mean"] == 24.5 and stats["max"] == 49
+
+
+def test_upsert_keeps_the_key_unique(spark):
+    from opinelake.operators.integrity import upsert
+
+    table = spark.createDataFrame([("a", 1, 0)], "id string, v int, created_at int")
+    changes = spark.createDataFrame([("a", 5), ("a", 7), ("b", 2), ("b", 2)], "id string, v int")
+    rows = upsert(table, changes, "id", F.lit(9)).collect()
+    assert sorted((r["id"], r["v"], r["created_at"]) for r in rows) == [("a", 7, 0), ("b", 2, 9)]

@@ -35,16 +35,35 @@ def brute_force_spikes(rows, window, threshold):
 
 
 @pytest.mark.parametrize(
-    "seed,window,hot_rows,slices", [(1, 10, 100, 8), (2, 10, 0, 64), (3, 4, 100, 200), (4, 25, 100, 150), (5, 10, 10**6, 8), (6, 10, 0, 1)]
+    "seed,window,slice_rows", [(1, 10, 75), (2, 10, 10), (3, 4, 3), (4, 25, 4), (5, 10, 10**6), (6, 10, 600)]
 )
-def test_sliced_spikes_equal_brute_force(spark, seed, window, hot_rows, slices):
+def test_sliced_spikes_equal_brute_force(spark, seed, window, slice_rows):
     rows = skewed_events(600, seed)
     df = spark.createDataFrame(rows, "k string, t long, i long, neg boolean").withColumn("ts", F.timestamp_seconds("t"))
-    out = wn.spikes(df, "k", "ts", "i", F.col("neg"), window, 0.3, hot_rows=hot_rows, slices=slices).collect()
+    out = wn.spikes(df, "k", "ts", "i", F.col("neg"), window, 0.3, slice_rows=slice_rows).collect()
     assert {(r["k"], r["i"], round(r["negative_ratio"], 6)) for r in out} == brute_force_spikes(rows, window, 0.3)
     assert len(out) == len({(r["k"], r["i"]) for r in out})
 
 
+@pytest.mark.parametrize("slice_rows", [10, 50, 10**6])
+def test_spike_windows_with_null_times_and_keys(spark, slice_rows):
+    rows = [(None if i % 3 == 0 else "a", None if i in (5, 60, 90, 91) else i * 7 % 200, i, i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, neg boolean").withColumn("ts", F.timestamp_seconds("t"))
+    history, expected = defaultdict(list), set()
+    for k, _, i, neg in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        history[k].append(neg)
+        if len(history[k]) >= 10:
+            expected.add((k, i, sum(history[k][-10:]) / 10))
+    out = wn.negative_windows(df, "k", "ts", "i", F.col("neg"), slice_rows=slice_rows).collect()
+    assert {(r["k"], r["i"], r["negative_ratio"]) for r in out} == expected and len(out) == len(expected)
+
+
+def test_rank_keeps_null_groups(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(10)], "i long, g string")
+    got = [(r["g"], r["rank"]) for r in rk.hash_rank(df, "i", 1, ["g"]).collect()]
+    assert sorted(got, key=str) == sorted([(g, n) for g in ("a", None) for n in range(1, 6)], key=str)
+
+
 def test_latest_spikes(spark):
     rows = skewed_events(600, 5)
     df = spark.createDataFrame(rows, "k string, t long, i long, neg boolean").withColumn("ts", F.timestamp_seconds("t"))
