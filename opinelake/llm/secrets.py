@@ -57,7 +57,7 @@ class Novelty:
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns, leftmost and not overlapping within a kind, in code points."""
     found: list[Span] = []
-    # Every keyword holds one of these letter pairs' folded forms; the check is cheaper than the pattern.
+    # An assignment needs one of its signs; looking for them is cheaper than the pattern.
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     if "AKIA" in text:
