@@ -80,9 +80,11 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_dir(spark, "latin-csv")
     text = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\xFF]", ""), r"[\r\n]+", " ")
-    _docs(spark, sf).select("doc_id", text.alias("text")).write.options(
-        header=True, escape='"', encoding="ISO-8859-1", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+    rows = _docs(spark, sf).select("doc_id", text.alias("text"))
+    for part, encoding in ((0, "ISO-8859-1"), (1, "UTF-8")):  # both encodings in one folder
+        rows.filter(F.col("doc_id") % 2 == part).write.mode("append").options(
+            header=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     schema = rd.T.StructType().add("doc_id", "long").add("text", "string")
     return rd.read_csv_any_encoding(spark, path, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,34 +35,33 @@ def read_tweets_csv(spark: SparkSession, path: str, nrows: int | None = None) ->
     return df if nrows is None else df.limit(nrows)
 
 
-def read_csv_any_encoding(
-    spark: SparkSession, path: str, schema: T.StructType, latin1_when_invalid: bool = True
-) -> DataFrame:
-    """CSV in UTF-8, read as latin-1 instead when some byte sequence is not valid UTF-8.
+def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV files in UTF-8 or latin-1, decided file by file: a file with a byte sequence that is not valid UTF-8 is latin-1.
 
-    Spark replaces bad bytes by U+FFFD and does not raise, so one distributed scan looks for
-    that character first; it stops at the first file split that holds one.
+    One distributed pass over the lines' bytes finds the latin-1 files; their names, no more than the driver lists for any
+    scan, are what it returns. Files whose quoted values hold no line breaks split into many tasks with ``multi_line`` False.
     """
-    options = {"header": True, "multiLine": True, "escape": '"'}
-    utf8 = spark.read.schema(schema).options(**options, encoding="UTF-8").csv(path)
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    if latin1_when_invalid and texts:
-        bad = F.coalesce(F.contains(F.concat_ws("", *texts), F.lit("�")), F.lit(False))
-        if utf8.filter(bad).limit(1).count():
-            return spark.read.schema(schema).options(**options, encoding="ISO-8859-1").csv(path)
-    return utf8
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    files = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).collect()
+    reader = spark.read.schema(schema).options(**options)
+    if all(f["valid"] for f in files):
+        return reader.csv(path, encoding="UTF-8")
+    names = {valid: [unquote(f["file"]) for f in files if f["valid"] == valid] for valid in (True, False)}
+    latin = reader.csv(names[False], encoding="ISO-8859-1")
+    return reader.csv(names[True], encoding="UTF-8").unionByName(latin) if names[True] else latin
 
 
 def discover_csv(
-    spark: SparkSession, root: str, schema: T.StructType, folders: dict[str, str]
+    spark: SparkSession, root: str, schema: T.StructType, folders: dict[str, str], multi_line: bool = True
 ) -> DataFrame:
     """All CSV files in the given folders below ``root``, each row tagged with its source name.
 
-    ``folders`` maps folder name to source name.
+    ``folders`` maps folder name to source name. Without line breaks in quoted values, ``multi_line`` False splits large files.
     """
     df = (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, escape='"', pathGlobFilter="*.csv", recursiveFileLookup=True)
+        .options(header=True, multiLine=multi_line, escape='"', pathGlobFilter="*.csv", recursiveFileLookup=True)
         .csv([f"{root}/{folder}" for folder in folders])
     )
     return df.withColumn("source", source_tag(F.col("_metadata.file_path"), folders))

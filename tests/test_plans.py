@@ -74,6 +74,9 @@ def test_encoding_fallback(spark, tmp_path):
     (tmp_path / "utf.csv").write_bytes("id,text\n1,café\n".encode())
     for name in ("latin", "utf"):
         assert rd.read_csv_any_encoding(spark, str(tmp_path / f"{name}.csv"), schema).first()["text"] == "café"
+    (tmp_path / "own.csv").write_bytes("id,text\n2,a\ufffdb\n".encode())  # valid UTF-8 that holds the replacement character
+    both = rd.read_csv_any_encoding(spark, str(tmp_path), schema, multi_line=False).collect()
+    assert sorted(r["text"] for r in both) == ["a\ufffdb", "café", "café"]
 
 
 def products(spark, *ids):
