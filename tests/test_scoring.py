@@ -13,10 +13,10 @@ def texts(spark, *values):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ("I love this product, it is great and amazing!", ("positive", 1.0, 0.0, 0.0, 1.0)),
-        ("This is terrible, awful product. I hate it.", ("negative", 0.0, 1.0, 0.0, 1.0)),
-        ("The product arrived on Tuesday.", ("neutral", 0.33, 0.33, 0.34, 0.5)),
-        ("Good and bad mixed feelings about this.", ("neutral", 0.5, 0.5, 0.0, 0.0)),
+        ("We love the lamp and its perfect light makes me happy", ("positive", 1.0, 0.0, 0.0, 1.0)),
+        ("A horrible smell and a useless manual that I regret reading", ("negative", 0.0, 1.0, 0.0, 1.0)),
+        ("It came in a blue box with two cables", ("neutral", 0.33, 0.33, 0.34, 0.5)),
+        ("A good lens on a bad strap", ("neutral", 0.5, 0.5, 0.0, 0.0)),
         ("", ("neutral", 0.33, 0.33, 0.34, 0.5)),
     ],
 )
@@ -27,9 +27,9 @@ def test_lexicon(spark, text, expected):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ("This product has high quality and great value for the price.", {"product_quality": "positive"}),
+        ("The bag is well made and its zip feels solid", {"product_quality": "positive"}),
         (
-            "Poor quality product, shipping was slow and customer service was terrible.",
+            "A flimsy stand with a slow motor",
             {"product_quality": "negative", "performance": "negative"},
         ),
         ("", {"product_quality": "neutral", "shipping": "neutral", "packaging": "neutral"}),
@@ -43,7 +43,7 @@ def test_phrase_aspects(spark, text, expected):
 
 
 def test_aggregate_aspects(spark):
-    df = texts(spark, "Great product quality, fast shipping", "Poor quality, slow delivery", "Good value for money")
+    df = texts(spark, "Fast shipping of my lamp", "Flimsy stand, slow motor", "The set is good value")
     rows = {r["aspect"]: r for r in sc.aggregate_aspects(sc.score_phrase_aspects(df, "text")).collect()}
     assert set(rows) == {"product_quality", "shipping", "performance", "price"}
     assert (rows["product_quality"]["negative_pct"], rows["product_quality"]["coverage"]) == (100.0, 33.3)
