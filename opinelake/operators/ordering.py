@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from opinelake.functions import values as vl
 from opinelake.operators.projections import for_product, look_back, top_rows
 
+BROADCAST_ROWS = 10_000
+
 
 def review_page(
     reviews: DataFrame,
@@ -31,10 +33,32 @@ def review_page(
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
 
 
-def _alert_base(reviews: DataFrame, sentiment: DataFrame, product_id: str | None) -> DataFrame:
-    slim = for_product(reviews.select("review_id", "product_id"), product_id)
-    how = "left" if product_id in (None, "all") else "inner"
-    return sentiment.join(slim, "review_id", how)
+def _of_page(df: DataFrame, page: DataFrame, key: str, limit: int) -> DataFrame:
+    """Rows of ``df`` whose key is on a page of at most ``limit`` rows; pages up to ``BROADCAST_ROWS`` are broadcast."""
+    keys = page.select(key)
+    return df.join(F.broadcast(keys) if limit <= BROADCAST_ROWS else keys, key, "left_semi")
+
+
+def _newest_results(
+    reviews: DataFrame, sentiment: DataFrame, product_id: str | None, limit: int, offset: int = 0, acks: DataFrame | None = None
+) -> DataFrame:
+    """A page of results, newest first, with product_id and, given ``acks`` (result_id), the flag ``acknowledged``.
+
+    Without a product every result has its place, whatever review it belongs to: the page is taken first and only its rows
+    meet the reviews and the acknowledgements.
+    """
+    order = [F.desc("analyzed_at"), "result_id"]
+    slim = reviews.select("review_id", "product_id")
+    one_product = product_id not in (None, "all")
+    if one_product:
+        sentiment = sentiment.join(for_product(slim, product_id), "review_id")
+    page = out = top_rows(sentiment, order, limit, offset)
+    if not one_product:
+        out = out.join(_of_page(slim, page, "review_id", limit), "review_id", "left")
+    if acks is not None:
+        marks = _of_page(acks.select("result_id"), page, "result_id", limit).distinct().withColumn("_ack", F.lit(True))
+        out = out.join(marks, "result_id", "left").withColumn("acknowledged", F.col("_ack").isNotNull()).drop("_ack")
+    return page if out is page else top_rows(out, order, limit)
 
 
 def _message(prefix: str, conf: str) -> F.Column:
@@ -51,15 +75,15 @@ def alert_list(
     offset: int = 0,
 ) -> DataFrame:
     """Results as alerts, newest first. ``acks`` (result_id) is the append-only table of acknowledged alerts."""
-    df = _alert_base(reviews, sentiment, product_id)
-    if acks is None:
-        df = df.withColumn("acknowledged", F.lit(False))
-    else:
-        marks = acks.select("result_id").distinct().withColumn("_ack", F.lit(True))
-        df = df.join(marks, "result_id", "left").withColumn("acknowledged", F.coalesce("_ack", F.lit(False)))
     if acknowledged is not None:
-        df = df.filter(F.col("acknowledged") == acknowledged)
-    page = top_rows(df, [F.desc("analyzed_at"), "result_id"], limit, offset)
+        if acks is not None:
+            sentiment = sentiment.join(acks.select("result_id"), "result_id", "left_semi" if acknowledged else "left_anti")
+        elif acknowledged:
+            sentiment = sentiment.filter(F.lit(False))
+    if acks is None or acknowledged is not None:
+        page = _newest_results(reviews, sentiment, product_id, limit, offset).withColumn("acknowledged", F.lit(bool(acknowledged)))
+    else:
+        page = _newest_results(reviews, sentiment, product_id, limit, offset, acks)
     return page.select(
         F.col("result_id").alias("id"),
         "product_id",
@@ -81,8 +105,7 @@ def recent_alerts(
     reviews: DataFrame, sentiment: DataFrame, as_of, hours: int = 24, product_id: str | None = None, n: int = 10
 ) -> DataFrame:
     recent = look_back(sentiment, "analyzed_at", as_of, hours=hours)
-    df = top_rows(_alert_base(reviews, recent, product_id), [F.desc("analyzed_at"), "result_id"], n)
-    return df.select(
+    return _newest_results(reviews, recent, product_id, n).select(
         F.col("result_id").alias("id"),
         vl.list_severity("confidence_score").alias("severity"),
         _message("Sentiment:", "conf: ").alias("message"),
@@ -110,8 +133,7 @@ def alert_check(
     reviews: DataFrame, sentiment: DataFrame, product_id: str | None = None, newest: int = 50, below: float = 0.5
 ) -> DataFrame:
     """The newest results first, the confidence filter after that."""
-    df = top_rows(_alert_base(reviews, sentiment, product_id), [F.desc("analyzed_at"), "result_id"], newest)
-    return low_confidence_alerts(df, below)
+    return low_confidence_alerts(_newest_results(reviews, sentiment, product_id, newest), below)
 
 
 def training_history(versions: DataFrame, n: int = 5) -> DataFrame:

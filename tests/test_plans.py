@@ -156,8 +156,22 @@ def test_alert_lists(spark):
     assert od.alert_list(rv, se, product_id="b").first()["message"] == "Sentiment prediction: neutral (confidence: 0.20)"
     # The limit comes before the filter: the newest two hold one low-confidence row.
     assert [r["id"] for r in od.alert_check(rv, se, newest=2).collect()] == [3]
-    acks = spark.createDataFrame([(3,)], "result_id long")
+    acks = spark.createDataFrame([(3,), (3,)], "result_id long")
     assert [r["id"] for r in od.alert_list(rv, se, acks=acks, acknowledged=False).collect()] == [2, 1]
+    assert [r["id"] for r in od.alert_list(rv, se, acks=acks, acknowledged=True).collect()] == [3]
+    assert [(r["id"], r["acknowledged"]) for r in od.alert_list(rv, se, acks=acks, limit=2).collect()] == [(3, True), (2, False)]
+    orphan = se.unionByName(sentiment(spark, (9, "negative", 0.1, "2001-07-04")))
+    assert [(r["id"], r["product_id"]) for r in od.alert_list(rv, orphan, limit=2).collect()] == [(9, None), (3, "b")]
+
+
+def test_alert_pages_are_taken_before_the_join(spark):
+    rv, se = reviews(spark, *[(i, "a") for i in range(9)]), sentiment(spark, *[(i, "positive", 0.4, "2001-07-01") for i in range(9)])
+    acks = spark.createDataFrame([(3,)], "result_id long")
+    for out in (od.alert_list(rv, se, acks=acks), od.alert_check(rv, se), od.recent_alerts(rv, se, "2001-07-02")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        joins = [i for i, line in enumerate(plan) if "Join" in line]
+        # Below each outer join lies a page, or what a page has picked from the other table.
+        assert joins and all("LeftSemi" in plan[i] or any("LocalLimit" in x for x in plan[i + 1 : i + 6]) for i in joins)
 
 
 def test_empty_inputs_give_zeros(spark):
