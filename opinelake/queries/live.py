@@ -81,7 +81,9 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN
 WHERE n = 10 AND negative_ratio >= 0.3""",
 )
 def _(spark, sf):
-    return _append(lv.spike_stream(_events(spark, sf), "user_id", "ts", "event_id", F.col("label") == "negative"), "spikes")
+    root = shared_dir(spark, "spikes")
+    _finish(lv.run_spikes(_events(spark, sf), "user_id", "ts", "event_id", F.col("label") == "negative", f"{root}/out", f"{root}/state"))
+    return spark.read.parquet(f"{root}/out/spikes").select("user_id", "event_id", "negative_ratio")
 
 
 @query(
@@ -95,6 +97,17 @@ def _(spark, sf):
     return lv.newest_batch(spark, f"{root}/out")
 
 
+@query(
+    "closed_trend_stream_n6",
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS date, {n_if(f"{_LABEL} = 'positive'")} AS positive, {n_if(f"{_LABEL} = 'negative'")} AS negative,
+  {n_if(f"{_LABEL} = 'neutral'")} AS neutral, count(*) AS total FROM events
+WHERE date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY 1""",
+)
+def _(spark, sf):
+    # Days that the watermark has closed: they ended a day or more before the newest event.
+    return _append(lv.daily_trend(_events(spark, sf), "ts", "label"), "closed")
+
+
 @query("store_once_n7", "SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY 1")
 def _(spark, sf):
     root = shared_dir(spark, "stored")

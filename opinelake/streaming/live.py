@@ -7,27 +7,26 @@ restart after a lost executor or driver neither loses nor doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opinelake.operators.dedupe import keep_first
 from opinelake.operators.ordering import low_confidence_alerts
 from opinelake.operators.projections import top_rows
 from opinelake.operators.scoring import analyse_texts
+from opinelake.operators.windows import first_n, spikes
 from opinelake.schema import SENTIMENT_LABELS
 
 REFRESH = "30 seconds"
+KEPT_BATCHES = 10
 
 
 def read_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """File stream over a parquet folder (or one file), with the schema of the files that are there."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, fs = _hadoop(spark, path)
     if fs.getFileStatus(target).isFile():
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a glob
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -73,41 +72,25 @@ def drop_repeats(arrivals: DataFrame, key: str, ts: str, delay: str = "1 day") -
     return arrivals.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def spike_stream(
-    scored: DataFrame, key: str, ts: str, tie: str, negative: Column, window: int = 10, threshold: float = 0.3
-) -> DataFrame:
-    """Arrivals at which the last ``window`` rows of their key are negative often enough.
+# --- sinks -------------------------------------------------------------------------------------
 
-    State is the last ``window - 1`` flags per key. Rows are slimmed to four columns before the
-    shuffle; a key never sees more rows at once than one trigger takes in, so bound the intake
-    (``maxFilesPerTrigger``) to what one task can sort. Feed the stream in time order.
-    """
-    slim = scored.select(
-        F.col(key).cast("string").alias(key), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"),
-        negative.cast("int").alias("neg"),
-    )
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "tie"])
-        kept = list(state.get[0]) if state.exists else []
-        flags = pd.Series(kept + rows["neg"].tolist(), dtype="float64")
-        state.update((flags.iloc[-(window - 1):].astype(int).tolist(),))
-        ratio = flags.rolling(window).sum().iloc[len(kept):].to_numpy() / window
-        out = pd.DataFrame({key: keys[0], "tie": rows["tie"].to_numpy(), "negative_ratio": ratio})
-        out = out[out["negative_ratio"] >= threshold]
-        if len(out):
-            yield out
-
-    return slim.groupBy(key).applyInPandasWithState(
-        update,
-        f"{key} string, tie long, negative_ratio double",
-        "flags array<int>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    ).withColumnRenamed("tie", tie)
 
+def _batch_path(out: str, batch_id: int) -> str:
+    return f"{out}/batch={batch_id:09d}"
+
+
+def _store_batch(rows: DataFrame, out: str, batch_id: int) -> None:
+    """The answer as of a batch. That of ``KEPT_BATCHES`` batches before is removed; later ones may still have readers."""
+    rows.write.mode("overwrite").parquet(_batch_path(out, batch_id))
+    if batch_id >= KEPT_BATCHES:
+        old, fs = _hadoop(rows.sparkSession, _batch_path(out, batch_id - KEPT_BATCHES))
+        fs.delete(old, True)
 
-# --- sinks -------------------------------------------------------------------------------------
 
 def run_append(df: DataFrame, out: str, checkpoint: str, available_now: bool = True, every: str = REFRESH) -> StreamingQuery:
     """Exactly-once append to a parquet folder."""
@@ -128,18 +111,55 @@ def run_batches(
 
 
 def run_totals(totals: DataFrame, out: str, checkpoint: str, **when) -> StreamingQuery:
-    """Writes the complete current totals under the batch id; the newest folder is the answer."""
+    """Writes the complete current totals under the batch id; the newest folder is the answer.
+
+    The totals are gathered into one file after the aggregate, whose state keeps its tasks.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        _store_batch(batch.repartition(1), out, batch_id)
 
     return run_batches(totals, write, checkpoint, "complete", **when)
 
 
 def newest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """Rows of the highest batch folder."""
-    stored = spark.read.parquet(out)
-    return stored.filter(F.col("batch") == stored.agg(F.max("batch")).scalar()).drop("batch")
+    """Rows of the highest batch folder that is written to its end; no other folder is read."""
+    root, fs = _hadoop(spark, out)
+    folders = [status.getPath().toString() for status in fs.listStatus(root)]
+    return spark.read.parquet(max(path for path in folders if fs.exists(_hadoop(spark, f"{path}/_SUCCESS")[0])))
+
+
+def run_spikes(
+    scored: DataFrame, key: str, ts: str, tie: str, negative: Column, out: str, checkpoint: str, window: int = 10,
+    threshold: float = 0.3, expire_days: int = 30, **when
+) -> StreamingQuery:
+    """Stores the arrivals at which the last ``window`` rows of their key are negative often enough, in ``out``/spikes.
+
+    A batch is one windowed plan over its rows and the last ``window - 1`` rows per key that the batch before stored, cut
+    into time slices like the batch operator, so a key that owns most of a trigger is many tasks. Keys without a row in the
+    last ``expire_days`` days of event time are forgotten. Feed the stream in time order: a late row is placed among the
+    rows that are kept.
+    """
+    slim = scored.select(
+        F.col(key).cast("string").alias(key), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("id"), negative.cast("int").alias("neg")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("new", F.lit(True))
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(_batch_path(f"{out}/state", batch_id - 1)).withColumn("new", F.lit(False)))
+        # Read three times below, hence written once.
+        _store_batch(rows, f"{out}/rows", batch_id)
+        rows = spark.read.schema(rows.schema).parquet(_batch_path(f"{out}/rows", batch_id))
+        found = spikes(rows.withColumn("tie", F.struct("id", "new")), key, "ts", "tie", F.col("neg") == 1, window, threshold)
+        found = found.filter("tie.new").select(key, F.col("tie.id").alias(tie), "negative_ratio")
+        found.write.mode("overwrite").parquet(_batch_path(f"{out}/spikes", batch_id))
+        newest = first_n(rows, key, [F.desc("ts"), F.desc("id")], window - 1)
+        fresh = F.col("ts") >= rows.agg(F.max("ts")).scalar() - F.make_dt_interval(F.lit(expire_days))
+        _store_batch(newest.filter(fresh).select(*batch.columns), f"{out}/state", batch_id)
+
+    return run_batches(slim, write, checkpoint, **when)
 
 
 def run_latest(df: DataFrame, order: list[Column], out: str, checkpoint: str, n: int = 19, **when) -> StreamingQuery:
@@ -147,9 +167,8 @@ def run_latest(df: DataFrame, order: list[Column], out: str, checkpoint: str, n:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch_id:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch={batch_id - 1:09d}")
-            batch = batch.unionByName(before)
-        top_rows(batch, order, n).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(_batch_path(out, batch_id - 1)))
+        _store_batch(top_rows(batch, order, n), out, batch_id)
 
     return run_batches(df, write, checkpoint, **when)
 
@@ -161,6 +180,6 @@ def run_once_per_key(df: DataFrame, key: str, order: list, out: str, checkpoint:
         if batch_id:
             stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id).select(key)
             rows = rows.join(stored, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        rows.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
     return run_batches(df, write, checkpoint, **when)

@@ -40,10 +40,45 @@ def test_totals_latest_and_trend(spark, tmp_path):
 def test_spikes_across_batches(spark, tmp_path):
     df, path = feed(spark, tmp_path)
     negative = F.col("label") == "negative"
-    stream = lv.spike_stream(lv.read_stream(spark, path, 1), "user", "ts", "event_id", negative)
-    lv.run_append(stream, f"{tmp_path}/s", f"{tmp_path}/sc").awaitTermination()
+    for _ in range(2):  # the second run finds nothing new
+        lv.run_spikes(lv.read_stream(spark, path, 1), "user", "ts", "event_id", negative, f"{tmp_path}/s", f"{tmp_path}/sc").awaitTermination()
     batch = wn.spikes(df, "user", "ts", "event_id", negative)
-    assert rows(spark.read.parquet(f"{tmp_path}/s"), "user", "event_id") == rows(batch, "user", "event_id")
+    assert rows(spark.read.parquet(f"{tmp_path}/s/spikes"), "user", "event_id") == rows(batch, "user", "event_id")
+    kept = lv.newest_batch(spark, f"{tmp_path}/s/state").groupBy("user").count().collect()
+    assert {r["user"]: r["count"] for r in kept} == dict.fromkeys(["hot", *[f"k{i}" for i in range(5)]], 9)
+
+
+def test_spike_state_of_quiet_keys_expires(spark, tmp_path):
+    df, path = feed(spark, tmp_path)
+    late = df.limit(1).select(
+        "event_id", (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit("new").alias("user"), "label", "confidence_score"
+    )
+    late.write.mode("append").parquet(path)
+    stream = lv.read_stream(spark, path, 1)
+    lv.run_spikes(stream, "user", "ts", "event_id", F.col("label") == "negative", f"{tmp_path}/s", f"{tmp_path}/sc").awaitTermination()
+    assert rows(lv.newest_batch(spark, f"{tmp_path}/s/state"), "user") == [("new",)]
+
+
+def test_days_close_and_late_rows_of_closed_days_are_dropped(spark, tmp_path):
+    df, path = feed(spark, tmp_path)
+    days = [r[0] for r in df.select(F.date_format("ts", "yyyy-MM-dd")).distinct().orderBy(F.col("date_format(ts, yyyy-MM-dd)")).collect()]
+    stream = lv.daily_trend(lv.read_stream(spark, path, 1), "ts", "label")
+    lv.run_append(stream, f"{tmp_path}/t", f"{tmp_path}/tc").awaitTermination()
+    closed = spark.read.parquet(f"{tmp_path}/t")
+    batch = df.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("total"))
+    expected = [r for r in rows(batch, "date", "total") if r[0] < days[-2]]
+    assert [r for r in rows(closed, "date", "total") if r[0] < days[-2]] == expected and days[-1] not in {r["date"] for r in closed.collect()}
+    df.limit(1).write.mode("append").parquet(path)  # the first day has been closed
+    lv.run_append(lv.daily_trend(lv.read_stream(spark, path, 1), "ts", "label"), f"{tmp_path}/t", f"{tmp_path}/tc").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/t"), "date", "total").count(expected[0]) == 1
+
+
+def test_old_and_unfinished_batches(spark, tmp_path):
+    for i in range(lv.KEPT_BATCHES + 3):
+        lv._store_batch(spark.range(i, i + 1), str(tmp_path / "out"), i)
+    assert len(list((tmp_path / "out").iterdir())) == lv.KEPT_BATCHES
+    (tmp_path / "out" / "batch=000000099").mkdir()
+    assert lv.newest_batch(spark, str(tmp_path / "out")).first()["id"] == lv.KEPT_BATCHES + 2
 
 
 def test_store_once_and_restart(spark, tmp_path):
