@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from opinelake.functions import values as vl
 from opinelake.lexicons import ASPECT_TAXONOMY
-from opinelake.operators.joins import competitors_of, lookup_in_order, reviews_with_sentiment, with_parent
+from opinelake.operators.joins import competitors_of, lookup_in_order, reviews_with_sentiment
 from opinelake.operators.projections import for_product, look_back
 from opinelake.schema import SENTIMENT_LABELS
 
@@ -222,6 +222,29 @@ def aspect_summary(
     return _aspect_rows(flat.agg(*_aspect_counts(aspects)), aspects)
 
 
+def daily_counters(
+    reviews: DataFrame, sentiment: DataFrame, as_of, days: int, aspects: Sequence[str] = tuple(ASPECT_TAXONOMY)
+) -> DataFrame:
+    """Sums per day from which ``overall_stats``, ``daily_trend`` and ``aspect_summary`` can be rolled up.
+
+    One join and one aggregate. ``date`` is null for reviews before the look-back window and for those without a result.
+    """
+    scored = F.col("_scored").isNotNull()
+    df = reviews_with_sentiment(
+        reviews.select("review_id", "raw_rating", "ingested_at"),
+        sentiment.select("review_id", "predicted_sentiment", "aspects", F.lit(True).alias("_scored")),
+        "left",
+    ).select(
+        F.when(scored & (F.col("ingested_at") >= vl.since(as_of, days)), vl.day_key("ingested_at")).alias("date"),
+        "raw_rating", "predicted_sentiment", "_scored", vl.flat_aspects("aspects").alias("flat"),
+    )
+    rating = F.when(F.col("raw_rating") != 0, F.col("raw_rating"))
+    return df.groupBy("date").agg(
+        F.count("*").alias("reviews"), F.count("_scored").alias("scored"), *_label_counts(),
+        F.coalesce(F.sum(rating), F.lit(0)).alias("s_rating"), F.count(rating).alias("n_rating"), *_aspect_counts(aspects),
+    )
+
+
 def aspect_cohorts(
     scored: DataFrame, cohort: str, aspects_column: str, aspects: Sequence[str] = tuple(ASPECT_TAXONOMY),
     cohorts: Sequence[str] = ("product", "competitor"),
@@ -254,8 +277,11 @@ def category_comparison(products: DataFrame, reviews: DataFrame, sentiment: Data
 
 
 def product_profiles(products: DataFrame, reviews: DataFrame, sentiment: DataFrame) -> DataFrame:
-    """Distribution and average scores for all given products in one grouped aggregate."""
-    stats = _per_product(with_parent(reviews, products, "product_id", "review_id"), sentiment, "inner")
+    """Distribution and average scores for all given products in one grouped aggregate.
+
+    Reviews of other products are summed too and dropped afterwards: for few products give their reviews only.
+    """
+    stats = _per_product(reviews, sentiment, "inner")
     joined = products.join(stats, "product_id", "left")
 
     def n(c: str) -> Column:
@@ -281,7 +307,8 @@ def compare_with_competitors(products: DataFrame, reviews: DataFrame, sentiment:
     cols = ["product_id", "product_name", "category"]
     target = products.filter(F.col("product_id") == product_id).select(*cols, F.lit("product").alias("role"))
     rivals = competitors_of(products, product_id).select(*cols, F.lit("competitor").alias("role"))
-    return product_profiles(target.unionByName(rivals), reviews, sentiment)
+    chosen = target.unionByName(rivals)
+    return product_profiles(chosen, reviews.join(chosen.select("product_id"), "product_id", "left_semi"), sentiment)
 
 
 def cohort_comparison(scored: DataFrame, cohort: str) -> DataFrame:

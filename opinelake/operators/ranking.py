@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from opinelake.schema import SENTIMENT_LABELS
 
 
-def seeded_hash(key: str, seed: int) -> Column:
-    """Repeatable pseudo-random order key."""
-    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+def seeded_hash(key: str | Sequence[str], seed: int) -> Column:
+    """Repeatable pseudo-random order key of one or more columns."""
+    keys = [key] if isinstance(key, str) else key
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
 def _bucket_offsets(df: DataFrame, group: list[str], bucket: str) -> DataFrame:
@@ -129,18 +130,20 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42, hex_digits: i
     return df.withColumn("_cut", cut.select("_cut").scalar()).filter(here <= F.col("_cut")).drop("_cut")
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, partitions: int | None = None) -> DataFrame:
+def seeded_shuffle(df: DataFrame, key: str | Sequence[str], seed: int = 42, partitions: int | None = None) -> DataFrame:
     """All rows in a repeatable random total order, independent of the number of partitions.
 
     The order key is uniform, so equal ranges of it are balanced partitions. They are assigned
     directly: a global sort would compute the input twice, once only to sample its range bounds.
+    Rows with equal ``key`` columns stay together, so give columns that tell copies of a text apart.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)
     return (
-        df.withColumn("shuffle_key", seeded_hash(key, seed))
+        df.withColumn("shuffle_key", seeded_hash(keys, seed))
         .repartitionById(n, F.floor(share).cast("int"))
-        .sortWithinPartitions("shuffle_key", key)
+        .sortWithinPartitions("shuffle_key", *keys)
     )
 
 

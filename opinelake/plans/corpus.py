@@ -45,8 +45,13 @@ def preprocess_tweets(
     return df.withColumn("review_date", vl.lenient_tweet_date("date")).withColumn("source", F.lit(source))
 
 
-def merge(parts: Sequence[DataFrame], shuffle_key: str | None = "cleaned_text", seed: int = 42) -> DataFrame:
-    """UNION ALL on the shared five columns, in seeded random order unless ``shuffle_key`` is None."""
+def merge(
+    parts: Sequence[DataFrame], shuffle_key: Sequence[str] | None = ("cleaned_text", "source", "review_date"), seed: int = 42
+) -> DataFrame:
+    """UNION ALL on the shared five columns, in seeded random order unless ``shuffle_key`` is None.
+
+    Source and date are in the key because cleaning makes many short texts equal.
+    """
     out = parts[0].select(MERGED_COLUMNS)
     for part in parts[1:]:
         out = out.unionByName(part.select(MERGED_COLUMNS))

@@ -148,6 +148,12 @@ def test_seeded_shuffle_is_a_total_order_for_any_partition_count(spark):
     assert orders[0] == orders[1] == orders[2] and orders[0] != sorted(orders[0])
 
 
+def test_copies_of_a_text_are_spread_by_further_columns(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    sizes = rk.seeded_shuffle(df, ["text", "id"], partitions=8).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 200
+
+
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("slices", [1, 2, 7, 64])
 def test_running_totals(spark, slices, descending):
