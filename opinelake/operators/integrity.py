@@ -56,6 +56,10 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
     )
 
 
+def product_defaults(now: Column) -> dict[str, Column]:
+    return {"is_competitor": F.lit(False), "created_at": now, "updated_at": now}
+
+
 def review_defaults(now: Column) -> dict[str, Column]:
     return {
         "verified_purchase": F.lit(False),

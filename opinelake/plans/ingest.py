@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from opinelake.functions import text as tx
 from opinelake.functions import values as vl
+from opinelake.operators import integrity as ig
 from opinelake.operators import projections as pr
-from opinelake.operators.joins import get_or_create_products, with_parent
+from opinelake.operators.dedupe import keep_first
+from opinelake.operators.joins import get_or_create_products, orphans, with_parent
 from opinelake.operators.ranking import hash_rank
 from opinelake.operators.scoring import analyse_texts
-from opinelake.sources.readers import materialise
+from opinelake.sources import readers as rd
 
 # Names stored with each prediction.
 MODEL_NAME = "distilbert-sentiment"
@@ -37,13 +39,49 @@ def number_reviews(incoming: DataFrame, key: str, reviews: DataFrame) -> DataFra
     return hash_rank(incoming, key, 0, out="_rank").withColumn("review_id", F.col("_rank") + top).drop("_rank")
 
 
+def store(load: Load, root: str, now: Column) -> DataFrame:
+    """Appends a load to the tables under ``root`` and returns the rows that were refused: (table, key, violations).
+
+    Defaults are filled first. A row is refused if it fails a check of its table or if its product or review is not stored.
+    Of rows with one key the first is taken, and keys that are stored already are left out, so storing a load again adds
+    nothing; its numbers must then be the same, which a ``staging`` folder ensures.
+    """
+    spark = load.reviews.sparkSession
+    rd.create_tables(spark, root, Load._fields)
+
+    def put(name: str, rows: DataFrame, key: str, order: list[str], checks: dict[str, Column]) -> DataFrame:
+        new = keep_first(rows, key, order).join(rd.read_table(spark, root, name).select(key), key, "left_anti")
+        tagged = ig.with_violations(new, checks)
+        rd.append_table(tagged.filter(F.size("violations") == 0), root, name)
+        return refused(name, key, tagged.filter(F.size("violations") > 0))
+
+    def refused(name: str, key: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), "violations")
+
+    def missing(name: str, key: str, rows: DataFrame, what: str) -> DataFrame:
+        return refused(name, key, rows.withColumn("violations", F.array(F.lit(what))))
+
+    products = ig.with_defaults(load.products, ig.product_defaults(now))
+    out = put("products", products, "product_id", ["product_name"], ig.product_checks() if "price" in products.columns else {})
+    known = rd.read_table(spark, root, "products").select("product_id")
+    reviews = ig.with_defaults(load.reviews, ig.review_defaults(now))
+    accepted = with_parent(reviews, known, "product_id", "review_id")
+    out = out.unionByName(put("reviews", accepted, "review_id", ["product_id", "review_text"], ig.review_checks()))
+    out = out.unionByName(missing("reviews", "review_id", orphans(reviews, known, "product_id", "review_id"), "product_missing"))
+    held = rd.read_table(spark, root, "reviews").select("review_id")
+    results = load.sentiment_results.join(held, "review_id", "left_semi")
+    out = out.unionByName(put("sentiment_results", results, "result_id", ["predicted_sentiment", "confidence_score"], ig.sentiment_checks()))
+    return out.unionByName(missing("sentiment_results", "result_id", load.sentiment_results.join(held, "review_id", "left_anti"), "review_missing"))
+
+
 def _split(scored: DataFrame, products: DataFrame, now: Column) -> Load:
+    """The rows of the tables; a result has the number of its review, of which it is the only one."""
     reviews = scored.select(
         "review_id", "product_id", "reviewer_name", F.col("text").alias("review_text"), F.col("text").alias("cleaned_text"),
         "summary", F.col("score").cast("short").alias("raw_rating"), "source", "review_date", now.alias("ingested_at"),
     )
     results = scored.select(
-        "review_id", F.col("label").alias("predicted_sentiment"), "positive_score", "negative_score", "neutral_score",
+        F.col("review_id").alias("result_id"), "review_id", F.col("label").alias("predicted_sentiment"), "positive_score", "negative_score", "neutral_score",
         "confidence_score", "aspects", F.lit(MODEL_VERSION).alias("model_version"), F.lit(MODEL_NAME).alias("model_name"),
         now.alias("analyzed_at"),
     )
@@ -57,7 +95,7 @@ def _with_columns(df: DataFrame, **defaults: str) -> DataFrame:
 
 def _staged(scored: DataFrame, staging: str | None) -> DataFrame:
     """The scored batch, written once to ``staging`` so that the two tables made of it do not score it twice."""
-    return scored if staging is None else materialise(scored, staging, force_recreate=True)
+    return scored if staging is None else rd.materialise(scored, staging, force_recreate=True)
 
 
 def ingest_reviews(

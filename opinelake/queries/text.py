@@ -869,16 +869,27 @@ _RANK = "row_number() OVER (ORDER BY md5(concat_ws(':', CAST({k} AS VARCHAR), '0
 
 
 def _load_out(load: ingest.Load) -> DataFrame:
-    return load.reviews.join(load.sentiment_results, "review_id").select(
-        "review_id", "product_id", "source", "raw_rating", "review_text", F.col("predicted_sentiment").alias("label"), "positive_score",
-        "confidence_score", "model_name", vl.iso_text("analyzed_at").alias("analyzed_at"), load.products.agg(F.count("*")).scalar().alias("n_products"),
+    """Stores the load and reads the three tables back."""
+    spark = load.reviews.sparkSession
+    root = shared_dir(spark, "tables")
+    ingest.store(load, root, vl.as_of_literal(AS_OF))
+    products, reviews, results = [rd.read_table(spark, root, name) for name in ingest.Load._fields]
+    return reviews.join(results, "review_id").select(
+        "review_id", "result_id", "product_id", "source", "raw_rating", "review_text", "helpful_votes", F.col("predicted_sentiment").alias("label"),
+        "positive_score", "confidence_score", "model_name", vl.iso_text("analyzed_at").alias("analyzed_at"),
+        products.agg(F.count("*")).scalar().alias("n_products"),
     )
 
 
 def _load_sql(rows: str, products: str) -> str:
-    """``rows``: relation with key columns, t and the stored columns."""
-    return f""" SELECT review_id, product_id, source, raw_rating, review_text, label, positive_score, confidence_score, 'distilbert-sentiment' AS model_name,
-  '2001-08-01T00:00:00' AS analyzed_at, ({products}) AS n_products FROM (SELECT *, {_lex_sql('review_text')} FROM (SELECT *, {_lex_counts('review_text')} FROM ({rows})))"""
+    """``rows``: relation with key columns, t and the stored columns. Rows that fail a check are not stored."""
+    return f""" SELECT review_id, review_id AS result_id, product_id, source, raw_rating, review_text, 0 AS helpful_votes, label, positive_score,
+  confidence_score, 'distilbert-sentiment' AS model_name, '2001-08-01T00:00:00' AS analyzed_at, ({products}) AS n_products
+FROM (SELECT *, {_lex_sql('review_text')} FROM (SELECT *, {_lex_counts('review_text')} FROM ({rows})))
+WHERE coalesce(raw_rating BETWEEN 1 AND 5, TRUE) AND coalesce(length(review_text) > 0, TRUE)"""
+
+
+_STORED_PRODUCTS = "(SELECT count(*) FROM products WHERE NOT coalesce(price <= 0, FALSE))"
 
 
 @query(
@@ -886,7 +897,7 @@ def _load_sql(rows: str, products: str) -> str:
     REL + ", inc AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN source END AS p, text FROM documents WHERE doc_id % 20 <> 0)" + _load_sql(
         f"""SELECT (SELECT max(review_id) FROM reviews) + {_RANK.format(k='doc_id')} AS review_id, coalesce(p, 'unknown') AS product_id, 'api' AS source,
   CAST(NULL AS SMALLINT) AS raw_rating, regexp_replace(regexp_replace(text, '^[{UNI_SPACE}]+', ''), '[{UNI_SPACE}]+$', '') AS review_text FROM inc""",
-        "SELECT (SELECT count(*) FROM products) + count(DISTINCT coalesce(p, 'unknown')) FROM inc",
+        f"SELECT {_STORED_PRODUCTS} + count(DISTINCT coalesce(p, 'unknown')) FROM inc",
     ),
 )
 def _(spark, sf):
@@ -902,7 +913,7 @@ def _(spark, sf):
     REL + _load_sql(
         f"""SELECT (SELECT max(review_id) FROM reviews) + {_RANK.format(k='doc_id')} AS review_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'default' END AS product_id,
   'api_prediction' AS source, CAST(NULL AS SMALLINT) AS raw_rating, text AS review_text FROM documents""",
-        "SELECT (SELECT count(*) FROM products) + count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE 'default' END) FROM documents",
+        f"SELECT {_STORED_PRODUCTS} + count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE 'default' END) FROM documents",
     ),
 )
 def _(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -76,14 +77,24 @@ def source_tag(file_path: Column, folders: dict[str, str]) -> Column:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Relational table stored as parquet, with its declared schema (no inference)."""
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    """Relational table stored as parquet, with its declared schema (no inference), as it is now.
+
+    Scans of one path count as equal whatever files they found, so a plan that reads a table before and after an append
+    could take one for the other. The option, which nothing reads, keeps them apart.
+    """
+    return spark.read.schema(TABLES[name]).option("snapshot", uuid.uuid4().hex).parquet(f"{root}/{name}")
 
 
 def append_table(df: DataFrame, root: str, name: str) -> None:
-    """Append rows; columns are put into table order and cast to the declared types."""
-    fields = TABLES[name].fields
-    df.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("append").parquet(f"{root}/{name}")
+    """Append rows; columns are put into table order and cast to the declared types, missing ones are null."""
+    columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
+    df.select(*columns).write.mode("append").parquet(f"{root}/{name}")
+
+
+def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLES)) -> None:
+    """Empty tables where there are none."""
+    for name in names:
+        materialise(spark.createDataFrame([], TABLES[name]), f"{root}/{name}")
 
 
 def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> None:

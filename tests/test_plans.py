@@ -131,6 +131,24 @@ def test_seed_load(spark):
     assert ingest.seed_load(raw, products(spark, "x"), now()) is None
 
 
+def test_stored_loads(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    raw = raw_reviews(spark, [(1, "a", 5, "I love it"), (2, "b", 9, "odd rating"), (3, "a", 1, "bad"), (3, "a", 1, "copy")])
+    load = ingest.seed_load(raw, products(spark), now(), staging=str(tmp_path / "staged"))
+    orphan = load.reviews.limit(1).withColumns({"review_id": F.lit(7).cast("long"), "product_id": F.lit("gone")})
+    load = load._replace(reviews=load.reviews.unionByName(orphan))
+    got = {(r["table"], r["key"], *r["violations"]) for r in ingest.store(load, root, now()).collect()}
+    assert got == {
+        ("reviews", "2", "rating_out_of_range"), ("reviews", "7", "product_missing"), ("sentiment_results", "2", "review_missing")
+    }
+    for _ in range(2):  # storing it again adds nothing
+        table = {name: rd.read_table(spark, root, name).collect() for name in ingest.Load._fields}
+        assert sorted(r["product_id"] for r in table["products"]) == ["a", "b"] and all(r["created_at"] for r in table["products"])
+        assert sorted((r["review_id"], r["review_text"], r["helpful_votes"]) for r in table["reviews"]) == [(1, "I love it", 0), (3, "bad", 0)]
+        assert sorted((r["result_id"], r["review_id"]) for r in table["sentiment_results"]) == [(1, 1), (3, 3)]
+        ingest.store(load, root, now())
+
+
 def test_constraints_and_acks(spark):
     rows = spark.createDataFrame([(1, 6, ""), (2, None, "ok"), (3, 3, "ok")], "review_id long, raw_rating short, review_text string")
     bad = {r["review_id"]: r["violations"] for r in ig.quarantined(rows, ig.review_checks()).collect()}
