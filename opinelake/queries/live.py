@@ -82,7 +82,8 @@ WHERE n = 10 AND negative_ratio >= 0.3""",
 )
 def _(spark, sf):
     root = shared_dir(spark, "spikes")
-    _finish(lv.run_spikes(_events(spark, sf), "user_id", "ts", "event_id", F.col("label") == "negative", f"{root}/out", f"{root}/state"))
+    negative = F.col("label") == "negative"
+    _finish(lv.run_spikes(_events(spark, sf), "user_id", "ts", "event_id", negative, f"{root}/out", f"{root}/state", expire_days=None))
     return spark.read.parquet(f"{root}/out/spikes").select("user_id", "event_id", "negative_ratio")
 
 

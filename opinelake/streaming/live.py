@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -131,14 +131,15 @@ def newest_batch(spark: SparkSession, out: str) -> DataFrame:
 
 def run_spikes(
     scored: DataFrame, key: str, ts: str, tie: str, negative: Column, out: str, checkpoint: str, window: int = 10,
-    threshold: float = 0.3, expire_days: int = 30, **when
+    threshold: float = 0.3, expire_days: int | None = 30, **when
 ) -> StreamingQuery:
     """Stores the arrivals at which the last ``window`` rows of their key are negative often enough, in ``out``/spikes.
 
     A batch is one windowed plan over its rows and the last ``window - 1`` rows per key that the batch before stored, cut
     into time slices like the batch operator, so a key that owns most of a trigger is many tasks. Keys without a row in the
-    last ``expire_days`` days of event time are forgotten. Feed the stream in time order: a late row is placed among the
-    rows that are kept.
+    last ``expire_days`` days of event time are forgotten, whole; all others keep their rows however old these are. Event
+    time ends at the clock, so a row from the future makes no key look quiet. With None no key is forgotten and the answer
+    is that of the batch operator. Feed the stream in time order: a late row is placed among the rows that are kept.
     """
     slim = scored.select(
         F.col(key).cast("string").alias(key), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("id"), negative.cast("int").alias("neg")
@@ -156,8 +157,11 @@ def run_spikes(
         found = found.filter("tie.new").select(key, F.col("tie.id").alias(tie), "negative_ratio")
         found.write.mode("overwrite").parquet(_batch_path(f"{out}/spikes", batch_id))
         newest = first_n(rows, key, [F.desc("ts"), F.desc("id")], window - 1)
-        fresh = F.col("ts") >= rows.agg(F.max("ts")).scalar() - F.make_dt_interval(F.lit(expire_days))
-        _store_batch(newest.filter(fresh).select(*batch.columns), f"{out}/state", batch_id)
+        if expire_days is not None:
+            now = F.least(rows.agg(F.max("ts")).scalar(), F.current_timestamp())
+            newest = newest.withColumn("last", F.max("ts").over(Window.partitionBy(key)))
+            newest = newest.filter(F.col("last").isNull() | (F.col("last") >= now - F.make_dt_interval(F.lit(expire_days))))
+        _store_batch(newest.select(*batch.columns), f"{out}/state", batch_id)
 
     return run_batches(slim, write, checkpoint, **when)
 

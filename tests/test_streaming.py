@@ -59,6 +59,29 @@ def test_spike_state_of_quiet_keys_expires(spark, tmp_path):
     assert rows(lv.newest_batch(spark, f"{tmp_path}/s/state"), "user") == [("new",)]
 
 
+def test_slow_active_keys_keep_their_rows(spark, tmp_path):
+    """One row every four days is 36 days for nine predecessors; a row from the future makes no key quiet."""
+    start = "timestampadd(DAY, -160, current_timestamp())"
+    df = spark.range(40).select(
+        F.col("id").alias("event_id"), F.expr(f"timestampadd(DAY, CAST(4 * id AS INT), {start})").alias("ts"), F.lit("slow").alias("user"),
+        F.when(F.col("id") % 2 == 0, "negative").otherwise("neutral").alias("label"),
+    )
+    future = spark.range(1).select(
+        F.lit(99).cast("long").alias("event_id"), F.expr("timestampadd(YEAR, 50, current_timestamp())").alias("ts"), F.lit("clock").alias("user"), F.lit("neutral").alias("label")
+    )
+    path = str(tmp_path / "in")
+    steps = [df.filter(f"event_id >= {i} AND event_id < {i + 5}") for i in range(0, 40, 5)]
+    for part in (*steps[:-1], future, steps[-1]):
+        part.coalesce(1).write.mode("append").parquet(path)
+    negative = F.col("label") == "negative"
+    batch = rows(wn.spikes(spark.read.parquet(path), "user", "ts", "event_id", negative), "event_id", "negative_ratio")
+    assert len(batch) == 31
+    for expire in (30, None):
+        out = f"{tmp_path}/{expire}"
+        lv.run_spikes(lv.read_stream(spark, path, 1), "user", "ts", "event_id", negative, out, f"{out}c", expire_days=expire).awaitTermination()
+        assert rows(spark.read.parquet(f"{out}/spikes"), "event_id", "negative_ratio") == batch
+
+
 def test_days_close_and_late_rows_of_closed_days_are_dropped(spark, tmp_path):
     df, path = feed(spark, tmp_path)
     days = [r[0] for r in df.select(F.date_format("ts", "yyyy-MM-dd")).distinct().orderBy(F.col("date_format(ts, yyyy-MM-dd)")).collect()]
