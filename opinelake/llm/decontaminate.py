@@ -5,7 +5,8 @@ two texts that differ in a word still share seeds whose mask skips it. Three mas
 benchmark, and in the training texts at every place whose first two words stand together somewhere in the benchmark (a bitmap of
 word pairs tells; all masks begin with two kept words, so this leaves out nothing that could match). Equal hashes give hits; around
 a hit both texts are laid over each other, and an item leaks if in some stretch of up to ``STRETCH`` words over the hit at least
-``SHARE`` of the words agree. Substituted words cost only themselves.
+``SHARE`` of the words agree, or if the ``LEAST_WORDS`` words at the hit agree in full. Substituted words cost only themselves, and
+a verbatim excerpt is found whatever stands around it.
 
 Everything is a column expression on one pass over the documents; only hits that hold are grouped.
 """
@@ -65,11 +66,16 @@ def _agree(words: Column, n_words: Column, item: Column, n_item: Column, shift:
     return F.when(last >= first, F.array_max(totals) / length).otherwise(F.lit(0.0))
 
 
+def _verbatim(words: Column, item: Column, here: Column, place: Column) -> Column:
+    """Whether ``LEAST_WORDS`` words from a hit on agree in full; every run of that many equal words has such a hit."""
+    return F.forall(F.sequence(F.lit(0), F.lit(LEAST_WORDS - 1)), lambda k: F.get(words, here + k) == F.get(item, place + k))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched_share, doc_word) for each document and benchmark item that share a stretch of words.
 
     docs: doc_id, text; benchmark: item_id, text; more columns are ignored. ``matched_share`` is the best stretch's share of equal
-    words and ``doc_word`` the place of its hit. Items and documents of fewer than eight words have no seed and never match;
+    words, 1 for a short stretch that agrees in full, and ``doc_word`` the place of its hit. Items and documents of fewer than eight words have no seed and never match;
     null and empty texts have no words. Rows without an id take part, under a null id; repeated rows are one result. An empty
     table on either side gives an empty result.
     """
@@ -106,7 +112,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     share_ = _agree(
         F.col("words"), F.col("n_words"), F.col("part"), F.col("n_item"), F.col("here") - F.col("place"), F.col("place"), spans
     )
-    scored = hits.select("doc_id", "item_id", "at", share_.alias("matched_share"))
+    whole = _verbatim(F.col("words"), F.col("part"), F.col("here"), F.col("place"))
+    scored = hits.select("doc_id", "item_id", "at", F.when(whole, F.lit(1.0)).otherwise(share_).alias("matched_share"))
     return scored.filter(F.col("matched_share") >= share).groupBy("doc_id", "item_id").agg(
         F.max("matched_share").alias("matched_share"), F.max_by(F.col("at"), F.struct("matched_share", -F.col("at"))).alias("doc_word")
     )

@@ -165,6 +165,19 @@ def test_leaks_tolerate_substitutions(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SEEDS, 1])
+def test_leaks_find_short_excerpts_in_long_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    w = [f"item{i}" for i in range(30)]
+    around = lambda i, *parts: " ".join([*(f"a{i}x{k}" for k in range(40)), *parts, *(f"b{i}x{k}" for k in range(40))])
+    docs = [
+        (1, around(1, *w[9:21])), (2, around(2, *w[4:12])), (3, around(3, *w[4:11])), (4, around(4, *w[:10], "more", *w[10:20])),
+        (5, around(5, *w[:9], *w[10:19])), (6, around(6, *w[:5], "x", *w[6:11], "y", *w[12:17])),
+    ]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.matched_share) for r in found.collect()) == [(1, 1.0), (2, 1.0), (4, 1.0), (5, 1.0)]
+
+
 def test_leaks_find_every_verbatim_passage(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
