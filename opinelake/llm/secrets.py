@@ -27,6 +27,7 @@ SENSITIVE = re.compile(
     r"(?ai:password|passwd|passphrase|secret|token|credential|auth|bearer|private[_ -]?key|api[_ -]?key|access[_ -]?key|client[_-]?id|session[_-]?id)"
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY_CHARS = re.compile(r"[A-Za-z0-9+/_=-]*")
 REACH, NOVELTY = 80, 0.6
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key client_secret client_id session_id authorization bearer private_key "
@@ -67,22 +68,27 @@ def base_spans(text: str) -> list[Span]:
 
 
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = NOVELTY) -> list[Span]:
-    """Incompressible strings near a sensitive word that touch no known span. Only the ``REACH`` characters around a word are read."""
+    """Incompressible strings near a sensitive word that touch no known span.
+
+    Only the ``REACH`` characters around a word are read, and the rest of a run of key characters that reaches into them.
+    """
     found: list[Span] = []
-    done = 0
+    done = 0  # all before it is searched; never within a run
     for word in SENSITIVE.finditer(text):
         lo, hi = max(0, word.start() - REACH), word.end() + REACH
         if done >= hi:
             continue
-        for m in CANDIDATE.finditer(text, max(lo, done), hi):
+        if lo <= done:
+            lo = done
+        elif KEY_CHARS.fullmatch(text, lo, lo + 1):
+            while lo > done and KEY_CHARS.fullmatch(text, lo - 1, lo):
+                lo -= 1
+        if hi < len(text) and KEY_CHARS.fullmatch(text, hi - 1, hi):
+            hi = KEY_CHARS.match(text, hi).end()
+        done = hi
+        for m in CANDIDATE.finditer(text, lo, hi):
             start, end = m.span()
             value = m.group()
-            if end == hi and end < len(text):  # cut by the end of the reach: take all of it
-                value = CANDIDATE.match(text, start)
-                if value is None:
-                    continue
-                end, value = value.end(), value.group()
-            done = end
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
             if any(s < end and start < e for s, _, e in known):

@@ -398,6 +398,16 @@ def test_secret_spans(spark):
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:20").hexdigest() and rows[8].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_that_begin_or_end_beyond_the_reach():
+    key = base64.b64encode(hashlib.sha512(b"k").digest()).decode()
+    tail = "w " * 36
+    texts = [f"{key} is the api key", f"{'x ' * 9}{key} is the api key", f"the api key {tail}{key} end", f"api key {key} and {'w ' * 30}token"]
+    found = [secrets.scan_text(t, secrets.Novelty()) for t in texts]
+    assert len(key) == 88
+    assert found == [[(at, 3, at + 88)] for at in (t.index(key) for t in texts)]
+    assert secrets.scan_text(f"{key} {'w ' * 45}api key {'w ' * 45}{key}", secrets.Novelty()) == []
+
+
 def test_redaction_and_odd_input(spark, odd):
     df = spark.createDataFrame([(1, "password=abcdef123 x"), (2, None)], "doc_id long, text string")
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["[secret] x", None]
