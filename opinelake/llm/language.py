@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SIZE, N, SYMBOLS = 512, 3, 40  # dimensions, letters of an n-gram, letter vectors (0 is the word edge)
 SAMPLE = 400
-_LIMIT = 0x30000
+_LIMIT = 0x110000  # all code points
 
 
 @lru_cache(maxsize=1)

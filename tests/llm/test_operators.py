@@ -146,6 +146,12 @@ def test_language_odd_input(spark, odd):
     assert {r.lang_pred for r in language.detect(odd, language.fit(no_rows(spark))).collect()} == {"und"}
 
 
+def test_language_of_letters_from_the_third_plane_on(spark):
+    text = "".join(chr(0x30000 + i) for i in range(20)) + chr(0x31350)
+    docs = spark.createDataFrame([(1, text, "zh"), (2, "plain words here", "en")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language.detect(docs, language.fit(docs)).orderBy("doc_id").collect()] == ["zh", "en"]
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 def test_leaks_tolerate_substitutions(spark):
