@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinelake.llm import decontaminate, near_dedup, packing, quality, secrets
@@ -18,6 +18,27 @@ from opinelake.llm.queries import quality_model, tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _digest_key() -> Column:
+    """A key for a row that its doc_id does not name, above usual ids: 62 bits of a digest of id and text."""
+    return F.shiftrightunsigned(F.xxhash64("_named", "text"), 2).bitwiseOR(F.lit(1 << 62))
+
+
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each different row in doc_id, the doc_id in _named, and _shared where the key may repeat.
+
+    The key is the doc_id, or a digest for a row without one and for all but one of the texts of a doc_id.
+    """
+    digest = F.xxhash64("text")
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(digest).alias("_first"))
+    again = stored(texts.filter("_n > 1").select(F.col("doc_id").alias("_named"), "_first"), "repeated-ids")
+    own = F.col("_named").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == digest))
+    return (
+        docs.withColumn("_named", F.col("doc_id")).join(again, "_named", "left")
+        .withColumn("_shared", F.col("_named").isNull() | F.col("_first").isNotNull())
+        .withColumn("doc_id", F.when(own, F.col("_named").cast("long")).otherwise(_digest_key()))
+    )
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the cut; the others go."""
     scored = quality.score(docs, quality_model(spark, docs, sf_dir), "_score")
@@ -27,15 +48,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard 0.8 or more on five-word shingles): that with the smallest doc_id.
 
-    Repeated rows of a doc_id are no group and stay; so do rows without a doc_id or without words.
+    Rows without a doc_id and repeated rows of a doc_id are documents like others, after those that a doc_id names. Rows without
+    words stay.
     """
-    gone = near_dedup.near_duplicates(docs, 80, 100).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = _row_keys(docs)
+    gone = near_dedup.near_duplicates(rows, 80, 100).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = rows.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    copies = F.col("_shared") & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    out = kept.filter(~copies).unionByName(kept.filter(copies).dropDuplicates(["doc_id"]))
+    return out.withColumn("doc_id", F.col("_named")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no stretch with a benchmark item."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that share no stretch with a benchmark item, with or without a doc_id."""
+    rows = docs.withColumn("_named", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), _digest_key()))
+    clean = decontaminate.without_leaks(rows, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("doc_id", F.col("_named")).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

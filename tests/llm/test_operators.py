@@ -488,3 +488,19 @@ def test_pipeline_odd_input(spark, odd, pipeline):
     empty = no_rows(spark)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_judges_rows_without_a_name(spark, pipeline):
+    stages = dict(pipeline.STAGES)
+    text = lambda a, *end: " ".join([*(f"{a}{i}" for i in range(60)), *end])
+    rows = [
+        (None, text("p")), (None, text("p")), (None, text("p", "near")), (3, text("q")), (3, text("q")), (3, text("q", "near")), (9, text("q", "far")),
+        (None, text("q", "copy")), (4, text("r")), (4, text("s")), (None, ""), (None, ""), (None, None), (None, text("t")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in stages["minhash near-dedup"](spark, docs, SF).collect()]
+    group = lambda r: (r[0] or 0, (r[1] or "")[:1])
+    assert sorted(map(group, kept)) == [(0, ""), (0, ""), (0, ""), (0, "p"), (0, "t"), (3, "q"), (4, "r"), (4, "s")]
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, passage), (1, passage), (None, text("u")), (2, text("u"))], "doc_id long, text string")
+    assert sorted(map(group, stages["benchmark decontamination"](spark, docs, SF).collect())) == [(0, "u"), (2, "u")]
