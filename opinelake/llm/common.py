@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,41 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def releasing(run: Callable[[Iterator], Iterator], *clear: Callable[[], object]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task's batches that gives its memory back at the end: Python workers are used again by later tasks.
+
+    ``clear`` empties caches of the module.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for c in clear:
+                c()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)  # what the allocator holds back for the next task
+            except (AttributeError, OSError):
+                pass  # another allocator
+
+    return whole
+
+
+def by_bytes(texts: list[str | None], limit: int) -> Iterator[slice]:
+    """Slices of ``texts`` of up to ``limit`` characters, or of one longer text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and held + n > limit:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def scan_tasks(spark: SparkSession) -> int:
     """Partitions for the next shuffle: the session's number, as AQE merges small ones."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,12 +8,14 @@ which documents may be similar; what they connect is then confirmed on the full
 No step emits the pairs of a group: documents with equal sets are one representative, a bucket returns a star per connected
 part, and the confirmation returns a star per confirmed part. Large buckets and large parts are cut into blocks; each pair of
 blocks is a task of its own, so that no group has to fit one task. A pair of similarity 0.85 has no common band with
-probability 7e-8, and the sketches' bound lies ``MARGIN`` below the similarity asked for, about four standard deviations.
+probability 7e-8, one of 0.8 with 1.5e-5. The sketches' bound lies ``MARGIN`` below the similarity asked for, which loses 4e-8 and
+1.4e-6 of such pairs (binomial samples, exact sums over the parity of their bits): less than the bands do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,12 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinelake.llm.common import components, scan_tasks, stored, whole_groups
+from opinelake.llm.common import by_bytes, components, releasing, scan_tasks, stored, whole_groups
 
 WORDS, BANDS, ROWS, BITS = 5, 28, 5, 512
 SAMPLES = BANDS * ROWS
 BLOCK = 1024
-MARGIN = 0.15
+SLICE = 1 << 20  # characters that are hashed at a time
+_LONG_WORD = re.compile(rb"[^\t-\r ]{65536,}")
+_WORD = re.compile(rb"[^\t-\r ]+")
+MARGIN = 0.2
 _RNG = np.random.default_rng(20240501)
 _ODD = lambda n: _RNG.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _PLACE, _SAMPLE, _BAND = _ODD(256), _ODD(WORDS), _ODD(SAMPLES), _ODD(ROWS)
@@ -51,12 +56,48 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def _lowered(text: str | None) -> bytes:
+    """The text's bytes; a word of more than 65,535 bytes stands as its digest."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
+    return _LONG_WORD.sub(lambda m: b"\0" + hashlib.blake2b(m.group(), digest_size=16).hexdigest().encode(), raw) if len(raw) > 65535 else raw
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """Parts of a text, one space between words, each beginning with the last four words of the one before."""
+    words: list[bytes] = []
+    size = fresh = 0
+    for m in _WORD.finditer(raw):
+        words.append(m.group())
+        size, fresh = size + len(words[-1]) + 1, fresh + 1
+        if size >= SLICE and fresh >= WORDS:
+            yield b" ".join(words)
+            words = words[1 - WORDS :]
+            size, fresh = sum(map(len, words)), 0
+    if fresh:
+        yield b" ".join(words)
+
+
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; empty for null and for texts without words."""
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    """The sorted distinct shingle hashes of each text; empty for null and for texts without words.
+
+    Texts are hashed ``SLICE`` characters at a time, longer ones in pieces that share four words, so memory does not grow with
+    them beyond their sets.
+    """
+    out: list[np.ndarray] = []
+    for part in by_bytes(texts, SLICE):
+        raw = [_lowered(t) for t in texts[part]]
+        if len(raw) == 1 and len(raw[0]) > 2 * SLICE:
+            sets = [_shingles([p])[0] for p in _pieces(raw[0])]
+            out.append(np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64))
+        else:
+            out += _shingles(raw)
+    return out
+
+
+def _shingles(raw: list[bytes]) -> list[np.ndarray]:
     size = np.array([len(r) + 1 for r in raw])
     buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(max(1 << 20, 1 << int(len(buf)).bit_length()))
+    up, down = _powers(max(2 * SLICE, 1 << int(len(buf)).bit_length()))
     space = _SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -102,9 +143,10 @@ def sketch_bound(similarity: float) -> int:
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.iloc[at : at + 256]
-            sets = shingle_sets(part["text"].tolist())
+        texts = batch["text"].tolist()
+        for at in by_bytes(texts, SLICE):
+            part = batch.iloc[at]
+            sets = shingle_sets(texts[at])
             samples = np.array([minhashes(s) for s in sets], np.uint64).reshape(len(sets), SAMPLES)
             bands = _mix(
                 (samples.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[0]
@@ -121,7 +163,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null when empty), band hashes and odd sketch of each document."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        _profile, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+        releasing(_profile, _powers.cache_clear), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
     )
 
 
@@ -245,7 +287,7 @@ def likely_links(people: DataFrame, sketch_similarity: float = 0.85 - MARGIN, bl
     met = _blocks(rows.join(shared, "bucket").join(people.select("id", "sketch"), "id"), "count", block)
     n = scan_tasks(people.sparkSession)
     dealt = met.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id")
-    return dealt.mapInPandas(_likely(sketch_bound(sketch_similarity)), "a long, b long").distinct()
+    return dealt.mapInPandas(releasing(_likely(sketch_bound(sketch_similarity))), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100, block: int = BLOCK) -> DataFrame:
@@ -269,7 +311,7 @@ def near_duplicates(docs: DataFrame, part: int = 85, whole: int = 100, block: in
     members = _blocks(parts.join(sizes, "label"), "count", block)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     asked = members.join(texts, "id").repartition(scan_tasks(docs.sparkSession), "label", "lo", "hi")
-    links = asked.sortWithinPartitions("label", "lo", "hi", "id").mapInPandas(_confirmed(part, whole), "a long, b long").filter("a <> b")
+    links = asked.sortWithinPartitions("label", "lo", "hi", "id").mapInPandas(releasing(_confirmed(part, whole), _powers.cache_clear), "a long, b long").filter("a <> b")
     groups = components(links)
     found = sets.join(groups, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     linked = named.select("doc_id", "n_shingles", "digest").join(found, "digest").drop("digest")

@@ -101,13 +101,14 @@ def fit_rows(x: np.ndarray, quality: np.ndarray, seed: int = 7) -> Model:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from documents whose id has a label 0 or 1; about ``sample`` per class, picked by the hash of the id.
 
-    Rows with a null id or label teach nothing; repeated labels of an id count once, as their least value.
+    Rows with a null id or label teach nothing; repeated labels of an id count once, as their least value, and so do repeated
+    rows of a document, as the one with the least features. The model does not depend on how the rows are partitioned.
     """
     marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
@@ -116,8 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rate = F.when(F.col("quality") == value, F.lit(min(1.0, sample / n))).otherwise(rate)
     picked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     # About 2 * sample rows of two numbers: bounded, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text")
-    found = rows.mapInPandas(_measured, "quality int, x array<double>").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
+    measured = rows.mapInPandas(_measured, "doc_id long, quality int, x array<double>")
+    one = measured.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("m")).select("doc_id", "m.*")
+    found = sorted(one.collect())  # pairs are drawn by position: an order of its own makes the model the same for every layout
     return fit_rows(np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in found], int))
 
 
