@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinelake.llm import ann, decontaminate, language, near_dedup, packing, quality, secrets, sharding, url_rules, warc
-from opinelake.llm.common import id_crc, table
+from opinelake.llm import ann, decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
+from opinelake.llm.common import ASCII_LOWER, ASCII_UPPER, id_crc, table
 from opinelake.session import shared_dir
 
 SHARDS = 16
@@ -84,6 +84,11 @@ def op10_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_mphf_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_common_lines(table(spark, sf_dir, "documents"), min_docs=10, least=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 _DIGEST32 = (
     "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
     "1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '')"
@@ -95,6 +100,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {_DIGEST32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first
       FROM (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages))""",
+    "op13_mphf_line_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{ASCII_UPPER}', '{ASCII_LOWER}') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common c ON k.key = c.key GROUP BY r, doc_id""",
 }
 
 
