@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinelake.llm import ann, decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
+from opinelake.llm import ann, conversation_repair, decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
 from opinelake.llm.common import ASCII_LOWER, ASCII_UPPER, id_crc, table
 from opinelake.session import shared_dir
 
@@ -84,6 +84,26 @@ def op10_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The conversations with faults planted by the checksum of ``conv_id:turn``; nulls are one space."""
+    written = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    kind = F.col("kind")
+    return (
+        rows.withColumn("kind", F.crc32(F.concat_ws(":", *written).cast("binary")) % 20).filter("kind <> 0")
+        .withColumn("role", F.when(kind == 4, F.lit("user")).otherwise(role))
+        .withColumn("text", F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text))
+        .withColumn("copy", F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+        .select("conv_id", "turn", "role", "text")
+    )
+
+
+def op11_glr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = damaged_conversations(rows)
+    return conversation_repair.repaired_digests(damaged, conversation_repair.repair(damaged, rows.select("conv_id")))
+
+
 def op13_mphf_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_common_lines(table(spark, sf_dir, "documents"), min_docs=10, least=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
