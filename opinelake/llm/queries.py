@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinelake.llm import ann, conversation_repair, decontaminate, language, line_dedup, near_dedup, packing, quality, secrets, sharding, url_rules, warc
+from opinelake.llm import ann, conversation_repair, decontaminate, language, line_dedup, near_dedup, packing, phrases, quality, secrets, sharding, url_rules, warc
 from opinelake.llm.common import ASCII_LOWER, ASCII_UPPER, id_crc, table
 from opinelake.session import shared_dir
 
@@ -104,6 +104,10 @@ def op11_glr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired_digests(damaged, conversation_repair.repair(damaged, rows.select("conv_id")))
 
 
+def op12_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_mphf_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_common_lines(table(spark, sf_dir, "documents"), min_docs=10, least=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -120,6 +124,21 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {_DIGEST32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first
       FROM (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages))""",
+    "op12_toivonen_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, unnest(list_concat(list_transform(w, lambda x: [x]), list_transform(range(1, len(w)), lambda i: w[i : i + 1]),
+                                      list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2]))) AS g FROM w),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
+c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= 10),
+s AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, p, max(a) AS o FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS p FROM b WHERE len(g) = 3) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM (SELECT b.*, array_to_string(g, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.p = b.g WHERE o.o IS NULL OR 100 * o.o < 50 * a) JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op13_mphf_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
