@@ -7,8 +7,7 @@ they are added to the proposals, and another pass counts exactly what the larger
 brings no failure. Then every frequent phrase is counted, whatever the sample missed.
 
 Proposals travel as bitmaps of phrase hashes, whose size is bounded; a false positive only lets a phrase be counted that need not be.
-A pass counts inside Arrow batches, in pieces of bounded length, and shuffles partial sums under 128-bit hashes. The phrases
-themselves are read in a last pass, for the frequent ones alone.
+A pass counts inside Arrow batches, in pieces of bounded length, and shuffles partial sums by phrase.
 """
 
 from __future__ import annotations
@@ -29,31 +28,32 @@ from opinelake.llm.common import releasing, stored
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST, KEPT, TOP = 10, 50, 2000
 SAMPLE_SHARE, SAMPLE_LEAST = 4, 2
-PIECE, TAIL = 2 << 20, 1 << 16
+PIECE, TAIL = 1 << 20, 1 << 16
 BITS = (1 << 20, 1 << 27)
+ROWS = 1 << 16  # of an Arrow batch
 _TABLE = bytes(10 if c in BREAKS else 32 if c in BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ODD = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9, 0xD6E8FEB86659FD93], [0xA0761D6478BD642F, 0xE7037ED1A0B428DB]], np.uint64)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
 
-def joined(*words: np.ndarray) -> np.ndarray:
-    """Hashes (n, 2) of phrases from those of their words; a single word keeps its own."""
-    if len(words) == 1:
-        return words[0]
-    return _mixed(reduce(np.add, (w * _ODD[i] for i, w in enumerate(words))) + np.uint64(len(words)))
+def xxhash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The 64-bit xxHash of 8-byte numbers, as the SQL function ``xxhash64`` has it."""
+    h = seed + _P5 + np.uint64(8) ^ _turned(x * _P2, 31) * _P1
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
 
 
-def _buffers(texts: list[str]) -> Iterator[tuple[bytes, int]]:
+def _buffers(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
     """Normalised bytes, pieces ended by line breaks, and how many of the first words an earlier buffer has counted."""
     held: list[bytes] = []
     size = 0
     for text in texts:
-        raw = text.encode("utf-8", "surrogatepass").translate(_TABLE)
+        raw = text.translate(_TABLE)
         if len(raw) > PIECE:
             yield from _long(raw)
             continue
@@ -85,21 +85,21 @@ def _long(raw: bytes) -> Iterator[tuple[bytes, int]]:
 
 
 class Phrases:
-    """The words of a buffer as codes, and its phrases of one to three words as different codes with their counts."""
+    """The words of a buffer as codes, and its phrases of one to three words as rows of codes with their counts."""
 
     def __init__(self, buffer: bytes, counted: int, lang: str):
-        words = pc.split_pattern(pa.array([buffer.replace(b"\n", b" \n ")], pa.large_binary()), b" ").flatten()
-        words = words.filter(pc.not_equal(words, pa.scalar(b"", pa.large_binary()))).dictionary_encode()
-        self.words: list[bytes] = words.dictionary.to_pylist()
+        words = pc.split_pattern(pa.array([buffer.replace(b"\n", b" \n ")], pa.binary()), b" ").flatten()
+        words = words.filter(pc.not_equal(words, pa.scalar(b"", pa.binary()))).dictionary_encode()
+        self.words = words.dictionary
         codes = words.indices.to_numpy().astype(np.int64)
-        stop = self.words.index(b"\n") if b"\n" in self.words else -1
-        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        digests = b"".join([xxhash.xxh3_128_digest(w, seed=seed) for w in self.words])
-        self.hashes = np.frombuffer(digests, "<u8").reshape(-1, 2).astype(np.uint64)
+        plain = self.words.to_pylist()
+        stop = plain.index(b"\n") if b"\n" in plain else -1
+        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in plain], np.uint64)
         inside = codes != stop
         new = np.ones(len(codes), bool)
         new[:counted] = False  # the words before are of one piece: no breaks among them
-        base = len(self.words)  # of a buffer of up to 2 * PIECE bytes: its cube stays below 2 ** 63
+        base = max(len(plain), 1)  # of a buffer of up to 2 * PIECE bytes: its cube stays below 2 ** 63
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.counts: list[np.ndarray] = []
         code, good = codes, inside
@@ -116,8 +116,24 @@ class Phrases:
             self.parts.append(tuple(digits[::-1]))
             self.counts.append(count.astype(np.int64))
 
-    def hash_of(self, words: tuple[np.ndarray, ...]) -> np.ndarray:
-        return joined(*[self.hashes[w] for w in words])
+    def pair_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return xxhash_long(self.hashes[b], xxhash_long(self.hashes[a], np.uint64(42)))
+
+    def rows(self, lang: str, k: int, take: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """lang, k, phrase and f of the phrases of k words."""
+        parts, counts = self.parts[k - 1], self.counts[k - 1]
+        if take is not None:
+            parts, counts = tuple(w[take] for w in parts), counts[take]
+        for at in range(0, len(counts), ROWS):
+            own = [self.words.take(pa.array(w[at : at + ROWS])) for w in parts]
+            phrase = pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.binary())) if k > 1 else own[0]
+            f = counts[at : at + ROWS]
+            yield _rows(lang, k, phrase, f)
+
+
+def _rows(lang: str, k: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    n = len(f)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), phrase.view(pa.string()), pa.array(f)], ["lang", "k", "phrase", "f"])
 
 
 class Bitmap:
@@ -130,7 +146,7 @@ class Bitmap:
         return not (other.data & ~self.data).any()
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes[:, 0] & self.last
+        at = hashes & self.last
         return self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
 
 
@@ -139,49 +155,34 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
 
 
-def _in_phrases(texts: DataFrame, rows: Callable[[Phrases, str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _in_phrases(texts: DataFrame, rows: Callable[[Phrases, str], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``rows`` of the phrases of each buffer; a buffer holds texts of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                own = batch.column("text").filter(pc.equal(langs.indices, i))
+                own = batch.column("text").filter(pc.equal(langs.indices, i)).view(pa.binary())
                 for at in range(0, len(own), 256):
                     for buffer, counted in _buffers(own.slice(at, 256).to_pylist()):
                         yield from rows(Phrases(buffer, counted, lang), lang)
 
-    return texts.mapInArrow(releasing(run), schema)
-
-
-_COUNT = "first long, second long, k int, f long"
-
-
-def _count_rows(hashes: np.ndarray, k: int, counts: np.ndarray) -> pa.RecordBatch:
-    halves = np.ascontiguousarray(hashes).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.full(len(counts), k, np.int32)), pa.array(counts)], ["first", "second", "k", "f"]
-    )
-
-
-def _lang_hash(lang: str) -> np.ndarray:
-    return np.frombuffer(xxhash.xxh3_128_digest(lang.encode("utf-8", "surrogatepass"), seed=7), "<u8").reshape(1, 2).astype(np.uint64)
+    return texts.mapInArrow(releasing(run), "lang string, k int, phrase string, f long")
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
-    """(first, second, k, f) of what is found at least so often; k = 0 holds the number of words of a language."""
-    return rows.groupBy("first", "second", "k").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+    """(lang, k, phrase, f) of what is found at least so often; k = 0 holds the number of words of a language."""
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
 
 
 def sampled(texts: DataFrame, least: int) -> DataFrame:
     """Words and pairs that occur at least so often in the sample: a quarter of the documents, by a hash of the text."""
 
     def rows(p: Phrases, lang: str) -> Iterator[pa.RecordBatch]:
-        for k in (1, 2):
-            yield _count_rows(p.hash_of(p.parts[k - 1]), k, p.counts[k - 1])
+        yield from p.rows(lang, 1)
+        yield from p.rows(lang, 2)
 
-    picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0)
-    return _summed(_in_phrases(picked, rows, _COUNT), least)
+    return _summed(_in_phrases(texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0), rows), least)
 
 
 def _admitted(p: Phrases, words, pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +190,8 @@ def _admitted(p: Phrases, words, pairs) -> tuple[np.ndarray, np.ndarray]:
     word = words.value.has(p.hashes)
     a, b = p.parts[1]
     x, y, z = p.parts[2]
-    both = pairs.value.has(p.hash_of((x, y)))
-    both[both] = pairs.value.has(p.hash_of((y[both], z[both])))
+    both = pairs.value.has(p.pair_hashes(x, y))
+    both[both] = pairs.value.has(p.pair_hashes(y[both], z[both]))
     return word[a] & word[b], both
 
 
@@ -198,23 +199,26 @@ def counted(texts: DataFrame, now: tuple, before: tuple | None) -> DataFrame:
     """Exact counts of what the proposals ``now`` admit and those of ``before`` did not; all words in the first pass."""
 
     def rows(p: Phrases, lang: str) -> Iterator[pa.RecordBatch]:
-        if before is None:
-            yield _count_rows(_lang_hash(lang), 0, p.counts[0].sum(keepdims=True))
-            yield _count_rows(p.hash_of(p.parts[0]), 1, p.counts[0])
         admitted = _admitted(p, *now)
-        if before is not None:
+        if before is None:
+            yield _rows(lang, 0, pa.array([b""], pa.binary()), p.counts[0].sum(keepdims=True))
+            yield from p.rows(lang, 1)
+        else:
             admitted = tuple(new & ~old for new, old in zip(admitted, _admitted(p, *before), strict=True))
-        for k, take in zip((2, 3), admitted, strict=True):
-            yield _count_rows(p.hash_of(tuple(w[take] for w in p.parts[k - 1])), k, p.counts[k - 1][take])
+        yield from p.rows(lang, 2, admitted[0])
+        yield from p.rows(lang, 3, admitted[1])
 
-    return _in_phrases(texts, rows, _COUNT)
+    return _in_phrases(texts, rows)
 
 
-def bitmap(hashes: DataFrame, bits: int) -> Bitmap:
-    """The bitmap of the column ``first``: built in tasks, at most ``bits`` of it reach the driver."""
-    place = F.col("first").bitwiseAND(bits - 1)
+def bitmap(found: DataFrame, k: int, bits: int) -> Bitmap:
+    """The bitmap of the phrases of k words: built in tasks, at most ``bits`` of it reach the driver."""
+    words = F.split("phrase", " ", -1)
+    hashes = [F.xxhash64("lang", F.get(words, F.lit(i))) for i in range(k)]
+    hashed = F.xxhash64(*hashes) if k > 1 else hashes[0]
+    place = hashed.bitwiseAND(bits - 1)
     size = min(bits, 1 << 15)  # of the rows that are collected
-    parts = hashes.select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("at")).groupBy("bucket")
+    parts = found.filter(F.col("k") == k).select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("at")).groupBy("bucket")
     data = np.zeros(bits // 8, np.uint8)
     for r in parts.agg(F.bitmap_construct_agg("at").alias("map")).toLocalIterator():
         low = (r["bucket"] - 1) * (size // 8)
@@ -223,63 +227,24 @@ def bitmap(hashes: DataFrame, bits: int) -> Bitmap:
 
 
 def frequent_phrases(texts: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEAST) -> tuple[DataFrame, int]:
-    """Counts (first, second, k, f) of all words and phrases of up to three words with f >= least, and the number of passes."""
+    """Counts (lang, k, phrase, f) of all words and phrases of up to three words with f >= least, and the number of passes."""
     spark = texts.sparkSession
     proposed = stored(sampled(texts, sample_least), "proposed")
     bits = BITS[0]
     while bits < min(BITS[1], 16 * proposed.count()):
         bits *= 2
-    sets = [bitmap(proposed.filter(F.col("k") == k), bits) for k in (1, 2)]
+    sets = [bitmap(proposed, k, bits) for k in (1, 2)]
     found: list[DataFrame] = []
     before = None
     while True:
         now = tuple(spark.sparkContext.broadcast(b) for b in sets)
         found.append(stored(_summed(counted(texts, now, before), least), "counted"))
-        fresh = [bitmap(found[-1].filter(F.col("k") == k), bits) for k in (1, 2)]
+        fresh = [bitmap(found[-1], k, bits) for k in (1, 2)]
         if all(f in s for f, s in zip(fresh, sets, strict=True)):  # no border phrase was frequent
             return reduce(DataFrame.unionByName, found), len(found)
         before, sets = now, [Bitmap(f.data | s.data) for f, s in zip(fresh, sets, strict=True)]
 
 
-_NAMED = "first long, second long, k int, lang string, phrase string, " + ", ".join(f"{c}{i} long" for c in "lr" for i in "1234")
-
-
-def named(texts: DataFrame, wanted: Bitmap) -> DataFrame:
-    """Language, phrase and the hashes of both parts of each cut, for the phrases in a set; k = 0 names the language.
-
-    Columns l1, l2 hold the first part's hash of the first cut, r1, r2 the rest's; l3, l4, r3, r4 those of the second.
-    """
-    box = texts.sparkSession.sparkContext.broadcast(wanted)
-
-    def rows(p: Phrases, lang: str) -> Iterator[pa.RecordBatch]:
-        def batch(hashes: np.ndarray, k: int, phrases: list[bytes], sides: list[np.ndarray]) -> pa.RecordBatch:
-            n = len(phrases)
-            whole = [np.ascontiguousarray(h).view(np.int64) for h in (hashes, *sides)]
-            columns = [pa.array(whole[0][:, j]) for j in (0, 1)] + [pa.array([k] * n, pa.int32()), pa.array([lang] * n, pa.string())]
-            columns.append(pa.array([x.decode("utf-8", "replace") for x in phrases], pa.string()))
-            cuts = [pa.array(h[:, j]) for h in whole[1:] for j in (0, 1)]  # first part and rest, cut after cut
-            cuts += [pa.nulls(n, pa.int64())] * (8 - len(cuts))
-            l1, l2, r1, r2, l3, l4, r3, r4 = cuts
-            return pa.RecordBatch.from_arrays([*columns, l1, l2, l3, l4, r1, r2, r3, r4], _NAMES)
-
-        yield batch(_lang_hash(lang), 0, [b""], [])
-        for k in (2, 3):
-            hashes = p.hash_of(p.parts[k - 1])
-            take = box.value.has(hashes)
-            if take.any():
-                words = [w[take] for w in p.parts[k - 1]]
-                sides = [p.hash_of(tuple(words[a:b])) for c in range(1, k) for a, b in ((0, c), (c, k))]
-                text = [b" ".join([p.words[i] for i in row]) for row in zip(*(w.tolist() for w in words), strict=True)]
-                yield batch(hashes[take], k, text, sides)
-
-    found = _in_phrases(texts, rows, _NAMED)
-    others = [c for c in found.columns if c not in ("first", "second", "k")]
-    return found.groupBy("first", "second", "k").agg(F.min(F.struct(*others)).alias("x")).select("first", "second", "k", "x.*")
-
-
-_NAMES = [c.split()[0] for c in _NAMED.split(", ")]
-
-
 def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, top: int = TOP, sample_least: int = SAMPLE_LEAST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` phrases of two or three words of each language.
 
@@ -291,29 +256,23 @@ def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, top: int
     """
     texts = _texts(docs)
     counts, _ = frequent_phrases(texts, least, sample_least)
-    frequent = counts.filter("k >= 2")
-    bits = BITS[0]
-    while bits < min(BITS[1], 16 * frequent.count()):
-        bits *= 2
-    names = named(texts, bitmap(frequent, bits))
-    known = stored(names.join(counts, ["first", "second", "k"]), "phrases")
-    f = counts.filter("k > 0").select("first", "second", "f")
-    side = lambda c: f.select(F.col("first").alias(f"{c}1"), F.col("second").alias(f"{c}2"), F.col("f").alias(c))
-    cuts = known.filter("k >= 2").select("first", "second", "k", "lang", "phrase", F.col("f").alias("a"), F.inline(F.array(
-        F.struct(F.lit(1).alias("cut"), "l1", "l2", "r1", "r2"), F.struct(F.lit(2).alias("cut"), *[F.col(x).alias(y) for x, y in (("l3", "l1"), ("l4", "l2"), ("r3", "r1"), ("r4", "r2"))]),
-    ))).filter("l1 IS NOT NULL")
-    # The cube of a count may pass 64 bits, not 38 digits; ``div`` cuts off the rest.
-    scored = cuts.join(side("l"), ["l1", "l2"]).join(side("r"), ["r1", "r2"]).withColumn(
+    phrases = counts.filter("k >= 2").withColumn("w", F.split("phrase", " ", -1)).withColumnRenamed("f", "a")
+    part = lambda lo, hi: F.array_join(F.slice("w", lo, hi), " ")
+    side = lambda c, name: counts.filter("k > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(c))
+    cuts = phrases.select("lang", "phrase", "k", "a", F.inline(F.array(
+        F.struct(F.lit(1).alias("cut"), part(1, 1).alias("left"), part(2, 2).alias("right")),
+        F.struct(F.lit(2).alias("cut"), part(1, 2).alias("left"), part(3, 1).alias("right")),
+    ))).filter("cut < k")
+    # The square of a count may pass 64 bits, not 38 digits; ``div`` cuts off the rest.
+    scored = cuts.join(side("l", "left"), ["lang", "left"]).join(side("r", "right"), ["lang", "right"]).withColumn(
         "score", F.expr("(CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
     )
-    best = scored.groupBy("first", "second", "k", "lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
-    # What a pair loses to the most frequent triple around it: its parts of two words are the rest of cut 1 and the first of cut 2.
-    longer = known.filter("k = 3").select(F.col("f").alias("f3"), F.inline(F.array(
-        F.struct(F.col("r1").alias("first"), F.col("r2").alias("second")), F.struct(F.col("l3").alias("first"), F.col("l4").alias("second")),
-    )))
-    around = longer.groupBy("first", "second").agg(F.max("f3").alias("around"))
-    n = known.filter("k = 0").select("lang", F.col("f").alias("n"))
-    alone = best.join(around, ["first", "second"], "left").filter(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * kept))
+    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
+    # What a pair loses to the most frequent triple around it.
+    longer = phrases.filter("k = 3").select("lang", F.explode(F.array(part(1, 2), part(2, 2))).alias("phrase"), F.col("a").alias("longer"))
+    around = longer.groupBy("lang", "phrase").agg(F.max("longer").alias("around"))
+    n = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
+    alone = best.join(around, ["lang", "phrase"], "left").filter(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * kept))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = alone.select("lang", "phrase", "a", "s.l", "s.r", "s.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -74,11 +74,11 @@ def test_long_texts_count_the_same_in_parts(monkeypatch):
         monkeypatch.setattr(ph, "PIECE", piece)
         monkeypatch.setattr(ph, "TAIL", tail)
         got = Counter()
-        for buffer, counted in ph._buffers([text]):
+        for buffer, counted in ph._buffers([text.encode()]):
             p = ph.Phrases(buffer, counted, "en")
             for k in range(3):
                 for row, n in zip(zip(*(w.tolist() for w in p.parts[k])), p.counts[k].tolist()):
-                    got[tuple(p.words[i].decode() for i in row)] += n
+                    got[tuple(p.words[i].as_py().decode() for i in row)] += n
         assert got == whole
 
 
@@ -89,5 +89,14 @@ def test_exact_beyond_64_bits(spark):
     assert df.selectExpr(expr).first()[0] == 1000000 * a * a // (l * r)
 
 
+def test_hashes_are_those_of_sql(spark):
+    p = ph.Phrases("ab é ab x".encode(), 0, "en")
+    words = [w.decode() for w in p.words.to_pylist()]
+    rows = [(a, b, int(h)) for (a, b), h in zip([(0, 1), (1, 2)], p.pair_hashes(np.array([0, 1]), np.array([1, 2])).view(np.int64))]
+    df = spark.createDataFrame([(words[a], words[b], h, int(p.hashes[a].view(np.int64))) for a, b, h in rows], "a string, b string, h long, g long")
+    for r in df.selectExpr("xxhash64(xxhash64('en', a), xxhash64('en', b)) = h AS pair", "xxhash64('en', a) = g AS word").collect():
+        assert r["pair"] and r["word"]
+
+
 def test_empty_table(spark):
     assert ph.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
