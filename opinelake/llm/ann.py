@@ -14,6 +14,7 @@ that order by angle is order by inner product.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -90,23 +91,38 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     """query_id, rank (from 1), vec_id, score of the k nearest rows found for each query, by inner product, ties to smaller ids.
 
     rows and queries: vec_id, embedding; more columns are ignored. Rows that are null, all zero or hold null or non-finite
-    components take no part, nor do those whose length differs from the pivots'. Rows with a null vec_id take no part;
-    repeated rows are one. A query's own vec_id is no candidate of it. No rows or no queries give no result.
+    components take no part, nor do rows with a null vec_id. Vectors of different lengths have no inner product: a query meets the
+    vectors of its own length, each length having an index of its own. Repeated rows are one; of different vectors of one vec_id
+    that with the least components, in order, stands for it. A query's own vec_id is no candidate of it. No rows or no queries give
+    no result.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = rows.sparkSession
     data, asked = usable(rows), usable(queries)
-    picked = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # a bounded sample
-    if not picked:
-        return spark.createDataFrame([], schema)
-    width = max(len(r["embedding"]) for r in picked)
-    data, asked = (x.filter(F.size("embedding") == width) for x in (data, asked))
-    sums = data.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("far")).first()
+    # The lengths of the queries' vectors: a few, the widths of the models that made them.
+    widths = sorted(r["n"] for r in asked.select(F.size("embedding").alias("n")).distinct().collect())
+    parts = [_nearest(*(x.filter(F.size("embedding") == n) for x in (data, asked)), k, pivots, block) for n in widths]
+    found = [p for p in parts if p is not None]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _one_each(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per vec_id: the least of its vectors."""
+    if not frame["vec_id"].duplicated().any():
+        return frame
+    order = sorted(range(len(frame)), key=lambda i: (frame["vec_id"].iat[i], tuple(frame["embedding"].iat[i])))
+    return frame.iloc[order].drop_duplicates("vec_id")
+
+
+def _nearest(data: DataFrame, asked: DataFrame, k: int, pivots: int, block: int) -> DataFrame | None:
+    """The result for vectors of one length; None where there is nothing to search."""
+    picked = data.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(pivots).collect()  # a bounded sample
     n_queries = asked.count()
-    if not n_queries:
-        return spark.createDataFrame([], schema)
+    if not picked or not n_queries:
+        return None
+    sums = data.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("far")).first()
     longest = float(np.sqrt(sums["far"]))
-    points = _lifted(np.array([r["embedding"] for r in picked if len(r["embedding"]) == width]), longest)
+    points = _lifted(np.array([r["embedding"] for r in picked]), longest)
     blocks, query_blocks = -(-sums["n"] // block), -(-n_queries // QUERY_BLOCK)
     spread = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -116,7 +132,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        one = [f.drop_duplicates("vec_id") for f in (left, right)]
+        one = [_one_each(f) for f in (left, right)]
         x, q = (np.stack(f["embedding"].to_numpy()) for f in one)
         return pd.concat(search_block(one[0]["vec_id"].to_numpy(), x, one[1]["vec_id"].to_numpy(), q, points, longest, k))
 

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 MASKS = ("11101011", "11010111", "110110011")
 STRETCH, SHARE = 20, 0.8
 LEAST_WORDS = len(MASKS[0])
+SHORT_WORDS = 4
 BITMAP = 1 << 16  # places of the pair bitmap per 8,192 benchmark pairs
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 50_000  # places: three seeds each with up to 49 words of 8 bytes, about 64 MB in all
 
 
 def words_of(text: Column) -> Column:
@@ -38,12 +39,13 @@ def _pair(words: Column, at: Column) -> Column:
     return F.get(words, at).bitwiseXOR(F.shiftrightunsigned(F.get(words, at + 1), 7))
 
 
+def _seed(words: Column, at: Column, mask: str, number: int) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get(words, at + k) for k, bit in enumerate(mask) if bit == "1"])
+
+
 def _seeds(words: Column, at: Column, masks: tuple[str, ...] = MASKS) -> Column:
     """One hash per mask of the window that starts at a place; null where the window does not fit."""
-    return F.array(*[
-        F.when(at + len(m) <= F.size(words), F.xxhash64(F.lit(i), *[F.get(words, at + k) for k, bit in enumerate(m) if bit == "1"]))
-        for i, m in enumerate(masks)
-    ])
+    return F.array(*[F.when(at + len(m) <= F.size(words), _seed(words, at, m, i)) for i, m in enumerate(masks)])
 
 
 def _around(words: Column, at: Column) -> tuple[Column, Column]:
@@ -71,52 +73,88 @@ def _verbatim(words: Column, item: Column, here: Column, place: Column) -> Colum
     return F.forall(F.sequence(F.lit(0), F.lit(LEAST_WORDS - 1)), lambda k: F.get(words, here + k) == F.get(item, place + k))
 
 
+def _pair_map(places: DataFrame, bits: int) -> bytes:
+    """A byte for each place of the pair bitmap; tasks build it, ``bits`` / 8 bytes at most reach the driver."""
+    place = F.pmod(_pair(F.col("item"), F.col("item_at")), F.lit(bits)) + 1
+    parts = places.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("bucket")
+    out = bytearray(bits)
+    for r in parts.agg(F.bitmap_construct_agg("at").alias("map")).collect():
+        low = (r["bucket"] - 1) << 15
+        for i, byte in enumerate(r["map"]):
+            if byte:
+                out[low + 8 * i : low + 8 * i + 8] = bytes(byte >> k & 1 for k in range(8))
+    return bytes(out)
+
+
+def _whole_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that are all of an item of fewer than ``SHORT_WORDS`` words."""
+    few = lambda c: F.size(c).between(1, SHORT_WORDS - 1)
+    whole = docs.filter(few("words")).join(items.filter(few("item")), F.col("words") == F.col("item"))
+    return whole.select("doc_id", "item_id", F.lit(1.0).alias("matched_share"), F.lit(0).alias("doc_word")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched_share, doc_word) for each document and benchmark item that share a stretch of words.
 
     docs: doc_id, text; benchmark: item_id, text; more columns are ignored. ``matched_share`` is the best stretch's share of equal
-    words, 1 for a short stretch that agrees in full, and ``doc_word`` the place of its hit. Items and documents of fewer than eight words have no seed and never match;
-    null and empty texts have no words. Rows without an id take part, under a null id; repeated rows are one result. An empty
-    table on either side gives an empty result.
+    words, 1 for a short stretch that agrees in full, and ``doc_word`` the place of its hit. Items of four to seven words match
+    where they stand in full, those of one to three words match a document of just these words; documents of fewer than eight
+    words match such items alone. Null and empty texts have no words and match nothing. Rows without an id take part, under a null
+    id; repeated rows are one result. An empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashed(F.col("text").cast("string")).alias("item"))
-    items = items.filter(F.size("item") >= LEAST_WORDS)
-    places = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - LEAST_WORDS)).alias("item_at"))
+    items = items.filter(F.size("item") > 0)
+    sizes = [r["n"] for r in items.filter(F.size("item") < LEAST_WORDS).select(F.size("item").alias("n")).distinct().collect()]  # seven at most
+    short = sorted(n for n in sizes if n >= SHORT_WORDS)
+    least = min([*short, LEAST_WORDS])
+    places = items.filter(F.size("item") >= least).select(
+        "item_id", "item", F.explode(F.sequence(F.lit(0), F.greatest(F.size("item") - LEAST_WORDS, F.lit(0)))).alias("item_at")
+    )
     n = places.count()
     bits = BITMAP
     while bits < 8 * n and bits < BITMAP << 6:
         bits <<= 1
-    # At most `bits` places, and `bits` is at most 4 million.
-    marked = places.select(F.pmod(_pair(F.col("item"), F.col("item_at")), F.lit(bits)).cast("int").alias("b")).distinct()
-    bitmap = bytearray(bits)
-    for r in marked.collect():
-        bitmap[r["b"]] = 1
+    bitmap = _pair_map(places, bits)
+    # An item too short for the masks has one seed, of all its words.
+    masks = (*MASKS, *["1" * m for m in short])
+    own = lambda at: F.array(*[
+        F.when(F.size("item") == len(m), _seed(F.col("item"), at, m, len(MASKS) + i)) for i, m in enumerate(masks[len(MASKS) :])
+    ])
+    item_seeds = F.concat(_seeds(F.col("item"), F.col("item_at")), own(F.col("item_at"))) if short else _seeds(F.col("item"), F.col("item_at"))
     part, place = _around(F.col("item"), F.col("item_at"))
     seeds = places.select(
-        "item_id", part.alias("part"), place.alias("place"), F.size("item").alias("n_item"), F.posexplode(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "seed")
+        "item_id", part.alias("part"), place.alias("place"), F.size("item").alias("n_item"), F.posexplode(item_seeds).alias("mask", "seed")
     ).filter("seed IS NOT NULL")
-    words = hashed(F.col("text").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).filter(F.size("words") >= LEAST_WORDS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(F.col("text").cast("string")).alias("words"))
     pair = lambda at: F.pmod(_pair(F.col("words"), at), F.lit(bits)).cast("int") + 1
     hot = F.filter(
-        F.sequence(F.lit(0), F.size("words") - LEAST_WORDS), lambda at: F.substring(F.lit(bytes(bitmap)), pair(at), F.lit(1)) == F.lit(b"\x01")
+        F.sequence(F.lit(0), F.size("words") - least), lambda at: F.substring(F.lit(bitmap), pair(at), F.lit(1)) == F.lit(b"\x01")
     )
-    found = rows.select("doc_id", "words", F.size("words").alias("n_words"), F.explode(hot).alias("at"))
-    found = found.withColumn("seed", F.explode(_seeds(F.col("words"), F.col("at")))).withColumn("here", F.col("at")).filter("seed IS NOT NULL")
-    if n > BROADCAST_SEEDS:  # what is shuffled holds the words around a place only
-        near, here = _around(F.col("words"), F.col("at"))
-        found = found.select("doc_id", "n_words", "at", "seed", near.alias("words"), here.alias("here"))
+
+    def near(at: Column) -> Column:  # what goes on holds the words around a place only
+        words, here = _around(F.col("words"), at)
+        return F.struct(at.alias("at"), words.alias("near"), here.alias("here"), _seeds(F.col("words"), at, masks).alias("seeds"))
+
+    found = rows.filter(F.size("words") >= least).select("doc_id", F.size("words").alias("n_words"), F.inline(F.transform(hot, near)))
+    found = found.select("doc_id", "n_words", "at", F.col("near").alias("words"), "here", F.explode("seeds").alias("seed")).filter("seed IS NOT NULL")
     # Small benchmarks are broadcast (at most BROADCAST_SEEDS places); larger ones are joined by shuffling on the seed.
     hits = found.join(F.broadcast(seeds) if n <= BROADCAST_SEEDS else seeds, "seed")
-    spans = F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1)
+    spans = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
     share_ = _agree(
         F.col("words"), F.col("n_words"), F.col("part"), F.col("n_item"), F.col("here") - F.col("place"), F.col("place"), spans
     )
     whole = _verbatim(F.col("words"), F.col("part"), F.col("here"), F.col("place"))
-    scored = hits.select("doc_id", "item_id", "at", F.when(whole, F.lit(1.0)).otherwise(share_).alias("matched_share"))
-    return scored.filter(F.col("matched_share") >= share).groupBy("doc_id", "item_id").agg(
+    full = F.forall(F.sequence(F.lit(0), F.col("n_item") - 1), lambda k: F.get(F.col("words"), F.col("here") + k) == F.get(F.col("part"), k))
+    agreed = F.when(whole, F.lit(1.0)).otherwise(share_)
+    if short:
+        agreed = F.when(F.col("n_item") < LEAST_WORDS, F.when(F.coalesce(full, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(agreed)
+    scored = hits.select("doc_id", "item_id", "at", agreed.alias("matched_share"))
+    stretches = scored.filter(F.col("matched_share") >= share).groupBy("doc_id", "item_id").agg(
         F.max("matched_share").alias("matched_share"), F.max_by(F.col("at"), F.struct("matched_share", -F.col("at"))).alias("doc_word")
     )
+    if min([*sizes, SHORT_WORDS]) < SHORT_WORDS:
+        return stretches.unionByName(_whole_documents(rows, items))
+    return stretches
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
