@@ -60,9 +60,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no stretch with a benchmark item, with or without a doc_id."""
-    rows = docs.withColumn("_named", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), _digest_key()))
-    clean = decontaminate.without_leaks(rows, table(spark, sf_dir, "benchmark"))
+    """Documents that share no stretch with a benchmark item; each row is judged by its own text, whatever its doc_id."""
+    clean = decontaminate.without_leaks(_row_keys(docs), table(spark, sf_dir, "benchmark"))
     return clean.withColumn("doc_id", F.col("_named")).select(*docs.columns)
 
 
