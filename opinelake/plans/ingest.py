@@ -17,8 +17,8 @@ from opinelake.operators.ranking import hash_rank
 from opinelake.operators.scoring import analyse_texts
 from opinelake.sources import readers as rd
 
-# Names stored with each prediction.
-MODEL_NAME = "distilbert-sentiment"
+# Stored with each prediction: the scorer that made it.
+MODEL_NAME = "opinion-lexicon"
 MODEL_VERSION = "latest"
 
 

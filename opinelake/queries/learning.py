@@ -12,6 +12,7 @@ from opinelake.operators import evaluation as ev
 from opinelake.operators import learning as ln
 from opinelake.operators import ranking as rk
 from opinelake.operators import scoring as sc
+from opinelake.operators import subwords as sw
 from opinelake.operators import topics as tp
 from opinelake.plans import dataset
 from opinelake.queries.base import TXT, clean, n_if, pct, query, r, sql_list
@@ -74,24 +75,61 @@ def _(spark, sf):
 
 # --- L3: encoding ------------------------------------------------------------------------------------
 
-_VOCAB = 500
+# A tokenizer's vocabulary, given by its path: tokenizers are not trained here.
+PIECES = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def _ids_sql(room: int, start: int, end: int) -> str:
+    """Text of the ids and number of used places, from a relation ``ids`` (review_id, ids of the words)."""
+    own = f"coalesce(ids, [])[1:{room}]"
+    return f"""SELECT review_id, array_to_string(list_concat([{start}], {own}, [{end}], list_transform(range({room} - len({own})), lambda x: 0)), ',') AS input_ids,
+  CAST(len({own}) + 2 AS INTEGER) AS used FROM text_reviews LEFT JOIN ids USING (review_id)"""
+
+
+def _written_ids(encoded: DataFrame) -> DataFrame:
+    used = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return encoded.select("review_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"), used.alias("used"))
+
+
+def _pieces_sql() -> str:
+    """The pieces of each different word: all that fit at each place, the longest of them, and a walk along these."""
+    room = sw.MAX_LENGTH - 2
+    return TXT + f""", toks AS (SELECT review_id, list_filter(string_split(cleaned_text, ' '), lambda t: t <> '')[1:{room}] AS w FROM text_reviews),
+pos AS (SELECT review_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM toks),
+words AS (SELECT DISTINCT word FROM pos),
+model AS (SELECT content FROM read_text('{PIECES}')),
+entries AS (SELECT unnest(map_entries(CAST(json_extract(content, '$.model.vocab') AS MAP(VARCHAR, INTEGER)))) AS e FROM model),
+added AS (SELECT unnest(CAST(json_extract(content, '$.added_tokens[*].content') AS VARCHAR[])) AS special FROM model),
+vocab AS (SELECT e.key AS piece, e.value AS id FROM entries WHERE e.key NOT IN (SELECT replace(special, '"', '') FROM added)),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words),
+parts AS (SELECT word, p, unnest(range(1, length(word) - p + 2)) AS n FROM places),
+fits AS (SELECT word, p, n, id FROM (SELECT *, substr(word, p, n) || CASE WHEN p + n > length(word) THEN '</w>' ELSE '' END AS piece FROM parts) JOIN vocab USING (piece)),
+best AS (SELECT word, p, max(n) AS n, arg_max(id, n) AS id FROM fits GROUP BY 1, 2),
+walk AS (WITH RECURSIVE walk(word, p, ids) AS (
+  SELECT word, CAST(1 AS BIGINT), CAST([] AS INTEGER[]) FROM words
+  UNION ALL SELECT walk.word, walk.p + best.n, list_append(walk.ids, best.id) FROM walk JOIN best ON best.word = walk.word AND best.p = walk.p)
+  SELECT word, ids FROM walk WHERE p = length(word) + 1),
+ids AS (SELECT review_id, flatten(list(ids ORDER BY i)) AS ids FROM pos JOIN walk USING (word) GROUP BY 1)
+""" + _ids_sql(room, 49406, 49407)
+
+
+@query("token_encoding_l3", _pieces_sql())
+def _(spark, sf):
+    t = star.text_reviews(spark, sf).select("review_id", "cleaned_text")
+    return _written_ids(sw.encode_subwords(t, "cleaned_text", sw.Pieces.load(PIECES)))
 
 
 @query(
-    "token_encoding_l3",
+    "word_encoding_l3",
     TXT + f""", toks AS (SELECT review_id, list_filter(string_split(cleaned_text, ' '), lambda t: t <> '') AS w FROM text_reviews),
-vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + 3 AS id FROM (SELECT unnest(w) AS word FROM toks) GROUP BY 1 ORDER BY id LIMIT {_VOCAB - ln.RESERVED}),
-pos AS (SELECT review_id, unnest(w[1:62]) AS word, generate_subscripts(w[1:62], 1) AS i FROM toks),
+vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + 3 AS id FROM (SELECT unnest(w) AS word FROM toks) GROUP BY 1 ORDER BY id LIMIT {ln.VOCABULARY_SIZE - ln.RESERVED}),
+pos AS (SELECT review_id, unnest(w[1:{ln.MAX_LENGTH - 2}]) AS word, generate_subscripts(w[1:{ln.MAX_LENGTH - 2}], 1) AS i FROM toks),
 ids AS (SELECT review_id, list(coalesce(id, 1) ORDER BY i) AS ids FROM pos LEFT JOIN vocab USING (word) GROUP BY 1)
-SELECT review_id, array_to_string(list_concat([2], coalesce(ids, []), [3], list_transform(range(62 - coalesce(len(ids), 0)), lambda x: 0)), ',') AS input_ids,
-  CAST(coalesce(len(ids), 0) + 2 AS INTEGER) AS used FROM text_reviews LEFT JOIN ids USING (review_id)""",
+""" + _ids_sql(ln.MAX_LENGTH - 2, ln.START, ln.END),
 )
 def _(spark, sf):
-    t = star.text_reviews(spark, sf).select("review_id", "cleaned_text")
-    out = ln.encode(t, "cleaned_text", ln.vocabulary(t, "cleaned_text", _VOCAB), max_length=64)
-    used = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    ids = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")
-    return out.select("review_id", ids.alias("input_ids"), used.alias("used"))
+    t = rd.materialise(star.text_reviews(spark, sf).select("review_id", "cleaned_text"), shared_dir(spark, "cleaned"))  # read twice, cleaned once
+    return _written_ids(ln.encode(t, "cleaned_text", ln.vocabulary(t, "cleaned_text")))
 
 
 # --- L2, L12, H3, H7, U2: models ---------------------------------------------------------------------

@@ -18,18 +18,14 @@ from opinelake.sources import star
 AS_OF = star.AS_OF
 SINCE30 = "ingested_at >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY"
 
-# Whole tables with rows that find no partner: unsure results get an id, older reviews a product, that does not exist.
-UNSURE = "(SELECT * REPLACE (CASE WHEN confidence_score > 0.2 THEN review_id ELSE -1 - review_id END AS review_id) FROM sentiment_results)"
-MOVED = f"(SELECT * REPLACE (CASE WHEN {SINCE30} THEN product_id ELSE 'old-' || product_id END AS product_id) FROM reviews)"
+# Whole tables; for the cases without partner, the reviews of one product are added once more under ids that no result has.
+EXTRA = "(SELECT * FROM reviews UNION ALL SELECT * REPLACE (-review_id AS review_id) FROM reviews WHERE product_id = '7')"
 
 
-def _unsure(sentiment):
-    return sentiment.withColumn("review_id", F.when(F.col("confidence_score") > 0.2, F.col("review_id")).otherwise(-1 - F.col("review_id")))
+def _extra(reviews):
+    return reviews.unionByName(pr.for_product(reviews, "7").withColumn("review_id", -F.col("review_id")))
 
 
-def _moved(reviews):
-    old = F.concat(F.lit("old-"), F.col("product_id"))
-    return reviews.withColumn("product_id", F.when(F.col("ingested_at") >= vl.since(AS_OF, 30, 0), F.col("product_id")).otherwise(old))
 LABELS = ("positive", "negative", "neutral")
 IDS = ["7", "3", "99999999", "12", "1"]
 
@@ -83,11 +79,11 @@ def _(spark, sf):
     "review_records_b14",
     REL + f"""SELECT review_id, review_text, {iso('review_date')} AS review_date, result_id IS NOT NULL AS has_sentiment,
   predicted_sentiment AS label, confidence_score AS confidence
-FROM reviews LEFT JOIN {UNSURE} USING (review_id)""",
+FROM {EXTRA} LEFT JOIN sentiment_results USING (review_id)""",
 )
 def _(spark, sf):
     rv, se = _rs(spark, sf)
-    out = pr.review_records(rv, _unsure(se))
+    out = pr.review_records(_extra(rv), se)
     return out.select(
         "review_id", "review_text", "review_date", F.col("sentiment").isNotNull().alias("has_sentiment"),
         F.col("sentiment.predicted_sentiment").alias("label"), F.col("sentiment.confidence_score").alias("confidence"),
@@ -98,10 +94,10 @@ def _(spark, sf):
     "product_records_b15",
     REL + f"""SELECT product_id, asin, CASE WHEN price <> 0 THEN CAST(price AS DOUBLE) END AS price, is_competitor,
   CAST(coalesce(n, 0) AS BIGINT) AS total_reviews
-FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM {MOVED} GROUP BY 1) USING (product_id)""",
+FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM reviews GROUP BY 1) USING (product_id)""",
 )
 def _(spark, sf):
-    out = pr.product_records(star.products(spark, sf), _moved(star.reviews(spark, sf)))
+    out = pr.product_records(star.products(spark, sf), star.reviews(spark, sf))
     return out.select("product_id", "asin", "price", "is_competitor", "total_reviews")
 
 
@@ -168,12 +164,12 @@ def _(spark, sf):
 @query(
     "all_products_records_c3",
     REL + f"""SELECT product_id, review_id, result_id, category FROM products
-LEFT JOIN {MOVED} USING (product_id)
-LEFT JOIN {UNSURE} USING (review_id)""",
+LEFT JOIN {EXTRA} USING (product_id)
+LEFT JOIN sentiment_results USING (review_id)""",
 )
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
-    out = jn.all_products_records(p, _moved(rv), _unsure(se))
+    out = jn.all_products_records(p, _extra(rv), se)
     return out.select("product_id", "review_id", "result_id", "category")
 
 
@@ -258,20 +254,24 @@ def _(spark, sf):
 @query(
     "overall_stats_e3",
     REL + f"""SELECT count(*) AS total_reviews, {labels()}, {r('coalesce(avg(nullif(raw_rating, 0)), 0)', 2)} AS avg_rating
-FROM reviews LEFT JOIN {UNSURE} USING (review_id)""",
+FROM {EXTRA} LEFT JOIN sentiment_results USING (review_id)""",
 )
 def _(spark, sf):
     rv, se = _rs(spark, sf)
-    return an.overall_stats(rv, _unsure(se))
+    return an.overall_stats(_extra(rv), se)
 
 
-@query(
-    "rating_distribution_e4",
-    REL + """SELECT CAST(i AS INTEGER) AS rating, count(review_id) AS count FROM range(1, 6) t(i)
-LEFT JOIN (SELECT review_id, nullif(raw_rating, 3) AS raw_rating FROM reviews) ON raw_rating = i GROUP BY 1""",
-)
+_RATINGS = "SELECT CAST(i AS INTEGER) AS rating, count(review_id) AS count FROM range(1, 6) t(i) LEFT JOIN {src} ON raw_rating = i GROUP BY 1"
+
+
+@query("rating_distribution_e4", REL + _RATINGS.format(src="reviews"))
+def _(spark, sf):
+    return an.rating_distribution(star.reviews(spark, sf))
+
+
+@query("product_rating_distribution_e4", REL + _RATINGS.format(src="(SELECT * FROM reviews WHERE product_id = '7')"))
 def _(spark, sf):
-    return an.rating_distribution(star.reviews(spark, sf).withColumn("raw_rating", F.expr("nullif(raw_rating, 3)")))
+    return an.rating_distribution(pr.for_product(star.reviews(spark, sf), "7"))
 
 
 @query(
@@ -292,12 +292,12 @@ def _(spark, sf):
 @query(
     "daily_category_trend_e6",
     REL + f"""SELECT strftime(review_date, '%Y-%m-%d') AS review_day, category, count(*) AS total_reviews,
-  {r('avg(raw_rating)', 4)} AS avg_rating, {labels(suffix='_count')} FROM full_records WHERE review_id % 5 <> 0 GROUP BY 1, 2""",
+  {r('avg(raw_rating)', 4)} AS avg_rating, {labels(suffix='_count')} FROM full_records GROUP BY 1, 2""",
 )
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
-    dated = rv.withColumn("review_date", F.when(F.col("review_id") % 5 != 0, F.col("review_date")))
-    return an.daily_category_trend(p, dated, se)
+    undated = pr.for_product(rv, "7").withColumn("review_date", F.lit(None).cast("timestamp"))  # rows that are left out
+    return an.daily_category_trend(p, rv.unionByName(undated), se)
 
 
 @query(

@@ -884,7 +884,7 @@ def _load_out(load: ingest.Load) -> DataFrame:
 def _load_sql(rows: str, products: str) -> str:
     """``rows``: relation with key columns, t and the stored columns. Rows that fail a check are not stored."""
     return f""" SELECT review_id, review_id AS result_id, product_id, source, raw_rating, review_text, 0 AS helpful_votes, label, positive_score,
-  confidence_score, 'distilbert-sentiment' AS model_name, '2001-08-01T00:00:00' AS analyzed_at, ({products}) AS n_products
+  confidence_score, '{ingest.MODEL_NAME}' AS model_name, '2001-08-01T00:00:00' AS analyzed_at, ({products}) AS n_products
 FROM (SELECT *, {_lex_sql('review_text')} FROM (SELECT *, {_lex_counts('review_text')} FROM ({rows})))
 WHERE coalesce(raw_rating BETWEEN 1 AND 5, TRUE) AND coalesce(length(review_text) > 0, TRUE)"""
 
