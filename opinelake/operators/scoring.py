@@ -157,6 +157,11 @@ def score_pipeline(df: DataFrame, text: str, model: Transformer, probability: st
     return _expand(scored.select(*df.columns, "probabilities"), two_class_sentiment("probabilities", text))
 
 
+def score_probabilities(df: DataFrame, text: str, probabilities: str = "probabilities") -> DataFrame:
+    """Scores from a column of two-class probabilities, which is dropped."""
+    return _expand(df, two_class_sentiment(probabilities, text)).drop(probabilities)
+
+
 # --- phrase-based aspects (flat shape) --------------------------------------------------
 
 Phrases = Mapping[str, tuple[Sequence[str], Sequence[str]]]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinelake import schema as sm
 from opinelake.functions import text as tx
 from opinelake.functions import values as vl
 from opinelake.operators import evaluation as ev
@@ -14,11 +17,12 @@ from opinelake.operators import ranking as rk
 from opinelake.operators import scoring as sc
 from opinelake.operators import subwords as sw
 from opinelake.operators import topics as tp
+from opinelake.operators import training as tr
 from opinelake.plans import dataset
 from opinelake.queries.base import TXT, clean, n_if, pct, query, r, sql_list
 from opinelake.queries.text import LEXICON, PHRASES, STOP
 from opinelake.schema import CLASS_NAMES
-from opinelake.session import shared_dir
+from opinelake.session import checkpoint_root, shared_dir
 from opinelake.sources import readers as rd
 from opinelake.sources import star
 
@@ -140,7 +144,8 @@ def _training(spark, sf) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
-_CONFIG = ln.TrainConfig(features=1 << 14, max_iter=15)
+_CONFIG = ln.TrainConfig()
+_SCHEDULE = tr.Schedule()
 
 
 @query("train_classifier_l2")
@@ -150,11 +155,45 @@ def _(spark, sf):
     return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+def _trained(spark, sf) -> tr.Trained:
+    """Epochs over the labelled documents of the training split, stopped by those of the validation split."""
+    rows = rk.stratified_split(_training(spark, sf).withColumn("name", F.col("label").cast("string")), "doc_id", "name", classes=["0", "1"])
+    return tr.train_validated(rows, "doc_id", "cleaned_text", "label", schedule=_SCHEDULE)
+
+
+@query("training_history_l2")
+def _(spark, sf):
+    return _trained(spark, sf).history
+
+
+def _stored_model(spark, sf) -> tuple[tr.TextModel, str, str]:
+    """The model stored for these tables, its version and root; the first call trains and stores it."""
+    root, version = checkpoint_root(spark), "v1-" + hashlib.sha256(sf.encode()).hexdigest()[:12]
+    model = tr.load_model(spark, root, "quality", version)
+    if model is None:
+        tr.save_model(spark, _trained(spark, sf).model, root, "quality", version, _SCHEDULE)
+        model = tr.load_model(spark, root, "quality", version)
+    return model, version, root
+
+
 @query("model_inference_h3")
 def _(spark, sf):
-    model = ln.train_classifier(_training(spark, sf), _CONFIG)
     docs = star.documents(spark, sf).select("doc_id", tx.clean_text("text").alias("cleaned_text"))
-    return sc.score_pipeline(docs, "cleaned_text", model).select("doc_id", *sc.SCORE_FIELDS)
+    scored = tr.score_texts(docs, "cleaned_text", _stored_model(spark, sf)[0])
+    return sc.score_probabilities(scored, "cleaned_text").select("doc_id", *sc.SCORE_FIELDS)
+
+
+@query("stored_model_registry_l12")
+def _(spark, sf):
+    model, version, root = _stored_model(spark, sf)
+    rows = rk.stratified_split(_training(spark, sf).withColumn("name", F.col("label").cast("string")), "doc_id", "name", classes=["0", "1"])
+    scored = tr.score_texts(rows.filter("split = 'test'"), "cleaned_text", model)
+    guess = F.when(F.col("probabilities")[1] > F.col("probabilities")[0], 1).otherwise(0)
+    metrics = ev.overall_metrics(scored.select(F.col("label").alias("true_id"), guess.alias("pred_id")))
+    none = spark.createDataFrame([], sm.MODEL_VERSIONS)
+    return ln.register_model(
+        none, "quality", version, metrics, _SCHEDULE, vl.as_of_literal(star.AS_OF), notes=tr.model_path(root, "quality", version)
+    ).select("model_name", "accuracy", "f1_score", F.size("parameters").alias("n_parameters"), (F.length("notes") > 0).alias("stored"))
 
 
 def load_length_predictor():
