@@ -4,7 +4,8 @@ The base patterns (assignments to a sensitive name, access keys, hexadecimal run
 method adds what they miss: a string of 16 or more key characters near a sensitive word is compressed with zstandard, primed with
 the text around it and a dictionary of common identifiers. Its marginal cost is the compressed size of context and candidate
 less that of the context alone. Names, paths and repeated words cost little; a random key costs about its entropy. Strings whose
-marginal cost per character reaches ``NOVELTY`` and that mix letters with digits are reported.
+marginal cost per character reaches ``NOVELTY`` (two thirds of it for hexadecimal digits) and that mix letters with digits are
+reported, also where a base pattern has found them.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(
     r"(?ai:password|passwd|passphrase|secret|token|credential|auth|bearer|private[_ -]?key|api[_ -]?key|access[_ -]?key|client[_-]?id|session[_-]?id)"
 )
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 KEY_CHARS = re.compile(r"[A-Za-z0-9+/_=-]*")
 REACH, NOVELTY = 80, 0.6
+HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key client_secret client_id session_id authorization bearer private_key "
     "public_key username user_name database connection_string hostname localhost import return function class public static void "
@@ -52,7 +54,7 @@ class Novelty:
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=words, write_content_size=False, write_checksum=False).compress
 
     def per_char(self, before: str, candidate: str, after: str) -> float:
-        context = f"{before}{after}\n".encode("utf-8", "replace")
+        context = f"{before}{after}\n".replace(candidate, "").encode("utf-8", "replace")  # a key is as new where it stands twice
         whole = len(self.compress(context + candidate.encode()))
         return (whole - len(self.compress(context))) / len(candidate)
 
@@ -69,8 +71,13 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = NOVELTY) -> list[Span]:
-    """Incompressible strings near a sensitive word that touch no known span.
+def threshold(value: str, least: float = NOVELTY) -> float:
+    """The marginal bytes a character from which a string is a key: of the 6 bits that a character of a key holds, hex digits hold 4."""
+    return least * 4 / 6 if HEX_ONLY.fullmatch(value) else least
+
+
+def novel_spans(text: str, novelty: Novelty, least: float = NOVELTY) -> list[Span]:
+    """Incompressible strings near a sensitive word, whether or not a base pattern finds them too.
 
     Only the ``REACH`` characters around a word are read, and the rest of a run of key characters that reaches into them.
     """
@@ -93,17 +100,14 @@ def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = N
             value = m.group()
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
-            if any(s < end and start < e for s, _, e in known):
-                continue
-            if novelty.per_char(text[max(0, start - 256) : start], value, text[end : end + 256]) >= least:
+            if novelty.per_char(text[max(0, start - 256) : start], value, text[end : end + 256]) >= threshold(value, least):
                 found.append((start, 3, end))
     return found
 
 
 def scan_text(text: str | None, novelty: Novelty) -> list[Span]:
     text = text or ""
-    base = base_spans(text)
-    return sorted(base + novel_spans(text, base, novelty))
+    return sorted(base_spans(text) + novel_spans(text, novelty))
 
 
 def _written(spans: list[Span]) -> str:
