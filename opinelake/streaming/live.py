@@ -19,6 +19,7 @@ from opinelake.operators.projections import top_rows
 from opinelake.operators.scoring import analyse_texts
 from opinelake.operators.windows import first_n, spikes
 from opinelake.schema import SENTIMENT_LABELS
+from opinelake.streaming.keyed import BUCKETS, KeyedLog, hadoop, of_keys
 
 REFRESH = "30 seconds"
 KEPT_BATCHES = 10
@@ -26,7 +27,7 @@ KEPT_BATCHES = 10
 
 def read_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """File stream over a parquet folder (or one file), with the schema of the files that are there."""
-    target, fs = _hadoop(spark, path)
+    target, fs = hadoop(spark, path)
     if fs.getFileStatus(target).isFile():
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a glob
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -74,12 +75,6 @@ def drop_repeats(arrivals: DataFrame, key: str, ts: str, delay: str = "1 day") -
 
 # --- sinks -------------------------------------------------------------------------------------
 
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    """A path and its file system."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _batch_path(out: str, batch_id: int) -> str:
     return f"{out}/batch={batch_id:09d}"
 
@@ -88,7 +83,7 @@ def _store_batch(rows: DataFrame, out: str, batch_id: int) -> None:
     """The answer as of a batch. That of ``KEPT_BATCHES`` batches before is removed; later ones may still have readers."""
     rows.write.mode("overwrite").parquet(_batch_path(out, batch_id))
     if batch_id >= KEPT_BATCHES:
-        old, fs = _hadoop(rows.sparkSession, _batch_path(out, batch_id - KEPT_BATCHES))
+        old, fs = hadoop(rows.sparkSession, _batch_path(out, batch_id - KEPT_BATCHES))
         fs.delete(old, True)
 
 
@@ -124,19 +119,20 @@ def run_totals(totals: DataFrame, out: str, checkpoint: str, **when) -> Streamin
 
 def newest_batch(spark: SparkSession, out: str) -> DataFrame:
     """Rows of the highest batch folder that is written to its end; no other folder is read."""
-    root, fs = _hadoop(spark, out)
+    root, fs = hadoop(spark, out)
     folders = [status.getPath().toString() for status in fs.listStatus(root)]
-    return spark.read.parquet(max(path for path in folders if fs.exists(_hadoop(spark, f"{path}/_SUCCESS")[0])))
+    return spark.read.parquet(max(path for path in folders if fs.exists(hadoop(spark, f"{path}/_SUCCESS")[0])))
 
 
 def run_spikes(
     scored: DataFrame, key: str, ts: str, tie: str, negative: Column, out: str, checkpoint: str, window: int = 10,
-    threshold: float = 0.3, expire_days: int | None = 30, **when
+    threshold: float = 0.3, expire_days: int | None = 30, buckets: int = BUCKETS, **when
 ) -> StreamingQuery:
     """Stores the arrivals at which the last ``window`` rows of their key are negative often enough, in ``out``/spikes.
 
-    A batch is one windowed plan over its rows and the last ``window - 1`` rows per key that the batch before stored, cut
-    into time slices like the batch operator, so a key that owns most of a trigger is many tasks. Keys without a row in the
+    A batch is one windowed plan over its rows and the last ``window - 1`` rows of its keys, cut into time slices like the
+    batch operator, so a key that owns most of a trigger is many tasks. These rows stand in a ``KeyedLog`` (``out``/state):
+    a batch reads the buckets of its keys and writes its keys and one bucket. Keys without a row in the
     last ``expire_days`` days of event time are forgotten, whole; all others keep their rows however old these are. Event
     time ends at the clock, so a row from the future makes no key look quiet. With None no key is forgotten and the answer
     is that of the batch operator. Feed the stream in time order: a late row is placed among the rows that are kept.
@@ -144,24 +140,38 @@ def run_spikes(
     slim = scored.select(
         F.col(key).cast("string").alias(key), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("id"), negative.cast("int").alias("neg")
     )
+    log = KeyedLog(f"{out}/state", key, slim.schema, buckets)
+
+    def alive(rows: DataFrame, now: Column) -> DataFrame:
+        """Rows of the keys that were not quiet for ``expire_days``; at most ``window - 1`` rows per key come in."""
+        rows = rows.withColumn("_last", F.max("ts").over(Window.partitionBy(key)))
+        kept = F.col("_last").isNull() | now.isNull() | (F.col("_last") >= now - F.make_dt_interval(F.lit(expire_days)))
+        return rows.filter(kept).drop("_last")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("new", F.lit(True))
-        if batch_id:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(_batch_path(f"{out}/state", batch_id - 1)).withColumn("new", F.lit(False)))
-        # Read three times below, hence written once.
+        # Read several times below, hence written once.
+        _store_batch(batch, f"{out}/arrivals", batch_id)
+        batch = spark.read.schema(batch.schema).parquet(_batch_path(f"{out}/arrivals", batch_id))
+        stored = log.read(spark, batch_id, {*log.touched(batch), log.turn(batch_id)})
+        now = None
+        if expire_days is not None:
+            newest = batch.agg(F.max("ts").alias("newest"))
+            if batch_id:
+                before = spark.read.parquet(_batch_path(f"{out}/clock", batch_id - 1))
+                stored = alive(stored, before.select("now").scalar())
+                newest = newest.unionByName(before.select("newest")).agg(F.max("newest").alias("newest"))
+            _store_batch(newest.withColumn("now", F.least("newest", F.current_timestamp())).coalesce(1), f"{out}/clock", batch_id)
+            now = spark.read.parquet(_batch_path(f"{out}/clock", batch_id)).select("now").scalar()
+        rows = batch.withColumn("new", F.lit(True)).unionByName(of_keys(stored, batch, key, "left_semi").withColumn("new", F.lit(False)))
         _store_batch(rows, f"{out}/rows", batch_id)
         rows = spark.read.schema(rows.schema).parquet(_batch_path(f"{out}/rows", batch_id))
         found = spikes(rows.withColumn("tie", F.struct("id", "new")), key, "ts", "tie", F.col("neg") == 1, window, threshold)
         found = found.filter("tie.new").select(key, F.col("tie.id").alias(tie), "negative_ratio")
         found.write.mode("overwrite").parquet(_batch_path(f"{out}/spikes", batch_id))
-        newest = first_n(rows, key, [F.desc("ts"), F.desc("id")], window - 1)
-        if expire_days is not None:
-            now = F.least(rows.agg(F.max("ts")).scalar(), F.current_timestamp())
-            newest = newest.withColumn("last", F.max("ts").over(Window.partitionBy(key)))
-            newest = newest.filter(F.col("last").isNull() | (F.col("last") >= now - F.make_dt_interval(F.lit(expire_days))))
-        _store_batch(newest.select(*batch.columns), f"{out}/state", batch_id)
+        quiet = of_keys(stored.filter(log.bucket() == log.turn(batch_id)), batch, key, "left_anti")
+        state = first_n(rows, key, [F.desc("ts"), F.desc("id")], window - 1).select(*batch.columns).unionByName(quiet)
+        log.write(state if now is None else alive(state, now), batch_id)
 
     return run_batches(slim, write, checkpoint, **when)
 
@@ -177,13 +187,25 @@ def run_latest(df: DataFrame, order: list[Column], out: str, checkpoint: str, n:
     return run_batches(df, write, checkpoint, **when)
 
 
-def run_once_per_key(df: DataFrame, key: str, order: list, out: str, checkpoint: str, **when) -> StreamingQuery:
-    """Stores at most one row per key: rows whose key an earlier batch stored are left out."""
+def run_once_per_key(
+    df: DataFrame, key: str, order: list, out: str, checkpoint: str, buckets: int = BUCKETS, **when
+) -> StreamingQuery:
+    """Stores at most one row per key: rows whose key an earlier batch stored are left out.
+
+    The stored keys stand in a ``KeyedLog`` beside ``out`` (``out``-keys), apart from the rows: a batch opens only the
+    buckets that its keys fall into, each in at most ``buckets`` folders. Rows without a key are never repeats.
+    """
+    log = KeyedLog(f"{out.rstrip('/')}-keys", key, df.select(key).schema, buckets)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = keep_first(batch, key, order)
-        if batch_id:
-            stored = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id).select(key)
-            rows = rows.join(stored, key, "left_anti")
-        rows.write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        spark = batch.sparkSession
+        _store_batch(keep_first(batch, key, order), f"{out.rstrip('/')}-arrivals", batch_id)
+        rows = spark.read.schema(batch.schema).parquet(_batch_path(f"{out.rstrip('/')}-arrivals", batch_id))
+        stored = log.read(spark, batch_id, {*log.touched(rows), log.turn(batch_id)})
+        rows = rows.join(stored, key, "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        new = spark.read.schema(batch.schema).parquet(_batch_path(out, batch_id)).select(key)
+        whole = stored.filter(log.bucket() == log.turn(batch_id))
+        log.write(new.unionByName(whole).filter(F.col(key).isNotNull()), batch_id)
 
     return run_batches(df, write, checkpoint, **when)
