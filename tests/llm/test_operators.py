@@ -358,6 +358,7 @@ def test_packing_odd_input(spark, odd):
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == len(ODD) and {r.doc_tokens for r in rows if r.doc_id in (1, 2)} == {1}
     assert packing.pack(no_rows(spark), tokenizer_path()).count() == 0
+    assert packing.pack(odd, tokenizer_path(), cache=3).collect() == rows  # words forgotten and learned again
 
 
 # --- nearest neighbours --------------------------------------------------------------------------
