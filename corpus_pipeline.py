@@ -76,7 +76,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
-    return packing.pack(docs, tokenizer_path(), 1024)
+    return packing.pack(docs, tokenizer_path(), 1024, cache=150_000)  # workers live on, so their words count in every stage
 
 
 STAGES: list[tuple[str, Stage]] = [
