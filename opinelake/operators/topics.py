@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +158,24 @@ def fit_topics(texts: DataFrame, text: str, k: int = 10, features: int = 1 << 12
     ).fit(texts)
 
 
+def fit_text_vectors(texts: DataFrame, text: str, features: int = 1 << 8) -> PipelineModel:
+    """Hashed TF-IDF vectors on the unit sphere, short enough to be compared as dense arrays."""
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+", minTokenLength=2),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+            IDF(inputCol="_tf", outputCol="_idf"),
+            Normalizer(inputCol="_idf", outputCol="_vector"),
+        ]
+    ).fit(texts)
+
+
+def text_vectors(df: DataFrame, model: PipelineModel, out: str = "vector") -> DataFrame:
+    """Adds the array of ``fit_text_vectors``; null for texts without a known word, which have no direction."""
+    array = vector_to_array("_vector")
+    return model.transform(df).select(*df.columns, F.when(F.exists(array, lambda v: v != 0), array).alias(out))
+
+
 def fit_vector_topics(vectors: DataFrame, vector: str, k: int = 10, seed: int = 42) -> PipelineModel:
     """Topic model over given embeddings (``pyspark.ml`` vectors)."""
     return Pipeline(stages=[KMeans(featuresCol=vector, predictionCol="_cluster", k=k, seed=seed)]).fit(vectors)

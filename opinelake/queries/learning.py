@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opinelake import schema as sm
 from opinelake.functions import text as tx
 from opinelake.functions import values as vl
+from opinelake.operators import density as dn
 from opinelake.operators import evaluation as ev
 from opinelake.operators import learning as ln
 from opinelake.operators import ranking as rk
@@ -410,6 +411,24 @@ def _(spark, sf):
     return fitted.join(unfitted, "vec_id")
 
 
+@query("density_topics_l13")
+def _(spark, sf):
+    t = rd.materialise(star.text_reviews(spark, sf).select("review_id", "cleaned_text"), shared_dir(spark, "cleaned"))
+    vectors = rd.materialise(tp.text_vectors(t, tp.fit_text_vectors(t, "cleaned_text")), shared_dir(spark, "vectors"))
+    model = dn.fit_density(vectors, "review_id", "vector")
+    assigned = rd.materialise(dn.fitted_topics(vectors, "vector", model).drop("vector"), shared_dir(spark, "assigned"))
+    out = tp.topic_report(assigned, "cleaned_text", "review_id", STOP)
+    return out.select("topic_id", "count", "percentage", "outlier_count", "name", F.size("keywords").alias("n_keywords"), F.size("representative_docs").alias("n_docs"))
+
+
+@query("density_assignment_l14")
+def _(spark, sf):
+    vectors = star.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    model = dn.fit_density(vectors, "vec_id", "embedding")
+    both = dn.assign_density(dn.fitted_topics(vectors, "embedding", model).withColumnRenamed("topic_id", "fitted"), "vec_id", "embedding", model)
+    return both.select("vec_id", "fitted", F.col("topic_id").alias("assigned"))
+
+
 def _ngram_sql() -> str:
     words = f"list_filter(regexp_extract_all(cleaned_text, '\\b(\\w\\w+)\\b', 1), lambda w: w NOT IN ({sql_list(STOP)}))"
     return TXT + f""", w AS (SELECT review_id, lang, {words} AS w FROM text_reviews),
