@@ -19,6 +19,7 @@ from opinelake.operators import scoring as sc
 from opinelake.operators import subwords as sw
 from opinelake.operators import topics as tp
 from opinelake.operators import training as tr
+from opinelake.operators import zero_shot as zs
 from opinelake.plans import dataset
 from opinelake.queries.base import TXT, clean, n_if, pct, query, r, sql_list
 from opinelake.queries.text import LEXICON, PHRASES, STOP
@@ -260,6 +261,15 @@ def _(spark, sf):
     return out.select("doc_id", F.array_join(pairs, ",").alias("aspects"), "num_aspects_detected", "total_aspects")
 
 
+@query("trained_zero_shot_h7")
+def _(spark, sf):
+    docs = star.documents(spark, sf).select("doc_id", "text")
+    scored = zs.aspect_scores(docs, "doc_id", "text", zs.fit_word_vectors(docs, "doc_id", "text"))
+    out = sc.zero_shot_aspects(scored, "text", "scores")
+    pairs = F.transform(F.map_entries("aspects"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("doc_id", F.array_join(pairs, ",").alias("aspects"), "num_aspects_detected", "total_aspects")
+
+
 @query(
     "model_registry_l12",
     f"""SELECT 'm' AS model_name, 'v2' AS version, CAST((SELECT max(p_partkey) FROM part) + 1 AS INTEGER) AS version_id,
