@@ -82,6 +82,62 @@ def keyword_matches(texts: DataFrame, text: str, keywords: DataFrame, keyword: s
     return one_row_each(texts.withColumn("_words", words), found, keyword, *texts.columns)
 
 
+def _windows(low: DataFrame, reach: int) -> DataFrame:
+    """(_key, _window): consecutive pieces of the text, each followed by the first ``reach`` characters of the next one.
+
+    Pieces are cut by a pattern, in one walk through the text: a substring at a position counts from the start of the text. A piece is
+    at least as long as ``reach``, so every string of up to ``reach + 1`` characters lies whole in one window.
+    """
+    pieces = F.regexp_extract_all("_low", F.lit(f"(?s).{{1,{max(64, reach)}}}"), 0)
+    ends = F.concat(F.slice("_pieces", 2, F.greatest(F.size("_pieces"), F.lit(1))), F.array(F.lit("")))
+    joined = F.zip_with("_pieces", "_ends", lambda a, b: F.concat(a, F.substring(b, 1, reach) if reach else F.lit("")))
+    cut = low.select("_key", pieces.alias("_pieces")).withColumn("_ends", ends)
+    return one_row_each(cut, joined, "_window", "_key")
+
+
+def keyword_index_matches(texts: DataFrame, key: str, text: str, keywords: DataFrame, keyword: str = "keyword", gram: int = 4) -> DataFrame:
+    """The (key, keyword) pairs of ``keyword_matches`` for keyword lists of any length.
+
+    Each keyword is posted under the one of its substrings of ``gram`` characters that is rarest in the texts (shorter keywords under
+    themselves). Texts look up their substrings and compare only the keywords posted there, inside a window of the text, so the work
+    hardly grows with the list and linearly with the text. No keyword is collected (only the greatest length and the substring
+    lengths in use); the postings are broadcast only where Spark finds them small.
+
+    ``key`` is unique. Null texts and null keywords match nothing, repeated keywords count once, the empty keyword is in every text.
+    Keywords are compared with the lower-cased text as they are.
+    """
+    words = keywords.select(F.col(keyword).alias("_kw")).filter(F.col("_kw").isNotNull()).distinct()
+    size = F.least(F.length("_kw"), F.lit(gram))
+    bounds = words.agg(F.max(F.length("_kw")).alias("longest"), F.sort_array(F.collect_set(size)).alias("sizes")).first()
+    sizes = [n for n in bounds["sizes"] if n]
+    low = texts.select(F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low")).filter(F.col("_low").isNotNull())
+    everywhere = low.filter(F.lit(0 in bounds["sizes"])).select("_key", F.lit("").alias("_kw"))
+    if not sizes:
+        return everywhere.select(F.col("_key").alias(key), F.col("_kw").alias(keyword))
+    spots = F.transform(
+        F.sequence(F.lit(1), F.length("_kw") - size + 1), lambda p: F.struct(F.substring(F.col("_kw"), p, size).alias("gram"), p.alias("off"))
+    )
+    posts = words.filter(F.length("_kw") > 0).select("_kw", F.inline(spots))
+
+    def grams(n: int) -> Column:
+        count = F.length("_window") - n + 1
+        here = F.transform(F.sequence(F.lit(1), count), lambda p: F.struct(F.substring(F.col("_window"), p, F.lit(n)).alias("gram"), p.alias("at")))
+        return F.when(count > 0, here).otherwise(F.array().cast("array<struct<gram: string, at: int>>"))
+
+    windows = _windows(low, bounds["longest"] - 1)
+    found = windows.select("_key", "_window", F.inline(F.concat(*[grams(n) for n in sizes])))
+    used = found.select("gram").join(posts.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    # A substring that no text holds has no row: its keywords cannot occur.
+    rarest = (
+        posts.join(used, "gram", "left").groupBy("_kw")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "gram")).alias("_best"))
+        .filter(F.col("_best.n") > 0).select("_kw", "_best.gram", "_best.off")
+    )
+    start = F.col("at") - F.col("off") + 1
+    hits = found.join(rarest, "gram").filter((start > 0) & (F.substring("_window", start, F.length("_kw")) == F.col("_kw")))
+    return hits.select("_key", "_kw").distinct().unionByName(everywhere).select(F.col("_key").alias(key), F.col("_kw").alias(keyword))
+
+
 def get_or_create_products(
     incoming: DataFrame, products: DataFrame, name: Column, category: str = "general", order: str | None = None
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from opinelake.operators import projections as pr
 from opinelake.operators import windows as wn
 from opinelake.plans.dashboard import overview
 from opinelake.queries.base import REL, iso, isum, labels, n_if, pct, query, r, sql_list
+from opinelake.sources import bucketed as bk
 from opinelake.sources import star
 
 AS_OF = star.AS_OF
@@ -156,6 +157,12 @@ def _(spark, sf):
     return jn.reviews_with_sentiment(*_rs(spark, sf)).select("review_id", "product_id", "predicted_sentiment", "confidence_score")
 
 
+@query("bucketed_records_c1", REL + "SELECT review_id, product_id, predicted_sentiment, confidence_score FROM joined")
+def _(spark, sf):
+    stored = bk.store_reviews(*_rs(spark, sf), buckets=16)
+    return jn.reviews_with_sentiment(*stored).select("review_id", "product_id", "predicted_sentiment", "confidence_score")
+
+
 @query("full_records_c2", REL + "SELECT review_id, product_id, category, raw_rating, predicted_sentiment FROM full_records")
 def _(spark, sf):
     return jn.full_records(*_prs(spark, sf)).select("review_id", "product_id", "category", "raw_rating", "predicted_sentiment")

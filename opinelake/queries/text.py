@@ -272,6 +272,17 @@ def _(spark, sf):
     return jn.keyword_matches(t, "cleaned_text", top.withColumnRenamed("word", "keyword")).select("review_id", "keyword")
 
 
+@query(
+    "keyword_index_c5",
+    TXT + f""", words AS (SELECT w FROM (SELECT unnest({toks('cleaned_text', 3)}) AS w FROM text_reviews) GROUP BY 1 HAVING count(*) >= 10)
+SELECT w AS keyword, count(*) AS n_reviews FROM text_reviews JOIN words ON contains(lower(cleaned_text), w) GROUP BY 1""",
+)
+def _(spark, sf):
+    t = star.text_reviews(spark, sf)
+    words = rd.materialise(wd.word_counts(t, "cleaned_text", 3).filter(F.col("frequency") >= 10).select("word"), shared_dir(spark, "words"))
+    return jn.keyword_index_matches(t, "review_id", "cleaned_text", words, "word").groupBy(F.col("word").alias("keyword")).agg(F.count("*").alias("n_reviews"))
+
+
 # --- D: duplicates ----------------------------------------------------------------------------------
 
 @query("text_dedupe_d1", 'SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1')
