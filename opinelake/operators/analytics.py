@@ -106,7 +106,16 @@ def _avg(c: str, digits: int) -> Column:
 
 def product_summary(products: DataFrame, reviews: DataFrame, sentiment: DataFrame) -> DataFrame:
     """14-column summary per product; products without reviews are kept."""
-    stats = _per_product(reviews, sentiment, "left")
+    return summary_of_sums(products, product_sums(reviews, sentiment))
+
+
+def product_sums(reviews: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """The sums per product behind ``product_summary``; sums of several loads may be added up."""
+    return _per_product(reviews, sentiment, "left")
+
+
+def summary_of_sums(products: DataFrame, stats: DataFrame) -> DataFrame:
+    """``product_summary`` of given sums."""
 
     def count(c: str, out: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0)).cast("long").alias(out)
@@ -131,16 +140,25 @@ def product_summary(products: DataFrame, reviews: DataFrame, sentiment: DataFram
 
 def daily_category_trend(products: DataFrame, reviews: DataFrame, sentiment: DataFrame) -> DataFrame:
     """Per day and category; reviews without a date are left out. Aggregated per (day, product) before the join."""
+    return trend_of_sums(products, daily_sums(reviews, sentiment))
+
+
+def daily_sums(reviews: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """The sums per day and product behind ``daily_category_trend``; sums of several loads may be added up."""
     df = reviews_with_sentiment(
         reviews.select("review_id", "product_id", "raw_rating", "review_date").filter(F.col("review_date").isNotNull()),
         sentiment.select("review_id", "predicted_sentiment"),
     )
-    partial = df.groupBy(F.date_trunc("day", "review_date").alias("day"), "product_id").agg(
+    return df.groupBy(F.date_trunc("day", "review_date").alias("day"), "product_id").agg(
         F.count("*").alias("n"),
         F.sum("raw_rating").alias("s_rating"),
         F.count("raw_rating").alias("n_rating"),
         *_label_counts(),
     )
+
+
+def trend_of_sums(products: DataFrame, partial: DataFrame) -> DataFrame:
+    """``daily_category_trend`` of given sums."""
     n_rating, s_rating = F.sum("n_rating"), F.sum("s_rating")
     return (
         partial.join(products.select("product_id", "category"), "product_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinelake.functions import values as vl
@@ -13,6 +13,45 @@ from opinelake.operators.projections import for_product, look_back, top_rows
 BROADCAST_ROWS = 10_000
 
 
+#: Stands for a missing time, behind all microseconds of the years up to 9999.
+NEVER = 1 << 60
+
+
+def skip_to(df: DataFrame, keys: Sequence[Column], offset: int, near: int, bins: int = 4096) -> tuple[DataFrame, int]:
+    """Drops leading rows by the order of integer ``keys`` and returns the rest with the offset that is left, at most ``near``.
+
+    Counts per bin of the first key tell which bin holds the offset; this bin is cut into bins again until at most ``near`` rows lie
+    before the wanted one, or the bin is one value, where the next key goes on. Each step is one aggregate of at most ``bins`` rows.
+    More than ``near`` rows may be left where they agree in all keys. Keys are not null and span less than 2 ** 63.
+    """
+    dropped, same = F.lit(False), F.lit(True)  # rows before the place; rows that agree with it in the keys so far
+    for key in keys:
+        value = key.cast("long")
+        bounds = df.filter(same).agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+        low, high = bounds["low"], bounds["high"]
+        if low is None:
+            break
+        while offset > near and low < high:
+            width = (high - low) // bins + 1
+            inside = df.filter(same & value.between(low, high))
+            left = F.pmod(value - low, F.lit(width))  # without the rest the quotient is whole
+            counts = inside.groupBy(F.round((value - low - left) / F.lit(width)).cast("long").alias("bin"))
+            place = high + 1
+            for row in counts.agg(F.count("*").alias("n")).orderBy("bin").collect():
+                if offset < row["n"]:
+                    place = low + row["bin"] * width
+                    break
+                offset -= row["n"]
+            if place > high:  # behind the last row
+                return df.filter(F.lit(False)), 0
+            low, high = place, min(high, place + width - 1)
+        dropped = dropped | (same & (value < low))
+        same = same & (value == low)
+        if offset <= near or low < high:
+            break
+    return df.filter(~dropped), offset
+
+
 def review_page(
     reviews: DataFrame,
     sentiment: DataFrame,
@@ -20,8 +59,13 @@ def review_page(
     label: str | None = None,
     page: int = 1,
     per_page: int = 20,
+    near: int = 10_000,
 ) -> DataFrame:
-    """One page of reviews, newest first, with ``total`` and ``pages``; beyond the end it is empty. A page has at most 100 rows."""
+    """One page of reviews, newest first, with ``total`` and ``pages``; beyond the end it is empty. A page has at most 100 rows.
+
+    Pages that begin behind the first ``near`` rows skip the rows before them by counts (``skip_to``), so that no task holds more
+    than ``near`` rows before the page.
+    """
     if not 1 <= per_page <= 100:
         raise ValueError("per_page must be from 1 to 100")
     df = for_product(reviews, product_id)
@@ -29,7 +73,12 @@ def review_page(
         keys = sentiment.filter(F.col("predicted_sentiment") == label).select("review_id")
         df = df.join(keys, "review_id", "left_semi")
     total = df.agg(F.count("*")).scalar()
-    rows = top_rows(df, [F.desc("ingested_at"), "review_id"], per_page, (page - 1) * per_page)
+    offset = (page - 1) * per_page
+    kept = df
+    if offset > near:
+        newest = F.coalesce(-F.unix_micros("ingested_at"), F.lit(NEVER))  # rows without a time come last
+        kept, offset = skip_to(df, [newest, F.col("review_id")], offset, near)
+    rows = top_rows(kept, [F.desc("ingested_at"), "review_id"], per_page, offset)
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
 
 

@@ -12,7 +12,9 @@ from opinelake.operators import ordering as od
 from opinelake.operators import projections as pr
 from opinelake.operators import windows as wn
 from opinelake.plans.dashboard import overview
+from opinelake.plans.views import DashboardViews
 from opinelake.queries.base import REL, iso, isum, labels, n_if, pct, query, r, sql_list
+from opinelake.session import shared_dir
 from opinelake.sources import bucketed as bk
 from opinelake.sources import star
 
@@ -281,32 +283,58 @@ def _(spark, sf):
     return an.rating_distribution(pr.for_product(star.reviews(spark, sf), "7"))
 
 
-@query(
-    "product_summary_e5",
+ORACLE_E5 = (
     REL + f"""SELECT product_id, product_name, category, count(review_id) AS total_reviews,
   {n_if('raw_rating >= 4')} AS positive_reviews, {n_if('raw_rating = 3')} AS neutral_reviews, {n_if('raw_rating <= 2')} AS negative_reviews,
   {r('avg(raw_rating)', 4)} AS avg_rating, {labels()}, {r('avg(positive_score)', 4)} AS avg_positive_score,
   {r('avg(negative_score)', 4)} AS avg_negative_score, {r('avg(confidence_score)', 4)} AS avg_confidence
 FROM products LEFT JOIN reviews USING (product_id)
 LEFT JOIN sentiment_results USING (review_id) GROUP BY 1, 2, 3""".replace("AS positive,", "AS predicted_positive,").replace(
-        "AS negative,", "AS predicted_negative,").replace("AS neutral,", "AS predicted_neutral,"),
+        "AS negative,", "AS predicted_negative,").replace("AS neutral,", "AS predicted_neutral,")
 )
+
+
+@query("product_summary_e5", ORACLE_E5)
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
     return an.product_summary(p, rv, se)
 
 
-@query(
-    "daily_category_trend_e6",
+ORACLE_E6 = (
     REL + f"""SELECT strftime(review_date, '%Y-%m-%d') AS review_day, category, count(*) AS total_reviews,
-  {r('avg(raw_rating)', 4)} AS avg_rating, {labels(suffix='_count')} FROM full_records GROUP BY 1, 2""",
+  {r('avg(raw_rating)', 4)} AS avg_rating, {labels(suffix='_count')} FROM full_records GROUP BY 1, 2"""
 )
+
+
+@query("daily_category_trend_e6", ORACLE_E6)
 def _(spark, sf):
     p, rv, se = _prs(spark, sf)
     undated = pr.for_product(rv, "7").withColumn("review_date", F.lit(None).cast("timestamp"))  # rows that are left out
     return an.daily_category_trend(p, rv.unionByName(undated), se)
 
 
+def _in_two_loads(spark, sf):
+    """The views after one load of the reviews up to a day and another of the later ones."""
+    p, rv, se = _prs(spark, sf)
+    views = DashboardViews(shared_dir(spark, "views"), buckets=4)
+    early = F.col("ingested_at") < F.lit("2000-01-01").cast("timestamp")
+    for load_id, part in enumerate((rv.filter(early), rv.filter(~F.coalesce(early, F.lit(False))))):
+        views.load(part, se.join(part.select("review_id"), "review_id", "left_semi"), load_id)
+    return views, p, rv, se
+
+
+@query("maintained_summary_e5", ORACLE_E5)
+def _(spark, sf):
+    views, p, rv, se = _in_two_loads(spark, sf)
+    return views.product_summary(p, rv, se, loads=2)
+
+
+@query("maintained_trend_e6", ORACLE_E6)
+def _(spark, sf):
+    views, p, rv, se = _in_two_loads(spark, sf)
+    return views.daily_category_trend(p, rv, se, loads=2)
+
+
 @query(
     "daily_trend_e7",
     REL + f"""SELECT strftime(ingested_at, '%Y-%m-%d') AS date, {labels()}, count(*) AS total FROM joined WHERE {SINCE30} GROUP BY 1""",
@@ -538,6 +566,16 @@ def _(spark, sf):
     return out.select("review_id", "product_id", vl.iso_text("ingested_at").alias("ingested_at"), "total", "pages")
 
 
+@query(
+    "deep_review_page_g1",
+    REL + f"""SELECT review_id, product_id, {iso('ingested_at')} AS ingested_at, total, CAST(ceil(total / 20.0) AS BIGINT) AS pages FROM (
+SELECT *, count(*) OVER () AS total FROM reviews ORDER BY ingested_at DESC, review_id LIMIT 20 OFFSET 1180)""",
+)
+def _(spark, sf):
+    out = od.review_page(*_rs(spark, sf), page=60, near=100)
+    return out.select("review_id", "product_id", vl.iso_text("ingested_at").alias("ingested_at"), "total", "pages")
+
+
 def _alert_cols(prefix: str, conf: str, alert_type: str, severity: str, ack: str = "FALSE") -> str:
     return f"""result_id AS id, product_id, '{alert_type}' AS alert_type, {severity} AS severity,
   printf('{prefix} %s ({conf}%.2f)', predicted_sentiment, confidence_score) AS message, confidence_score AS metric_value,
