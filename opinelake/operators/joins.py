@@ -26,13 +26,15 @@ def salted_join(
 
     Rows of ``big`` are spread over ``salts`` sub-keys by the hash of ``spread_by``; ``small`` is
     replicated once per sub-key. Every row of ``big`` meets exactly one copy, so the result of an
-    inner, left, left_semi or left_anti join equals the plain join.
+    inner, left, left_semi or left_anti join equals the plain join. The copies come from a cross join with the few
+    sub-keys, because Spark counts its rows when it decides on a broadcast; an exploded array passes for one row.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot keep unmatched rows of the replicated side: {how}")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    subkeys = big.sparkSession.range(salts, numPartitions=1).select(F.col("id").cast("int").alias("_salt"))
+    right = small.crossJoin(F.broadcast(subkeys))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

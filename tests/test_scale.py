@@ -86,6 +86,13 @@ def test_salted_join_rejects_outer_on_the_replicated_side(spark):
         jn.salted_join(spark.range(1), spark.range(1), "id", "id", "full")
 
 
+@pytest.mark.parametrize("how", ["left_anti", "left"])
+def test_salted_copies_are_broadcast_by_their_real_number(spark, how):
+    small = spark.range(200_000).select(F.col("id").alias("k"))  # 1.6 MB once, beyond the broadcast limit in 16 copies
+    plan = jn.salted_join(spark.range(10).select("id", F.col("id").alias("k")), small, "k", "id", how)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_all_products_are_kept_once(spark):
     products = spark.createDataFrame([("a",), ("b",)], "product_id string")
     reviews = spark.createDataFrame([(1, "a"), (2, "a")], "review_id long, product_id string")
