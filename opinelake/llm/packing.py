@@ -3,10 +3,12 @@
 The tokens of a task's documents, in doc_id order, form one stream. Cuts lie at document ends (free), sentence ends (small
 penalty) or inside a sentence (larger penalty, for truncating it), and a window costs its padding. A cut inside a sentence only
 ever pays when it fills a window, so the program walks over document and sentence ends alone: a step from end i to end j is a
-chain of k full windows and one last window, for k below ``CHAIN``. For each k the best i comes from a monotone queue over the
-ends that lie 1024 k to 1024 (k + 1) tokens back, hence a constant number of operations per end. Sentences longer than a chain
-get extra ends inside. Windows are padded to ``max_tokens`` except where their length is a power of two, so the last window of
-a stream is written in powers of two.
+chain of any number of full windows and one last window. With q and r the quotient and remainder of a place by 1024, such a chain
+has q(j - 1) - q(i) full windows, one less where r(i) > r(j - 1). So the best i is the cheapest end before j or the cheapest one with
+a remainder above r(j - 1); both are read from a list of those ends that no other end of an equal or larger remainder undercuts.
+Every sentence end is an end, and chains have no bound.
+Windows are padded to ``max_tokens`` except where their length is a power of two, so the last window of a stream is written in
+powers of two.
 
 A stream is cut into blocks of ``BLOCK_TOKENS`` tokens, each solved on its own, so memory does not grow with the task. Nothing is
 shuffled: a task packs the documents of its input split.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -29,8 +32,6 @@ from pyspark.sql import functions as F
 from opinelake.llm.common import releasing
 
 MAX_TOKENS = 1024
-CHAIN = 4
-CELL = 64
 SENTENCE_PENALTY, WORD_PENALTY = 1, 4
 BLOCK_TOKENS = 1 << 19
 CACHE = 400_000  # words that a worker keeps, about 64 MB
@@ -125,55 +126,48 @@ def _words(path: str, cache: int) -> Words:
 
 
 def tokenize(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a text with a final 0, and the places after sentence ends (in tokens, ascending, the last is the length).
-
-    Of the sentence ends within ``CELL`` tokens the first is enough: the others lie closer together than cuts need.
-    """
+    """Ids of a text with a final 0, and the places after sentence ends (in tokens, ascending, the last is the length)."""
     ids = np.frombuffer((words.ids(text) if text else b"") + b"\0\0\0\0", "<u4")
     own = ids[:-1]
-    ends = np.flatnonzero(words.stop[own[:-1]] & words.opens[own[1:]]) + 1 if len(own) > 1 else own[:0].astype(np.int64)
-    cell = ends // CELL
-    ends = ends[np.flatnonzero(np.diff(cell, prepend=-1))]
+    ends = np.flatnonzero(words.stop[own[:-1]] & words.opens[own[1:]]) + 1 if len(own) > 1 else own[:0]
     return ids, np.append(ends, len(ids)).astype(np.int64)
 
 
-def cuts(ends: np.ndarray, penalty: np.ndarray, width: int = MAX_TOKENS, chain: int = CHAIN) -> list[int]:
+def cuts(ends: np.ndarray, penalty: np.ndarray, width: int = MAX_TOKENS, chain: int | None = None) -> list[int]:
     """The window ends of least padding plus penalties over a stream whose allowed ends (ascending, the last one final) are given.
 
-    Gaps between ends are at most ``width`` * ``chain``. Windows inside a chain are full.
+    Windows between two of these ends are full but for the last one. How many they are is not bounded; ``chain``, once a bound, has
+    no effect.
     """
-    at, cost = [0, *ends.tolist()], [0, *penalty.tolist()]
-    n = len(at)
-    key, back, by = [0] * n, [0] * n, [0] * n  # key: least cost up to an end plus its place
-    queues: list[list[int]] = [[] for _ in range(chain)]
-    head, entered = [0] * chain, [0] * chain
-    for j in range(1, n):
-        p = at[j]
-        best = -1
-        near = p
-        for k in range(chain):
-            queue, h, i = queues[k], head[k], entered[k]
-            while i < j and at[i] < near:
-                v = key[i]
-                while len(queue) > h and key[queue[-1]] >= v:
-                    del queue[-1]
-                queue.append(i)
-                i += 1
-            entered[k] = i
-            near -= width
-            while h < len(queue) and at[queue[h]] < near:
-                h += 1
-            head[k] = h
-            if h < len(queue):
-                c = key[queue[h]] + k * (width + WORD_PENALTY)
-                if best < 0 or c < best:
-                    best, back[j], by[j] = c, queue[h], k
-        key[j] = best + width + cost[j]
+    ends = np.asarray(ends, np.int64)
+    at, n = [0, *ends.tolist()], len(ends) + 1
+    back = [0] * n
+    full = width + WORD_PENALTY
+    step = full * n
+    # key: the least cost up to an end plus its place, less ``full`` for each whole width before it, joined with the end's number.
+    rests, keys = [0], [0]  # of the ends that are not undercut, both ascending
+    before, after = divmod(ends - 1, width), divmod(ends, width)
+    add = (before[0] - after[0]) * full + width + np.asarray(penalty, np.int64)
+    for j, (rest, own, extra) in enumerate(zip(before[1].tolist(), after[1].tolist(), add.tolist(), strict=True), 1):
+        best = keys[0]
+        i = bisect_right(rests, rest)
+        if i < len(rests) and keys[i] - step < best:
+            best = keys[i] - step
+        best, back[j] = divmod(best, n)
+        key = (best + extra) * n + j
+        hi = bisect_left(rests, own)
+        if hi == len(rests) or keys[hi] > key:
+            lo = hi
+            while lo and keys[lo - 1] >= key:
+                lo -= 1
+            if hi < len(rests) and rests[hi] == own:
+                hi += 1
+            rests[lo:hi], keys[lo:hi] = [own], [key]
     out, j = [], n - 1
     while j:
-        i, k = back[j], by[j]
+        i = back[j]
         out.append(at[j])
-        out += [at[i] + width * x for x in range(k, 0, -1)]
+        out += [at[i] + width * x for x in range((at[j] - at[i] - 1) // width, 0, -1)]
         j = i
     return out[::-1]
 
@@ -183,12 +177,7 @@ def _block(docs: list[tuple[object, np.ndarray, int, int]], ends: list[np.ndarra
     total = sum(len(d[1]) for d in docs)
     doc_end = np.cumsum([len(d[1]) for d in docs])
     allowed = np.unique(np.concatenate([*ends, doc_end]))
-    gaps = np.diff(np.concatenate(([0], allowed)))
-    if gaps.max() > width:
-        extra = [np.arange(allowed[i] - gaps[i] + width, allowed[i], width) for i in np.flatnonzero(gaps > width)]
-        allowed = np.unique(np.concatenate([allowed, *extra]))
-    whole = np.isin(allowed, doc_end)
-    penalty = np.where(whole, 0, np.where(np.isin(allowed, np.concatenate(ends)), SENTENCE_PENALTY, WORD_PENALTY))
+    penalty = np.where(np.isin(allowed, doc_end), 0, SENTENCE_PENALTY)
     at = cuts(allowed, penalty, width)
     # The last window as powers of two: no padding.
     left = total - (at[-2] if len(at) > 1 else 0)

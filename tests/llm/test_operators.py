@@ -354,6 +354,30 @@ def test_cuts_are_the_best_ones():
         assert cost <= best[int(ends[-1])] and last == ends[-1] and max(np.diff([0, *got])) <= width
 
 
+def test_chains_of_windows_have_no_bound():
+    rng, width = np.random.default_rng(6), 8
+    for _ in range(60):
+        ends = np.cumsum(rng.integers(1, 9 * width, 10))
+        penalty = rng.integers(0, 4, 10)
+        best = {0: 0}
+        for j, p in enumerate(ends.tolist()):
+            best[p] = min(best[i] + width * (k + 1) - (p - i) + k * packing.WORD_PENALTY + penalty[j] for i in best for k in [(p - i - 1) // width])
+        cost, last = 0, 0
+        for c in packing.cuts(ends, penalty, width):
+            at = np.flatnonzero(ends == c)
+            cost += width - (c - last) + (penalty[at[0]] if len(at) else packing.WORD_PENALTY)
+            assert 0 < c - last <= width
+            last = c
+        assert last == ends[-1] and cost <= best[int(last)]
+
+
+def test_every_sentence_end_may_be_cut():
+    words = packing.Words(tokenizer_path())
+    ids, ends = packing.tokenize("one two. three! four five? six seven", words)
+    assert len(ends) == 4 and ends[-1] == len(ids)
+    assert [words.stop[ids[e - 1]] for e in ends[:-1]] == [True] * 3
+
+
 def test_packing_odd_input(spark, odd):
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == len(ODD) and {r.doc_tokens for r in rows if r.doc_id in (1, 2)} == {1}
