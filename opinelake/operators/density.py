@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinelake.operators.ranking import hash_rank, seeded_hash
+from opinelake.operators.ranking import hash_rank, seeded_sample
 from opinelake.operators.topics import OUTLIER
 from opinelake.session import shared_dir
 from opinelake.sources.readers import materialise
@@ -74,6 +75,21 @@ def _direction(seed: int, *place: int, width: int) -> np.ndarray:
     return np.random.default_rng([seed, *place]).standard_normal(width)
 
 
+def _sample(points: DataFrame, s: Settings, width: int) -> np.ndarray:
+    """The vectors of at most ``sample_rows`` points, the first ones in hash order: found by a cut point, so no task and no driver
+    sorts candidates, and fetched as bytes, one partition after the other."""
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(vectors: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, np.float64).tobytes() for v in vectors], dtype=object)
+
+    rows = _store(seeded_sample(points, "point", s.sample_rows, s.seed).select(packed("vector").alias("vector")), "sample")
+    out = np.empty((min(s.sample_rows, rows.count()), width))  # keys that repeat may pass the cut point together
+    for i, r in enumerate(islice(rows.toLocalIterator(), len(out))):
+        out[i] = np.frombuffer(r[0], np.float64)
+    return out
+
+
 def _fit_forest(points: DataFrame, s: Settings, width: int, total: int) -> Forest:
     """Cuts at the medians of at most ``sample_rows`` points, the first ones in hash order."""
     depth = 0
@@ -82,8 +98,7 @@ def _fit_forest(points: DataFrame, s: Settings, width: int, total: int) -> Fores
     nodes, trees = (1 << depth) - 1, s.trees if total > s.leaf else 1
     directions, cuts = np.zeros((trees, nodes, width)), np.zeros((trees, nodes))
     if depth:
-        rows = points.orderBy(seeded_hash("point", s.seed), "point").limit(s.sample_rows).select("vector").collect()
-        sample = np.array([r[0] for r in rows])
+        sample = _sample(points, s, width)
         for tree in range(trees):
             place = np.zeros(len(sample), dtype=np.int64)
             for node in range(nodes):

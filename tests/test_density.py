@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinelake.operators import density as dn
+from opinelake.operators import ranking as rk
 
 S = dn.Settings(min_size=12, min_samples=5, levels=6)
 
@@ -131,6 +132,19 @@ def test_forest_keeps_the_groups(spark):
         assert sum(map(len, inside)) > 0.6 * len(group)
 
 
+def test_forest_sample_is_the_first_in_hash_order_and_sorts_nothing_on_the_driver(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((300, 3))
+    points = frame(spark, x).select(F.col("id").alias("point"), F.col("v").alias("vector"))
+    s = dn.Settings(sample_rows=64, leaf=16, task_rows=200)
+    order = rk.seeded_hash("point", s.seed)
+    first = sorted(tuple(r["vector"]) for r in points.orderBy(order, "point").limit(64).collect())
+    monkeypatch.setattr(type(points), "orderBy", lambda *a: pytest.fail("sorted for the driver"))
+    forest = dn._fit_forest(points, s, 3, 300)
+    assert sorted(map(tuple, dn._sample(points, s, 3).tolist())) == first and forest.depth == 1
+    side = [np.dot(v, forest.directions[0, 0]) for v in first]
+    assert forest.cuts[0, 0] == pytest.approx(np.median(side))
+
+
 def test_odd_input(spark):
     schema = "id long, v array<double>, topic string"
     odd = [(1, None, "a"), (2, [], "b"), (3, [1.0, None], "c"), (4, [1.0, float("nan")], "d"), (None, [1.0, 2.0], "e"), (5, [1.0], "f")]
