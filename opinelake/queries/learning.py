@@ -140,8 +140,13 @@ def _(spark, sf):
 
 # --- L2, L12, H3, H7, U2: models ---------------------------------------------------------------------
 
-def _training(spark, sf) -> DataFrame:
-    docs = star.documents(spark, sf).select("doc_id", tx.clean_text("text").alias("cleaned_text"))
+def _cleaned(spark, sf) -> DataFrame:
+    """Cleaned documents, stored: fits and scoring read them several times."""
+    return rd.materialise(star.documents(spark, sf).select("doc_id", tx.clean_text("text").alias("cleaned_text")), shared_dir(spark, "cleaned"))
+
+
+def _training(spark, sf, docs: DataFrame | None = None) -> DataFrame:
+    docs = _cleaned(spark, sf) if docs is None else docs
     labels = star.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id")
 
@@ -152,14 +157,14 @@ _SCHEDULE = tr.Schedule()
 
 @query("train_classifier_l2")
 def _(spark, sf):
-    model = ln.train_classifier(_training(spark, sf), _CONFIG)
-    docs = star.documents(spark, sf).select("doc_id", tx.clean_text("text").alias("cleaned_text"))
+    docs = _cleaned(spark, sf)
+    model = ln.train_classifier(_training(spark, sf, docs), _CONFIG)
     return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
-def _trained(spark, sf) -> tr.Trained:
+def _trained(spark, sf, docs: DataFrame | None = None) -> tr.Trained:
     """Epochs over the labelled documents of the training split, stopped by those of the validation split."""
-    rows = rk.stratified_split(_training(spark, sf).withColumn("name", F.col("label").cast("string")), "doc_id", "name", classes=["0", "1"])
+    rows = rk.stratified_split(_training(spark, sf, docs).withColumn("name", F.col("label").cast("string")), "doc_id", "name", classes=["0", "1"])
     return tr.train_validated(rows, "doc_id", "cleaned_text", "label", schedule=_SCHEDULE)
 
 
@@ -168,20 +173,20 @@ def _(spark, sf):
     return _trained(spark, sf).history
 
 
-def _stored_model(spark, sf) -> tuple[tr.TextModel, str, str]:
+def _stored_model(spark, sf, docs: DataFrame | None = None) -> tuple[tr.TextModel, str, str]:
     """The model stored for these tables, its version and root; the first call trains and stores it."""
     root, version = checkpoint_root(spark), "v1-" + hashlib.sha256(sf.encode()).hexdigest()[:12]
     model = tr.load_model(spark, root, "quality", version)
     if model is None:
-        tr.save_model(spark, _trained(spark, sf).model, root, "quality", version, _SCHEDULE)
+        tr.save_model(spark, _trained(spark, sf, docs).model, root, "quality", version, _SCHEDULE)
         model = tr.load_model(spark, root, "quality", version)
     return model, version, root
 
 
 @query("model_inference_h3")
 def _(spark, sf):
-    docs = star.documents(spark, sf).select("doc_id", tx.clean_text("text").alias("cleaned_text"))
-    scored = tr.score_texts(docs, "cleaned_text", _stored_model(spark, sf)[0])
+    docs = _cleaned(spark, sf)
+    scored = tr.score_texts(docs, "cleaned_text", _stored_model(spark, sf, docs)[0])
     return sc.score_probabilities(scored, "cleaned_text").select("doc_id", *sc.SCORE_FIELDS)
 
 
