@@ -12,8 +12,9 @@ A pass counts inside Arrow batches, in pieces of bounded length, and shuffles pa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from opinelake.llm.common import releasing, stored
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LEAST, KEPT, TOP = 10, 50, 2000
 SAMPLE_SHARE, SAMPLE_LEAST = 4, 2
-PIECE, TAIL = 1 << 20, 1 << 16
+PIECE, TAIL = 1 << 21, 1 << 16  # the more a piece holds, the fewer rows repeat a phrase
 BITS = (1 << 20, 1 << 27)
 ROWS = 1 << 16  # of an Arrow batch
 _TABLE = bytes(10 if c in BREAKS else 32 if c in BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,7 +49,7 @@ def xxhash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _buffers(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
+def _buffers(texts: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
     """Normalised bytes, pieces ended by line breaks, and how many of the first words an earlier buffer has counted."""
     held: list[bytes] = []
     size = 0
@@ -163,9 +164,9 @@ def _in_phrases(texts: DataFrame, rows: Callable[[Phrases, str], Iterator[pa.Rec
             langs = batch.column("lang").dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 own = batch.column("text").filter(pc.equal(langs.indices, i)).view(pa.binary())
-                for at in range(0, len(own), 256):
-                    for buffer, counted in _buffers(own.slice(at, 256).to_pylist()):
-                        yield from rows(Phrases(buffer, counted, lang), lang)
+                texts = chain.from_iterable(own.slice(at, 256).to_pylist() for at in range(0, len(own), 256))
+                for buffer, counted in _buffers(texts):
+                    yield from rows(Phrases(buffer, counted, lang), lang)
 
     return texts.mapInArrow(releasing(run), "lang string, k int, phrase string, f long")
 
