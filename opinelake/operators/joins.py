@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinelake.functions import text as tx
 from opinelake.functions.values import let
 from opinelake.operators.projections import one_row_each
+from opinelake.session import shared_dir
+from opinelake.sources.readers import materialise
 
 
 def reviews_with_sentiment(reviews: DataFrame, sentiment: DataFrame, how: str = "inner") -> DataFrame:
@@ -100,13 +103,38 @@ def _windows(low: DataFrame, reach: int) -> DataFrame:
 def keyword_index_matches(texts: DataFrame, key: str, text: str, keywords: DataFrame, keyword: str = "keyword", gram: int = 4) -> DataFrame:
     """The (key, keyword) pairs of ``keyword_matches`` for keyword lists of any length.
 
+    A keyword without white space lies inside one word of a text. So these are looked up in the different words of all texts
+    (``_substring_matches``), and a text takes the keywords of its words: what is shuffled is each word of a text once, never its
+    substrings. Keywords with white space are looked up in the texts themselves.
+
+    ``key`` is unique. Null texts and null keywords match nothing, repeated keywords count once, the empty keyword is in every text.
+    Keywords are compared with the lower-cased text as they are.
+    """
+    words = keywords.select(F.col(keyword).alias("_kw")).filter(F.col("_kw").isNotNull()).distinct()
+    spaced = F.rlike("_kw", F.lit(tx.SPACES))
+    low = texts.select(F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low")).filter(F.col("_low").isNotNull())
+    own = one_row_each(low, F.array_distinct(F.split("_low", tx.SPACES)), "_word", "_key").filter(F.col("_word") != "")
+    # Long words travel as digests; the blank keeps these apart from words.
+    name = F.when(F.length("_word") <= 64, F.col("_word")).otherwise(F.concat(F.lit(" "), F.sha2("_word", 256)))
+    different = own.select(name.alias("_name"), "_word").groupBy("_name").agg(F.first("_word").alias("_word"))
+    different = materialise(different, shared_dir(texts.sparkSession, "different"))  # read twice
+    inside = _substring_matches(different, "_name", "_word", words.filter(~spaced & (F.length("_kw") > 0)), "_kw", gram)
+    lists = inside.groupBy("_name").agg(F.collect_set("_kw").alias("_kws"))
+    hits = own.select("_key", name.alias("_name")).join(lists, "_name")
+    found = hits.select("_key", F.explode("_kws").alias("_kw")).distinct().select(F.col("_key").alias(key), F.col("_kw").alias(keyword))
+    others = words.filter(spaced | (F.length("_kw") == 0))
+    if others.isEmpty():
+        return found
+    return found.unionByName(_substring_matches(texts, key, text, others.withColumnRenamed("_kw", keyword), keyword, gram))
+
+
+def _substring_matches(texts: DataFrame, key: str, text: str, keywords: DataFrame, keyword: str, gram: int) -> DataFrame:
+    """The pairs of ``keyword_index_matches``, by the substrings of the texts.
+
     Each keyword is posted under the one of its substrings of ``gram`` characters that is rarest in the texts (shorter keywords under
     themselves). Texts look up their substrings and compare only the keywords posted there, inside a window of the text, so the work
     hardly grows with the list and linearly with the text. No keyword is collected (only the greatest length and the substring
     lengths in use); the postings are broadcast only where Spark finds them small.
-
-    ``key`` is unique. Null texts and null keywords match nothing, repeated keywords count once, the empty keyword is in every text.
-    Keywords are compared with the lower-cased text as they are.
     """
     words = keywords.select(F.col(keyword).alias("_kw")).filter(F.col("_kw").isNotNull()).distinct()
     size = F.least(F.length("_kw"), F.lit(gram))

@@ -36,6 +36,17 @@ def test_many_keywords(spark, n):
     assert found(spark, texts, words) == plain(texts, words)
 
 
+def test_substrings_are_looked_up_in_different_words_only(spark, monkeypatch):
+    searched = []
+    inner = jn._substring_matches
+    monkeypatch.setattr(jn, "_substring_matches", lambda t, *rest: searched.append(t.count()) or inner(t, *rest))
+    long = "ab" * 60
+    texts = [(i, f"same words {long} again\tand again") for i in range(200)]
+    words = ["am", "again", "abab", long[:70], "s w", "n\ta"]
+    assert found(spark, texts, words[:4]) == plain(texts, words[:4]) and searched == [5]
+    assert found(spark, texts, words) == plain(texts, words) and searched == [5, 5, 200]
+
+
 def test_long_text_and_long_keyword(spark):
     rng = random.Random(5)
     body = "".join(rng.choices("abcé🙂 ", k=300_000))
