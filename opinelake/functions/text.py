@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add, or_
+from string import ascii_letters
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 # ASCII step the plain classes are enough.
 HTML_TAG = r"<[^>]+>"
 URL = r"(?U)(?:http|www\.)\S+"
-EMAIL = r"(?U)\S+@\S+"
+# From the start of a run of non-spaces, so that a long word is walked through once.
+EMAIL = r"(?U)(?<!\S)\S[^\s@]*+@\S+"
 MENTION = r"(?U)@\w+"
 HASHTAG = r"(?U)#(\w+)"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -21,7 +23,8 @@ PUNCTUATION = r"[^\w\s']"
 DIGITS = r"\d+"
 SPACES = r"\s+"
 NO_WORD = r"[^\w']+"
-NO_LETTER = r"[^A-Za-z_']+"
+# Letters one by one: Java tests such a class by one table, ranges one after the other.
+NO_LETTER = rf"[^{ascii_letters}_']+"
 UNICODE_SPACES = r"(?U)\s+"
 SENTENCE_END = r"[.!?]+"
 TREND_WORD = r"\b([a-z]{3,})\b"
@@ -31,6 +34,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _where(text: Column, marks: Sequence[str], step: Callable[[Column], Column]) -> Column:
+    """``step`` over the texts that hold one of its marks; it would leave the others as they are, but walk through them."""
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(contains_any(t, marks), step(t)).otherwise(t)), 1)
+
+
 def strip_html(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), HTML_TAG, " ")
 
@@ -74,17 +82,18 @@ def clean_text(c: Column | str) -> Column:
     character nor an apostrophe.
     """
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    for step in (strip_html, strip_urls, strip_emails, ascii_only):
-        text = step(text)
-    return F.lower(F.trim(F.regexp_replace(text, NO_WORD, " ")))
+    for marks, step in ((["<"], strip_html), (["http", "www."], strip_urls), (["@"], strip_emails)):
+        text = _where(text, marks, step)
+    return F.lower(F.trim(F.regexp_replace(ascii_only(text), NO_WORD, " ")))
 
 
 def clean_tweet_text(c: Column | str) -> Column:
     """Tweet cleaning; mentions go before e-mails, so ``a@b.com`` leaves ``a com``."""
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    for step in (strip_html, strip_urls, strip_mentions, unwrap_hashtags, strip_emails, ascii_only):
-        text = step(text)
-    return F.lower(F.trim(F.regexp_replace(text, NO_LETTER, " ")))
+    steps = ((["<"], strip_html), (["http", "www."], strip_urls), (["@"], strip_mentions), (["#"], unwrap_hashtags), (["@"], strip_emails))
+    for marks, step in steps:
+        text = _where(text, marks, step)
+    return F.lower(F.trim(F.regexp_replace(ascii_only(text), NO_LETTER, " ")))
 
 
 def is_blank(c: Column | str) -> Column:

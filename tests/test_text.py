@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -104,3 +105,30 @@ def test_aspect_json_accepts_both_shapes(spark):
 def test_percentage_is_zero_guarded(spark):
     df = spark.createDataFrame([(1, 0), (1, 3)], "a int, b int")
     assert [r[0] for r in df.select(vl.percentage("a", "b")).collect()] == [0.0, 33.33]
+
+
+def test_cleaning_steps_keep_their_meaning(spark):
+    """Every step against the plain patterns, over texts with each mark at each kind of place."""
+    from functools import reduce
+
+    parts = ["a@b.c", "@a", "a@", "a@@b", "@@b", "@", "x", "é@ü", "a @b", "<b>", "<", "http", "https://x@y", "www.", "#t_1", "#", "Z9_'", "-"]
+    texts = [f"{a}{gap}{b}{end}" for a in parts for b in parts for gap in ("", " ", "\n") for end in ("", " c@d")]
+    plain = {
+        "cleaned": [(tx.HTML_TAG, " "), (tx.URL, " "), (r"(?U)\S+@\S+", " "), (tx.NON_ASCII, ""), (tx.NO_WORD, " ")],
+        "tweet": [(tx.HTML_TAG, " "), (tx.URL, " "), (tx.MENTION, " "), (tx.HASHTAG, "$1"), (r"(?U)\S+@\S+", " "), (tx.NON_ASCII, ""), ("[^A-Za-z_']+", " ")],
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string")
+    want = [
+        F.lower(F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce("t", F.lit(""))))).alias(f"plain_{n}")
+        for n, steps in plain.items()
+    ]
+    for r in df.select("t", tx.clean_text("t").alias("cleaned"), tx.clean_tweet_text("t").alias("tweet"), *want).collect():
+        assert (r["cleaned"], r["tweet"]) == (r["plain_cleaned"], r["plain_tweet"]), r["t"]
+
+
+def test_a_long_word_is_walked_through_once(spark):
+    """Before, each of its characters began a walk to its end: minutes for this text."""
+    df = spark.createDataFrame([("x" * 300_000 + " a@b.c end",)], "t string")
+    began = time.time()
+    assert df.select(F.length(tx.clean_text("t")), F.length(tx.clean_tweet_text("t"))).first()[:] == (300_004, 300_008)
+    assert time.time() - began < 20
