@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from opinelake.operators import analytics as an
 from opinelake.session import shared_dir
 from opinelake.sources.readers import materialise
-from opinelake.streaming.keyed import BUCKETS, KeyedLog, of_keys
+from opinelake.streaming.keyed import BUCKETS, KeyedLog
 
 
 class SumTable:
@@ -21,7 +21,7 @@ class SumTable:
         self.root, self.groups, self.buckets = root, list(groups), buckets
 
     def _log(self, schema: StructType) -> KeyedLog:
-        return KeyedLog(self.root, "_group", schema, self.buckets)
+        return KeyedLog(self.root, "_group", schema, self.buckets, spread=True)
 
     def add(self, sums: DataFrame, load_id: int) -> None:
         """Adds the sums of load ``load_id`` (0, 1, 2, ... without a gap). Repeating the newest load changes nothing.
@@ -34,9 +34,10 @@ class SumTable:
         log = self._log(delta.schema)
         turn = log.turn(load_id)
         stored = log.read(spark, load_id, {*log.touched(delta), turn})
-        own = of_keys(stored, delta, "_group", "left_semi").unionByName(of_keys(stored, delta, "_group", "left_anti").filter(log.bucket() == turn))
         values = [c for c in sums.columns if c not in self.groups]
-        total = own.unionByName(delta).groupBy("_group", *self.groups).agg(*[F.sum(c).alias(c) for c in values])
+        both = stored.withColumn("_own", F.lit(False)).unionByName(delta.withColumn("_own", F.lit(True)))
+        total = both.groupBy("_group", *self.groups).agg(*[F.sum(c).alias(c) for c in values], F.max("_own").alias("_own"))
+        total = total.filter(F.col("_own") | (log.bucket() == turn))  # the load's own groups and one bucket in turn
         log.write(total.select(*[F.col(f.name).cast(f.dataType) for f in delta.schema]), load_id)
 
     def read(self, spark: SparkSession, schema: StructType, loads: int) -> DataFrame:

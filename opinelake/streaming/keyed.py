@@ -26,11 +26,12 @@ class KeyedLog:
 
     A bucket is therefore found in at most the last ``buckets`` batches, older folders of it are removed, and a repeated
     batch reads and overwrites the same folders. Null is a key like others. Keys of one bucket are written by one task:
-    choose more buckets for more keys (the number must stay the same for the life of a log).
+    choose more buckets for more keys (the number must stay the same for the life of a log), or ``spread`` them over as many
+    tasks as their size asks for, which each write a file per bucket (for loads in batches, where AQE finds that number).
     """
 
-    def __init__(self, root: str, key: str, schema: StructType, buckets: int = BUCKETS):
-        self.root, self.key, self.schema, self.buckets = root, key, schema, buckets
+    def __init__(self, root: str, key: str, schema: StructType, buckets: int = BUCKETS, spread: bool = False):
+        self.root, self.key, self.schema, self.buckets, self.spread = root, key, schema, buckets, spread
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -66,9 +67,9 @@ class KeyedLog:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Stores the rows of a batch: all of each key that it touched, all keys of the bucket whose turn it is."""
         spark = rows.sparkSession
-        rows.select(*self.schema.names, self.bucket().alias("bucket")).repartition(self.buckets, "bucket").sortWithinPartitions(
-            "bucket", self.key
-        ).write.mode("overwrite").partitionBy("bucket").parquet(self._folder(batch_id))
+        tagged = rows.select(*self.schema.names, self.bucket().alias("bucket"))
+        dealt = tagged.repartition(self.key) if self.spread else tagged.repartition(self.buckets, "bucket")
+        dealt.sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(self._folder(batch_id))
         # The batch before wrote its bucket whole and is finished, so nobody opens older folders of that bucket again.
         for old in range(max(0, batch_id - 1 - self.buckets), batch_id - 1):
             path, fs = hadoop(spark, f"{self._folder(old)}/bucket={self.turn(batch_id - 1)}")

@@ -88,3 +88,18 @@ def test_skip_leaves_few_rows(spark):
     df = spark.range(100_000).select("id", (F.col("id") % 3).alias("k"))
     left, offset = od.skip_to(df, [F.col("k"), F.col("id")], 70_000, near=100)
     assert offset <= 100 and left.orderBy("k", "id").offset(offset).first()["id"] == 3 * (70_000 - 33_334 - 33_333) + 2
+
+
+def test_groups_of_one_bucket_are_written_by_several_tasks(spark, tmp_path):
+    """Before, one task wrote a bucket, however many groups it had."""
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        views = DashboardViews(str(tmp_path / "views"), buckets=2)
+        views.load(*tables(spark, range(200), lambda i: f"p{i}"), 0)
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    for bucket in range(2):
+        assert len(glob.glob(f"{tmp_path}/views/products/batch=*/bucket={bucket}/*.parquet")) > 1
