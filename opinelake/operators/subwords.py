@@ -22,6 +22,7 @@ WORD_END = "</w>"
 PAD = 0
 LARGEST = 1 << 18  # pieces that are sent to the executors, some 10 MB
 CACHED_WORDS = 100_000
+ROWS = 512  # rows that are laid out at a time, whatever an Arrow batch holds
 
 # The characters that stand for the 256 bytes in byte-level vocabularies.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -124,6 +125,13 @@ def _laid_out(tokens: pd.Series, pieces: Pieces, known: dict[str, np.ndarray], m
     return pd.DataFrame({"input_ids": list(out), "used": (used + 2).astype(np.int32)})
 
 
+def _in_parts(lines: pd.Series, pieces: Pieces, known: dict[str, np.ndarray], max_length: int) -> Iterator[pd.DataFrame]:
+    """``_laid_out`` for ``ROWS`` rows at a time; a line is a row's words, joined by spaces."""
+    for at in range(0, len(lines), ROWS):
+        words = [np.array(line.split(" ") if line else [], object) for line in lines.iloc[at : at + ROWS]]
+        yield _laid_out(pd.Series(words, dtype=object), pieces, known, max_length)
+
+
 def encode_subwords(df: DataFrame, text: str, pieces: Pieces, max_length: int = MAX_LENGTH) -> DataFrame:
     """Adds ``input_ids`` and ``attention_mask``: opening id, ids of the words' pieces, closing id, padding to ``max_length``.
 
@@ -133,11 +141,11 @@ def encode_subwords(df: DataFrame, text: str, pieces: Pieces, max_length: int =
     @F.pandas_udf("struct<input_ids: array<int>, used: int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, np.ndarray] = {}
-        for tokens in batches:
-            yield _laid_out(tokens, pieces, known, max_length)
+        for lines in batches:
+            yield from _in_parts(lines, pieces, known, max_length)
 
-    # A word has one piece at least, so more words than places cannot count.
-    tokens = F.slice(tx.tokens(F.coalesce(F.col(text), F.lit(""))), 1, max_length - 2)
+    # A word has one piece at least, so more words than places cannot count. They travel as one string a row.
+    tokens = F.array_join(F.slice(tx.tokens(F.coalesce(F.col(text), F.lit(""))), 1, max_length - 2), " ")
     mask = F.concat(F.array_repeat(F.lit(1), F.col("_e.used")), F.array_repeat(F.lit(0), F.lit(max_length) - F.col("_e.used")))
     return (
         df.withColumn("_e", ids(tokens))

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from opinelake.operators import subwords as sw
@@ -65,3 +66,14 @@ def test_ids_decode_to_the_text(spark):
 def test_vocabulary_is_bounded():
     with pytest.raises(ValueError, match="at most"):
         sw.Pieces({str(i): i for i in range(sw.LARGEST + 1)}, 0, 1)
+
+
+def test_a_batch_is_laid_out_in_parts():
+    """Before, all rows of an Arrow batch were laid out at once, so memory grew with the batch."""
+    lines = pd.Series(["ab doable", "", "a", None] * sw.ROWS)
+    parts = list(sw._in_parts(lines, SMALL, {}, 8))
+    assert [len(p) for p in parts] == [sw.ROWS] * 4
+    whole = pd.concat(parts)
+    words = pd.Series([np.array(t.split(" ") if t else [], object) for t in lines], dtype=object)
+    plain = sw._laid_out(words, SMALL, {}, 8)
+    assert np.array_equal(np.stack(whole["input_ids"]), np.stack(plain["input_ids"])) and list(whole["used"]) == list(plain["used"])
