@@ -182,7 +182,8 @@ def get_or_create_products(
     else:
         wanted = incoming.select("product_id").distinct()
     defaults = {"product_name": name, "category": F.lit(category)}
-    created = wanted.join(products.select("product_id"), "product_id", "left_anti").select(
+    # Spark takes one column of a large compressed table for small enough to be broadcast; the ids are shuffled instead.
+    created = wanted.join(products.select("product_id").hint("merge"), "product_id", "left_anti").select(
         "product_id",
         *[(F.coalesce(f"_{c}", default) if c in given else default).alias(c) for c, default in defaults.items()],
         F.lit(False).alias("is_competitor"),

@@ -235,3 +235,16 @@ def test_upsert_keeps_the_key_unique(spark):
     changes = spark.createDataFrame([("a", 5), ("a", 7), ("b", 2), ("b", 2)], "id string, v int")
     rows = upsert(table, changes, "id", F.lit(9)).collect()
     assert sorted((r["id"], r["v"], r["created_at"]) for r in rows) == [("a", 7, 0), ("b", 2, 9)]
+
+
+def test_stored_products_are_not_broadcast(spark, tmp_path):
+    """Before, the ids of a table that compresses well were sent to the driver, since one column of it looks small."""
+    from opinelake.operators.joins import get_or_create_products
+
+    path = str(tmp_path / "products")
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("product_id"), F.lit("n").alias("product_name"), F.lit("c").alias("category"))
+    rows.withColumn("is_competitor", F.lit(False)).write.parquet(path)
+    incoming = spark.range(990, 1010).select(F.when(F.col("id") != 995, F.col("id").cast("string")).alias("product_id"))
+    out = get_or_create_products(incoming, spark.read.parquet(path), F.col("product_id"))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert out.count() == 1011 and out.filter("product_id is null").count() == 1
