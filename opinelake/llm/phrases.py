@@ -7,7 +7,9 @@ they are added to the proposals, and another pass counts exactly what the larger
 brings no failure. Then every frequent phrase is counted, whatever the sample missed.
 
 Proposals travel as bitmaps of phrase hashes, whose size is bounded; a false positive only lets a phrase be counted that need not be.
-A pass counts inside Arrow batches, in pieces of bounded length, and shuffles partial sums by phrase.
+A pass counts inside Arrow batches, in pieces of bounded length. Most phrases of a piece occur in it once, so one row a phrase would
+carry little: a row holds the phrases of a piece that fall, by their hash, into one part, and their counts. Spark shuffles these rows
+by part, and each part, of which there are more the longer the texts are, is summed on its own.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ LEAST, KEPT, TOP = 10, 50, 2000
 SAMPLE_SHARE, SAMPLE_LEAST = 4, 2
 PIECE, TAIL = 1 << 21, 1 << 16  # the more a piece holds, the fewer rows repeat a phrase
 BITS = (1 << 20, 1 << 27)
-ROWS = 1 << 16  # of an Arrow batch
+PART = 1 << 22  # bytes of texts per part that is summed at once
 _TABLE = bytes(10 if c in BREAKS else 32 if c in BLANKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -100,41 +102,47 @@ class Phrases:
         inside = codes != stop
         new = np.ones(len(codes), bool)
         new[:counted] = False  # the words before are of one piece: no breaks among them
-        base = max(len(plain), 1)  # of a buffer of up to 2 * PIECE bytes: its cube stays below 2 ** 63
+        bits = max(len(plain) - 1, 1).bit_length()  # at most 21, as a buffer has up to 2 * PIECE bytes: three codes fit in 63
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.counts: list[np.ndarray] = []
         code, good = codes, inside
         for k in (1, 2, 3):
             if k > 1:
                 n = max(len(codes) - k + 1, 0)
-                code = code[:n] * base + codes[k - 1 :]
+                code = (code[:n] << bits) + codes[k - 1 :]
                 good = good[:n] & inside[k - 1 :]
             unique, count = np.unique(code[good & new[k - 1 :]], return_counts=True)
-            digits = []
-            for _ in range(k):
-                digits.append(unique % base)
-                unique = unique // base
-            self.parts.append(tuple(digits[::-1]))
+            self.parts.append(tuple(unique >> bits * i & (1 << bits) - 1 for i in reversed(range(k))))
             self.counts.append(count.astype(np.int64))
 
     def pair_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return xxhash_long(self.hashes[b], xxhash_long(self.hashes[a], np.uint64(42)))
 
-    def rows(self, lang: str, k: int, take: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """lang, k, phrase and f of the phrases of k words."""
-        parts, counts = self.parts[k - 1], self.counts[k - 1]
+    def rows(self, lang: str, k: int, parts: int, take: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """lang, k, part, phrases and counts of the phrases of k words: one row for each part that has any."""
+        words, counts = self.parts[k - 1], self.counts[k - 1]
         if take is not None:
-            parts, counts = tuple(w[take] for w in parts), counts[take]
-        for at in range(0, len(counts), ROWS):
-            own = [self.words.take(pa.array(w[at : at + ROWS])) for w in parts]
-            phrase = pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.binary())) if k > 1 else own[0]
-            f = counts[at : at + ROWS]
-            yield _rows(lang, k, phrase, f)
-
-
-def _rows(lang: str, k: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-    n = len(f)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), phrase.view(pa.string()), pa.array(f)], ["lang", "k", "phrase", "f"])
+            words, counts = tuple(w[take] for w in words), counts[take]
+        if not len(counts):
+            return
+        hashes = self.hashes[words[0]] if k == 1 else self.pair_hashes(words[0], words[1])
+        if k == 3:
+            hashes = xxhash_long(self.hashes[words[2]], hashes)
+        place = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(place, kind="stable")
+        own = [self.words.take(pa.array(w[order])) for w in words]
+        phrases = pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.binary())) if k > 1 else own[0]
+        yield _rows(lang, k, place[order], phrases, counts[order])
+
+
+def _rows(lang: str, k: int, place: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each run of equal ``place``: its phrases, one a line, and their counts as 8-byte numbers."""
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    ends = np.r_[starts, len(place)].astype(np.int32)
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), phrases), pa.scalar(b"\n", pa.binary()))
+    numbers = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(counts.astype("<i8"))])
+    same = [pa.repeat(pa.scalar(lang, pa.string()), len(starts)), pa.repeat(pa.scalar(k, pa.int32()), len(starts))]
+    return pa.RecordBatch.from_arrays([*same, pa.array(place[starts].astype(np.int64)), lines, numbers], ["lang", "k", "part", "phrases", "counts"])
 
 
 class Bitmap:
@@ -168,20 +176,41 @@ def _in_phrases(texts: DataFrame, rows: Callable[[Phrases, str], Iterator[pa.Rec
                 for buffer, counted in _buffers(texts):
                     yield from rows(Phrases(buffer, counted, lang), lang)
 
-    return texts.mapInArrow(releasing(run), "lang string, k int, phrase string, f long")
+    return texts.mapInArrow(releasing(run), "lang string, k int, part long, phrases binary, counts binary")
+
+
+def _parts(texts: DataFrame) -> int:
+    """The number of parts that phrases are dealt to: it grows with the length of the texts, so parts do not."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 + size // PART
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
     """(lang, k, phrase, f) of what is found at least so often; k = 0 holds the number of words of a language."""
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+
+    def add(part: pa.Table) -> pa.Table:
+        found = []
+        for kind in part.group_by(["lang", "k"], use_threads=False).aggregate([]).to_pylist():
+            own = part.filter((pc.field("lang") == kind["lang"]) & (pc.field("k") == kind["k"]))
+            phrases = pc.list_flatten(pc.split_pattern(own["phrases"], b"\n"))
+            counts = np.frombuffer(b"".join(own["counts"].to_pylist()), "<i8")
+            sums = pa.table({"phrase": phrases, "f": counts}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            if kind["k"]:
+                sums = sums.filter(pc.field("f_sum") >= least)
+            same = [pa.repeat(pa.scalar(kind["lang"], pa.string()), len(sums)), pa.repeat(pa.scalar(kind["k"], pa.int32()), len(sums))]
+            phrase = sums["phrase"].combine_chunks().view(pa.string())
+            found.append(pa.table([*same, phrase, sums["f_sum"]], ["lang", "k", "phrase", "f"]))
+        return pa.concat_tables(found)
+
+    return rows.groupBy("part").applyInArrow(add, "lang string, k int, phrase string, f long")
 
 
-def sampled(texts: DataFrame, least: int) -> DataFrame:
+def sampled(texts: DataFrame, least: int, parts: int) -> DataFrame:
     """Words and pairs that occur at least so often in the sample: a quarter of the documents, by a hash of the text."""
 
     def rows(p: Phrases, lang: str) -> Iterator[pa.RecordBatch]:
-        yield from p.rows(lang, 1)
-        yield from p.rows(lang, 2)
+        yield from p.rows(lang, 1, parts)
+        yield from p.rows(lang, 2, parts)
 
     return _summed(_in_phrases(texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0), rows), least)
 
@@ -196,18 +225,18 @@ def _admitted(p: Phrases, words, pairs) -> tuple[np.ndarray, np.ndarray]:
     return word[a] & word[b], both
 
 
-def counted(texts: DataFrame, now: tuple, before: tuple | None) -> DataFrame:
+def counted(texts: DataFrame, now: tuple, before: tuple | None, parts: int) -> DataFrame:
     """Exact counts of what the proposals ``now`` admit and those of ``before`` did not; all words in the first pass."""
 
     def rows(p: Phrases, lang: str) -> Iterator[pa.RecordBatch]:
         admitted = _admitted(p, *now)
         if before is None:
-            yield _rows(lang, 0, pa.array([b""], pa.binary()), p.counts[0].sum(keepdims=True))
-            yield from p.rows(lang, 1)
+            yield _rows(lang, 0, np.zeros(1, np.int64), pa.array([b""], pa.binary()), p.counts[0].sum(keepdims=True))
+            yield from p.rows(lang, 1, parts)
         else:
             admitted = tuple(new & ~old for new, old in zip(admitted, _admitted(p, *before), strict=True))
-        yield from p.rows(lang, 2, admitted[0])
-        yield from p.rows(lang, 3, admitted[1])
+        yield from p.rows(lang, 2, parts, admitted[0])
+        yield from p.rows(lang, 3, parts, admitted[1])
 
     return _in_phrases(texts, rows)
 
@@ -230,7 +259,8 @@ def bitmap(found: DataFrame, k: int, bits: int) -> Bitmap:
 def frequent_phrases(texts: DataFrame, least: int = LEAST, sample_least: int = SAMPLE_LEAST) -> tuple[DataFrame, int]:
     """Counts (lang, k, phrase, f) of all words and phrases of up to three words with f >= least, and the number of passes."""
     spark = texts.sparkSession
-    proposed = stored(sampled(texts, sample_least), "proposed")
+    parts = _parts(texts)
+    proposed = stored(sampled(texts, sample_least, parts), "proposed")
     bits = BITS[0]
     while bits < min(BITS[1], 16 * proposed.count()):
         bits *= 2
@@ -239,7 +269,7 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, sample_least: int = S
     before = None
     while True:
         now = tuple(spark.sparkContext.broadcast(b) for b in sets)
-        found.append(stored(_summed(counted(texts, now, before), least), "counted"))
+        found.append(stored(_summed(counted(texts, now, before, parts), least), "counted"))
         fresh = [bitmap(found[-1], k, bits) for k in (1, 2)]
         if all(f in s for f, s in zip(fresh, sets, strict=True)):  # no border phrase was frequent
             return reduce(DataFrame.unionByName, found), len(found)

@@ -82,6 +82,22 @@ def test_long_texts_count_the_same_in_parts(monkeypatch):
         assert got == whole
 
 
+def test_rows_are_shuffled_by_part_not_by_phrase(spark, monkeypatch):
+    """Few rows carry the phrases of a piece; many parts, over 65,536 too, give the same sums."""
+    rows = _docs(np.random.default_rng(4))
+    texts = ph._texts(spark.createDataFrame(rows, "text string, lang string").repartition(3)).cache()
+    size = sum(len((t or "").encode()) for t, _ in rows)
+    assert ph._parts(texts) == 1
+    monkeypatch.setattr(ph, "PART", 400)
+    assert ph._parts(texts) == 1 + size // 400
+    found = [sorted(map(tuple, ph.sampled(texts, 2, parts).collect())) for parts in (1, 37, 70_001)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    p = ph.Phrases(" ".join(f"w{i % 97} x{i % 89}" for i in range(5000)).encode(), 0, "en")
+    for k, n in ((1, 186), (2, 5000), (3, 5000)):
+        out = list(p.rows("en", k, 7))
+        assert sum(b.num_rows for b in out) == 7 and sum(len(x.split(b"\n")) for b in out for x in b["phrases"].to_pylist()) == len(p.counts[k - 1]) >= n
+
+
 def test_exact_beyond_64_bits(spark):
     a, l, r = 9_000_000_000_007, 9_100_000_000_013, 9_300_000_000_001
     df = spark.createDataFrame([(a, l, r)], "a long, l long, r long")
