@@ -21,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,46 +145,74 @@ def _blocks(x: np.ndarray, ids: np.ndarray, leaf: int, seed: tuple[int, ...]):
         stack += [(order[:half], 2 * node + 1), (order[half:], 2 * node + 2)]
 
 
-def _closest(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, queries: np.ndarray, base: np.ndarray, k: int):
+def _closest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, base: np.ndarray, k: int):
     """The ``k`` nearest other base rows of each query row, by (distance, id): a shortlist by inner products, measured again
-    coordinate by coordinate, so that a pair has the same distance in every tree and in both directions."""
+    coordinate by coordinate, so that a pair has the same distance in every tree and in both directions. Yields query rows, how many
+    each has found, and their base rows and distances, one after the other."""
     centre = x[base].mean(axis=0)
     b = x[base] - centre
     norms = np.einsum("ij,ij->i", b, b)
-    for start in range(0, len(queries), 512):
-        part = queries[start : start + 512]
+    wide = min(len(base), k + 16)
+    step = max(1, min(512, (1 << 20) // (wide * x.shape[1])))  # rows whose shortlists are held as vectors: 8 MB
+    for start in range(0, len(queries), step):
+        part = queries[start : start + step]
         q = x[part] - centre
         rough = norms[None, :] - 2 * (q @ b.T)
         rough[part[:, None] == base[None, :]] = np.inf
-        wide = min(len(base), k + 16)
         short = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(base) else np.tile(np.arange(len(base)), (len(part), 1))
-        for i, row in enumerate(part):
-            near = base[short[i]]
-            near = near[near != row]
-            d = np.sqrt(((x[near] - x[row]) ** 2).sum(axis=1))
-            take = np.lexsort((ids[near], d))[:k]
-            yield row, [(float(d[t]), int(ids[near[t]]), int(weights[near[t]])) for t in take]
+        near = base[short]
+        d = np.sqrt(((x[near] - x[part][:, None, :]) ** 2).sum(axis=2))
+        own = near == part[:, None]  # comes last, and is left out
+        order = np.lexsort((ids[near], d, own), axis=-1)[:, :k]
+        counts = np.minimum(k, wide - own.sum(axis=1))
+        kept = np.arange(order.shape[1]) < counts[:, None]
+        yield part, counts, np.take_along_axis(near, order, 1)[kept], np.take_along_axis(d, order, 1)[kept]
+
+
+def _listed(counts: np.ndarray, d: np.ndarray, other: np.ndarray, weight: np.ndarray) -> pa.Array:
+    """Neighbours that stand one after the other, as lists of so many each."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d), pa.array(other), pa.array(weight)], ["d", "other", "weight"]))
+
+
+def _first(near: pa.ListArray, k: int) -> pa.Array:
+    """The ``k`` nearest of each list by (distance, id), each once; a pair has the same distance wherever it was found."""
+    counts = near.value_lengths().to_numpy(zero_copy_only=False)
+    fields = near.flatten()
+    d, other, weight = (fields.field(i).to_numpy() for i in range(3))
+    lists = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((other, d, lists))
+    lists, d, other, weight = lists[order], d[order], other[order], weight[order]
+    new = np.ones(len(lists), bool)
+    new[1:] = (lists[1:] != lists[:-1]) | (d[1:] != d[:-1]) | (other[1:] != other[:-1])
+    lists, d, other, weight = lists[new], d[new], other[new], weight[new]
+    sizes = np.bincount(lists, minlength=len(counts))
+    kept = np.arange(len(lists)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k
+    return _listed(np.minimum(sizes, k), d[kept], other[kept], weight[kept])
 
 
 def _nearest(points: DataFrame, forest: Forest, s: Settings) -> DataFrame:
     """(point, near): nearest other points with ``fitted`` true, of those with ``wanted`` true. One row per point and tree is
     shuffled; a task returns at most ``min_samples`` neighbours a point, never the pairs of a leaf."""
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["vector"].to_numpy())
-        ids, weights = rows["point"].to_numpy(), rows["weight"].to_numpy()
-        fitted, wanted = rows["fitted"].to_numpy(), rows["wanted"].to_numpy()
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.concatenate([c.flatten().to_numpy() for c in rows["vector"].chunks]).reshape(len(rows), -1)
+        ids, weights, fitted, wanted = (rows[c].to_numpy() for c in ("point", "weight", "fitted", "wanted"))
         found = []
-        for block in _blocks(x, ids, s.leaf, (s.seed, int(key[0]), int(key[1]) + 1)):
+        for block in _blocks(x, ids, s.leaf, (s.seed, key[0].as_py(), key[1].as_py() + 1)):
             queries, base = block[wanted[block]], block[fitted[block]]
             if len(queries) and len(base):
-                found += [(ids[row], near) for row, near in _closest(x, ids, weights, queries, base, s.min_samples)]
-        return pd.DataFrame(found, columns=["point", "near"])
+                for part, counts, near, d in _closest(x, ids, queries, base, s.min_samples):
+                    found.append(pa.table([pa.array(ids[part]), _listed(counts, d, ids[near], weights[near])], ["point", "near"]))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], pa.int64()), _listed(*(np.empty(0, t) for t in (int, float, int, int)))], ["point", "near"])
+
+    @F.arrow_udf(_NEAR)
+    def merged(near: pa.Array) -> pa.Array:
+        return _first(near, s.min_samples)
 
     placed = points.withColumn("_leaves", _leaves("vector", forest)).select("*", F.posexplode("_leaves").alias("tree", "place"))
-    found = placed.drop("_leaves").groupBy("tree", "place").applyInPandas(search, f"point long, near {_NEAR}")
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, s.min_samples)
-    return found.groupBy("point").agg(merged.alias("near"))
+    found = placed.drop("_leaves").groupBy("tree", "place").applyInArrow(search, f"point long, near {_NEAR}")
+    return found.groupBy("point").agg(F.flatten(F.collect_list("near")).alias("near")).withColumn("near", merged("near"))
 
 
 def _core(s: Settings) -> Column:

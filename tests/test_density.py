@@ -158,3 +158,42 @@ def test_odd_input(spark):
     none = dn.fit_density(empty, "id", "v", S)
     assert dn.fitted_topics(empty, "v", none).count() == 0
     assert {r["topic_id"] for r in dn.assign_density(df, "id", "v", none).collect()} == {-1}
+
+
+@pytest.mark.parametrize("k", [4, 300])
+def test_neighbours_are_sorted_by_blocks_not_by_rows(k, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (200, 3)).astype(float)  # many equal distances
+    ids = rng.permutation(1000)[:200]
+    sort, calls = np.lexsort, []
+    monkeypatch.setattr(np, "lexsort", lambda *a, **kw: calls.append(1) or sort(*a, **kw))
+    base = np.arange(0, 200, 2)
+    found = {}
+    for part, counts, near, d in dn._closest(x, ids, np.arange(200), base, k):
+        at = 0
+        for row, n in zip(part, counts):
+            found[row] = [(float(d[i]), int(ids[near[i]])) for i in range(at, at + n)]
+            at += n
+        assert at == len(near) == len(d)
+    assert len(found) == 200 and len(calls) < 10
+    for row in range(200):
+        own = sorted((float(np.sqrt(((x[b] - x[row]) ** 2).sum())), int(ids[b])) for b in base if b != row)
+        got = found[row]
+        assert got == sorted(got) and len(got) == min(k, len(own))
+        assert [d for d, _ in got] == [d for d, _ in own[:k]]  # of equal distances the shortlist may hold others
+
+
+def test_lists_of_trees_are_merged_by_distance_then_id():
+    rng = np.random.default_rng(7)
+    rows = [[{"d": o % 5 / 2, "other": int(o), "weight": 1 + int(o) % 3} for o in rng.integers(0, 40, n)] for n in (0, 1, 60, 7, 0)]
+    near = dn.pa.array(rows, dn.pa.list_(dn.pa.struct([("d", dn.pa.float64()), ("other", dn.pa.int64()), ("weight", dn.pa.int64())])))
+    plain = [sorted({(e["d"], e["other"], e["weight"]) for e in r})[:6] for r in rows]
+    for part in (near, near.slice(1, 3), near.slice(0, 0)):
+        want = plain if len(part) == 5 else plain[1:4] if len(part) else []
+        assert [[(e["d"], e["other"], e["weight"]) for e in r] for r in dn._first(part, 6).to_pylist()] == want
+
+
+def test_trees_are_merged_without_comparing_all_pairs(spark):
+    points = frame(spark, np.eye(4)).selectExpr("id AS point", "v AS vector", "1L AS weight", "true AS fitted", "true AS wanted")
+    plan = dn._nearest(points, dn._fit_forest(points, S, 4, 4), S)._jdf.queryExecution().toString()
+    assert "array_distinct" not in plan
