@@ -17,12 +17,12 @@ shuffled: a task packs the documents of its input split.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,23 +34,26 @@ from opinelake.llm.common import releasing
 MAX_TOKENS = 1024
 SENTENCE_PENALTY, WORD_PENALTY = 1, 4
 BLOCK_TOKENS = 1 << 19
-CACHE = 400_000  # words that a worker keeps, about 64 MB
+RUN = 1 << 18  # characters encoded at once, or up to the end of a longer word
+
+_SPACE = re.compile("[ \n]")
 
 
 class Words:
-    """Token ids (little-endian bytes) of the words of a text, the space before each being implied.
+    """Token ids (little-endian bytes) of texts.
 
-    A space or line break between two other characters always starts a token, so a text's ids are those of its words in a
-    row. ``ranks`` come from the tokenizer file itself: in a byte-level vocabulary in merge order an id is its merge's rank,
-    which the constructor checks. Texts with other white space, or with a special token's string, are encoded whole.
+    A space or line break between two other characters always starts a token, so a long text is encoded in runs that begin at
+    one, and the split pattern needs no look-ahead. ``ranks`` come from the tokenizer file itself: in a byte-level vocabulary in
+    merge order an id is its merge's rank, which the constructor checks. Texts with other white space, or with a special token's
+    string, are encoded whole by the tokenizer.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        self.path, self.whole, self.cache = path, None, cache
+        self.path, self.whole = path, None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         special = {t["content"] for t in model["added_tokens"]}
@@ -59,12 +62,10 @@ class Words:
         if merged != sorted(merged):
             raise ValueError("the ids of this vocabulary do not follow its merges")
         ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items()}
-        # Fixed value: the split pattern of byte-level encoders.
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        # Fixed value: the split pattern of byte-level encoders where no two white spaces meet.
+        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
         self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = sorted(special)
-        self.codes: dict[str, bytes] = {}
-        (self.line,) = self.encode("\n")
         self.stop = np.zeros(max(vocab.values()) + 2 + len(special), bool)
         self.opens = self.stop.copy()
         for t, i in ranks.items():
@@ -79,19 +80,6 @@ class Words:
             self.whole = Tokenizer.from_file(self.path)
         return _code(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodes words in one run, a line each: the line break's own id marks where one ends."""
-        inner = [w for w in words if w[:1] != "\n"]
-        ids = self.encode("\n".join([" " + w for w in inner]) + "\n") if inner else []
-        code = struct.pack(f"<{len(ids)}I", *ids)
-        at, codes = 0, {}
-        for w, end in zip(inner, [4 * i for i, x in enumerate(ids) if x == self.line], strict=True):
-            codes[w] = code[at:end]
-            at = end + 4
-        for w in words.difference(inner):
-            codes[w] = _code(self.encode(w))
-        return codes
-
     def regular(self, text: str) -> bool:
         """Are all white spaces single ones between words, each a space or line break, and is there no special token?"""
         words = text.split()
@@ -101,19 +89,13 @@ class Words:
     def ids(self, text: str) -> bytes:
         if not self.regular(text):
             return self.irregular(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        words = set(rest)
-        if len(words) > self.cache:
-            return _code(self.encode(text))
-        new = words.difference(self.codes)
-        if new:
-            learned = self.learn(new)
-            if len(self.codes) + len(new) > self.cache:
-                drop = min(len(self.codes), self.cache // 4)
-                for w in list(islice(self.codes, drop)):  # those learned first: common words are soon back
-                    learned.setdefault(w, self.codes.pop(w)) if w in words else self.codes.pop(w)
-            self.codes.update(learned)
-        return b"".join([_code(self.encode(first)), *map(self.codes.__getitem__, rest)])
+        runs, at = [], 0
+        while at < len(text):
+            space = _SPACE.search(text, at + RUN)
+            end = space.start() if space else len(text)
+            runs.append(_code(self.encode(text[at:end])))
+            at = end
+        return b"".join(runs)
 
 
 def _code(ids: list[int]) -> bytes:
@@ -121,16 +103,16 @@ def _code(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def _words(path: str, cache: int) -> Words:
-    return Words(path, cache)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def tokenize(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a text with a final 0, and the places after sentence ends (in tokens, ascending, the last is the length)."""
     ids = np.frombuffer((words.ids(text) if text else b"") + b"\0\0\0\0", "<u4")
     own = ids[:-1]
-    ends = np.flatnonzero(words.stop[own[:-1]] & words.opens[own[1:]]) + 1 if len(own) > 1 else own[:0]
-    return ids, np.append(ends, len(ids)).astype(np.int64)
+    after = np.flatnonzero(words.stop.take(own[:-1])) + 1
+    return ids, np.append(after[words.opens[own[after]]], len(ids)).astype(np.int64)
 
 
 def cuts(ends: np.ndarray, penalty: np.ndarray, width: int = MAX_TOKENS, chain: int | None = None) -> list[int]:
@@ -201,11 +183,11 @@ def _block(docs: list[tuple[object, np.ndarray, int, int]], ends: list[np.ndarra
     return out, len(at)
 
 
-def _pack(path: str, width: int, cache: int):
+def _pack(path: str, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        words = _words(path, cache)
+        words = _words(path)
         sequence = TaskContext.get().partitionId() << 40
         docs: list = []
         ends: list = []
@@ -236,18 +218,18 @@ def _pack(path: str, width: int, cache: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, cache: int = CACHE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, cache: int | None = None) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; more columns are ignored) in sequences of at most ``max_tokens`` tokens, in doc_id order.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every document ends with id 0; a null
     or empty text is that id alone. A null doc_id stays null; repeated rows are packed as often as they come. sequence_id is
     unique, with the task's number in its upper bits. An empty table gives no pieces.
-    ``cache`` is the number of words whose ids a worker keeps: fewer take less memory and more time, the pieces are the same.
+    ``cache``, once the number of words whose ids a worker kept, has no effect.
     """
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.sortWithinPartitions("doc_id").mapInPandas(
-        releasing(_pack(tokenizer_path, max_tokens, cache)),
+        releasing(_pack(tokenizer_path, max_tokens)),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

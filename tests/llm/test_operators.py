@@ -378,6 +378,24 @@ def test_every_sentence_end_may_be_cut():
     assert [words.stop[ids[e - 1]] for e in ends[:-1]] == [True] * 3
 
 
+def test_texts_are_encoded_once_and_in_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    encoder, words = Tokenizer.from_file(tokenizer_path()), packing.Words(tokenizer_path())
+    plain, given = words.encode, []
+    monkeypatch.setattr(words, "encode", lambda text: given.append(text) or plain(text))
+    # New words each time, as in a text with many rare ones.
+    texts = [" ".join(f"w{k}q{i}x don't\nIt's {i}! éß.\nA-b" for i in range(40)) for k in range(5)]
+    for text in texts:
+        assert words.ids(text) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert given == texts
+    for run in (1, 7, 50):
+        monkeypatch.setattr(packing, "RUN", run)
+        given.clear()
+        assert words.ids(texts[0]) == np.array(encoder.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+        assert "".join(given) == texts[0] and len(given) > 1 and max(map(len, given)) <= run + 12
+
+
 def test_packing_odd_input(spark, odd):
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == len(ODD) and {r.doc_tokens for r in rows if r.doc_id in (1, 2)} == {1}
