@@ -36,16 +36,18 @@ SENTENCE_PENALTY, WORD_PENALTY = 1, 4
 BLOCK_TOKENS = 1 << 19
 RUN = 1 << 18  # characters encoded at once, or up to the end of a longer word
 
-_SPACE = re.compile("[ \n]")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of the split pattern
+_SPACE = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
+_GAP = re.compile(f"[{_WHITE}]{{2,}}")
 
 
 class Words:
     """Token ids (little-endian bytes) of texts.
 
-    A space or line break between two other characters always starts a token, so a long text is encoded in runs that begin at
-    one, and the split pattern needs no look-ahead. ``ranks`` come from the tokenizer file itself: in a byte-level vocabulary in
-    merge order an id is its merge's rank, which the constructor checks. Texts with other white space, or with a special token's
-    string, are encoded whole by the tokenizer.
+    White space after another character always starts a token, and of several in a row the last one does if a word follows. So a
+    text is encoded in runs that end before such places, and the split pattern needs no look-ahead. ``ranks`` come from the
+    tokenizer file itself: in a byte-level vocabulary in merge order an id is its merge's rank, which the constructor checks.
+    Texts with a special token's string are encoded whole by the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,8 +64,8 @@ class Words:
         if merged != sorted(merged):
             raise ValueError("the ids of this vocabulary do not follow its merges")
         ranks = {bytes(chars[c] for c in t): i for t, i in vocab.items()}
-        # Fixed value: the split pattern of byte-level encoders where no two white spaces meet.
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
+        # Fixed value: the split pattern of byte-level encoders for one of the runs.
+        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
         self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = sorted(special)
         self.stop = np.zeros(max(vocab.values()) + 2 + len(special), bool)
@@ -81,20 +83,22 @@ class Words:
         return _code(self.whole.encode(text, add_special_tokens=False).ids)
 
     def regular(self, text: str) -> bool:
-        """Are all white spaces single ones between words, each a space or line break, and is there no special token?"""
+        """Are all white spaces single ones between words, each a space or line break?"""
         words = text.split()
         n = text.count(" ") + text.count("\n")
-        return n == len(words) - 1 and n + sum(map(len, words)) == len(text) and not any(t in text for t in self.special)
+        return n == len(words) - 1 and n + sum(map(len, words)) == len(text)
 
     def ids(self, text: str) -> bytes:
-        if not self.regular(text):
+        if any(t in text for t in self.special):
             return self.irregular(text)
+        stops = [] if self.regular(text) else [gap.end() - 1 for gap in _GAP.finditer(text) if gap.end() < len(text)]
         runs, at = [], 0
-        while at < len(text):
-            space = _SPACE.search(text, at + RUN)
-            end = space.start() if space else len(text)
-            runs.append(_code(self.encode(text[at:end])))
-            at = end
+        for stop in [*stops, len(text)]:
+            while at < stop:
+                space = _SPACE.search(text, at + RUN, stop) if stop - at > RUN else None
+                end = space.start() if space else stop
+                runs.append(_code(self.encode(text[at:end])))
+                at = end
         return b"".join(runs)
 
 

@@ -396,6 +396,20 @@ def test_texts_are_encoded_once_and_in_runs(monkeypatch):
         assert "".join(given) == texts[0] and len(given) > 1 and max(map(len, given)) <= run + 12
 
 
+def test_white_space_of_any_kind_is_encoded_in_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    encoder, words = Tokenizer.from_file(tokenizer_path()), packing.Words(tokenizer_path())
+    monkeypatch.setattr(words, "irregular", None)  # these texts do not need the slower encoder
+    rng = np.random.default_rng(8)
+    parts = ["a", "one", "'s", "1", "!.", "é", "\u65e5", "\x1c", *"  \n\n\t\r\x0b\x85\xa0\u2003\u2028\u3000"]
+    texts = ["p q.\n\nr  s", " \n", "  a", "a\t\t", "a\r\n\r\n b"] + ["".join(rng.choice(parts, 12)) for _ in range(1500)]
+    for run in (packing.RUN, 2):
+        monkeypatch.setattr(packing, "RUN", run)
+        for text in texts:
+            assert words.ids(text) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_packing_odd_input(spark, odd):
     rows = packing.pack(odd, tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == len(ODD) and {r.doc_tokens for r in rows if r.doc_id in (1, 2)} == {1}
